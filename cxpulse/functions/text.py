@@ -129,4 +129,9 @@ def parse_list_json(c) -> Column:
     )
 
 
-PARSERS = {"split": parse_list_split, "json": parse_list_json}
+def parse_plain_text(c) -> Column:
+    """A plain text column is one message."""
+    return F.when(_col(c).isNotNull(), F.array(_col(c)))
+
+
+PARSERS = {"split": parse_list_split, "json": parse_list_json, "text": parse_plain_text}

@@ -65,13 +65,16 @@ def python_list_repr(arr) -> Column:
     """Render ``array<string>`` the way Python's ``str(list)`` does.
 
     Items containing ``'`` but no ``"`` are double-quoted, others single-quoted
-    with ``\\`` and ``'`` escaped.
+    with ``'`` escaped; backslash, newline, carriage return and tab are escaped.
     """
     arr = F.col(arr) if isinstance(arr, str) else arr
 
     def item(x):
-        single = F.concat(F.lit("'"), F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'"))
-        double = F.concat(F.lit('"'), F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'))
+        esc = F.replace(x, F.lit("\\"), F.lit("\\\\"))
+        for ch, rep in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+            esc = F.replace(esc, F.lit(ch), F.lit(rep))
+        single = F.concat(F.lit("'"), F.replace(esc, F.lit("'"), F.lit("\\'")), F.lit("'"))
+        double = F.concat(F.lit('"'), esc, F.lit('"'))
         return F.when(F.contains(x, F.lit("'")) & ~F.contains(x, F.lit('"')), double).otherwise(single)
 
     return F.concat(F.lit("["), F.array_join(F.transform(arr, item), ", "), F.lit("]"))
