@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import PARSERS, clean_text
+from ..session import spread
 from ..sources.inputs import ensure_dataframe, require_columns
 
 CANONICAL = ("date", "conversation_id", "verbatim_list", "verbatim", "n_messages", "clean")
@@ -52,10 +53,13 @@ def to_date(df: DataFrame, col: str) -> Column:
 
 
 def prepare(df: DataFrame, date_col: str | None = "date", verbatim_col: str = "verbatims",
-            conversation_id_col: str = "conversation_id", parser: str = "split") -> DataFrame:
+            conversation_id_col: str = "conversation_id", parser: str = "split",
+            spread_input: bool = True) -> DataFrame:
     """Parse the message list, join it with ". ", clean it and filter short texts.
 
     ``date_col=None`` is accepted for undated tables (no ``date`` column is produced).
+    ``spread_input`` spreads an input with fewer partitions than the cluster's
+    parallelism before the text work (a no-op for large inputs).
     """
     df = ensure_dataframe(df)
     require_columns(df, date_col, verbatim_col, conversation_id_col)
@@ -67,6 +71,8 @@ def prepare(df: DataFrame, date_col: str | None = "date", verbatim_col: str = "v
     cols.append(F.col(conversation_id_col).cast("string").alias("conversation_id"))
     cols.append(message_list(df, verbatim_col, parser).alias("verbatim_list"))
     out = df.select(*cols)
+    if spread_input:
+        out = spread(out)
     out = out.withColumns({
         "verbatim": F.array_join("verbatim_list", ". "),
         "n_messages": F.size("verbatim_list"),

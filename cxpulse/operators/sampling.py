@@ -90,7 +90,9 @@ def exact_sample(df: DataFrame, sizes: dict, totals: dict, key_cols: list[str],
     sample, build, limits = segment_sample(df, sizes, totals, key_cols, segment_col, seed)
     if not materialized:
         return sample
-    sample = materialize(sample)
+    parallelism = df.sparkSession.sparkContext.defaultParallelism
+    # ranking leaves one partition per segment; the sample is bounded, spread it
+    sample = materialize(sample.repartition(parallelism))
     if all(v is None for v in limits.values()):
         return sample
     part = [segment_col] if segment_col else []
@@ -102,7 +104,7 @@ def exact_sample(df: DataFrame, sizes: dict, totals: dict, key_cols: list[str],
             fixed[s] = None
     if fixed == limits:
         return sample
-    return materialize(build(fixed))
+    return materialize(build(fixed).repartition(parallelism))
 
 
 def topic_sample_sizes(n_recent_total: int, n_history_total: int, sample_size: int,

@@ -72,13 +72,20 @@ def topic_sample(prepared: DataFrame, max_date: dt.date, recent_days: int = 14,
 
 
 def topic_vocabulary(sample: DataFrame, max_features: int = 3000, min_df: int = 10,
-                     max_df: float = 0.8, stopwords=DEFAULT_STOPWORDS) -> DataFrame:
+                     max_df: float = 0.8, stopwords=DEFAULT_STOPWORDS, n_docs: int | None = None) -> DataFrame:
     """(term, doc_freq, term_freq) of the kept grams, ordered by term."""
-    n_docs = sample.count()
-    grams = sample.select("conversation_id", F.explode(topic_grams("clean", stopwords)).alias("term"))
-    per_doc = grams.groupBy("conversation_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    stats = per_doc.groupBy("term").agg(
-        F.count(F.lit(1)).alias("doc_freq"), F.sum("tf").alias("term_freq")
+    if n_docs is None:
+        n_docs = sample.count()
+    # one explode: every occurrence tagged tf, every distinct gram of a document
+    # tagged df; a single aggregation by gram then combines map-side
+    g = topic_grams("clean", stopwords)
+    tagged = F.concat(
+        F.transform(g, lambda x: F.struct(x.alias("term"), F.lit(False).alias("doc"))),
+        F.transform(F.array_distinct(g), lambda x: F.struct(x.alias("term"), F.lit(True).alias("doc"))),
+    )
+    grams = sample.select(F.inline(tagged))
+    stats = grams.groupBy("term").agg(
+        F.count_if(F.col("doc")).alias("doc_freq"), F.count_if(~F.col("doc")).alias("term_freq")
     )
     max_doc = max_df * n_docs if isinstance(max_df, float) else float(max_df)
     min_doc = float(min_df) if isinstance(min_df, int) else min_df * n_docs
@@ -98,9 +105,13 @@ def emerging_topics(prepared: DataFrame, max_date: dt.date, n_topics: int = 10,
     on the optimiser; the sample, vocabulary and arithmetic are deterministic.
     """
     spark = prepared.sparkSession
+    n_docs = None
     if sample is None:
-        sample = topic_sample(prepared, max_date, recent_days, sample_size, seed)
-    vocab = [r["term"] for r in topic_vocabulary(sample, max_features, min_df, max_df, stopwords).collect()]
+        plan = topic_sample_plan(prepared, max_date, recent_days, sample_size)
+        n_docs = sum(int(r["n_sample"]) for r in plan.collect())
+        sample = topic_sample(prepared, max_date, recent_days, sample_size, seed, plan=plan)
+    vocab = [r["term"] for r in
+             topic_vocabulary(sample, max_features, min_df, max_df, stopwords, n_docs=n_docs).collect()]
     schema = ("topic_id int, top_words array<string>, recent_weight double, history_weight double, "
               "emergence_ratio double, is_emerging boolean")
     if not vocab:

@@ -65,6 +65,22 @@ def materialize(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a narrow input over the cluster before CPU-heavy row work.
+
+    A large input already arrives in thousands of scan splits and is returned
+    unchanged (no shuffle).  A small one (a few files or row groups) would run
+    its whole text pipeline in a handful of tasks; it is round-robin
+    repartitioned to the session's parallelism instead.  Spark sorts before a
+    round-robin repartition, so a retried task sees the same rows.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    n = df.rdd.getNumPartitions()
+    if n >= target:
+        return df
+    return df.repartition(target)
+
+
 def bounded_broadcast(df: DataFrame, row_bound: int | None = None,
                       max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` only when its row count is proven small.
