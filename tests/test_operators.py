@@ -1,0 +1,137 @@
+"""Operator semantics on the fixture and on small hand-made frames."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import SF0001, SF001
+from cxpulse.operators.anomaly import daily_spikes, rolling_zscore, spike_dates
+from cxpulse.operators.examples import term_examples
+from cxpulse.operators.prepare import date_bounds, prepare
+from cxpulse.operators.sentiment import with_sentiment
+from cxpulse.operators.spikes import spike_details
+from cxpulse.operators.terms import history_days, novel_terms, term_daily_counts, trending_terms
+from cxpulse.plans import catalog as C
+
+
+@pytest.fixture(scope="module")
+def fx(spark):
+    p = C.prepared(spark, SF0001).cache()
+    s = with_sentiment(p).cache()
+    counts = term_daily_counts(p).cache()
+    return p, s, counts, date_bounds(p)
+
+
+def test_fixture_counts(fx):
+    p, s, _, b = fx
+    assert b.n_rows == 1000
+    assert (b.min_date, b.max_date) == (dt.date(2024, 1, 1), dt.date(2024, 1, 30))
+    assert s.where("is_negative").count() == 163
+    assert s.where("neg_score > 0.01 and neg_score <= 0.3").count() == 297
+
+
+def test_rolling_window_semantics(spark):
+    days = [(dt.date(2024, 1, 1) + dt.timedelta(days=i), float(i % 3)) for i in range(40)]
+    df = spark.createDataFrame(days, "date date, x double")
+    rows = rolling_zscore(df, "x", window=30, min_periods=7).orderBy("date").collect()
+    assert all(r.rolling_mean is None and r.z_score is None and r.is_spike is None for r in rows[:6])
+    assert rows[6].rolling_mean == pytest.approx(sum(v for _, v in days[:7]) / 7)
+    last = [v for _, v in days[10:40]]
+    mean = sum(last) / 30
+    std = (sum((v - mean) ** 2 for v in last) / 29) ** 0.5
+    assert rows[-1].rolling_mean == pytest.approx(mean)
+    assert rows[-1].rolling_std == pytest.approx(std)
+    assert rows[-1].z_score == pytest.approx((last[-1] - mean) / std)
+
+
+def test_std_floor(spark):
+    days = [(dt.date(2024, 1, 1) + dt.timedelta(days=i), 0.5) for i in range(8)] + [(dt.date(2024, 1, 9), 0.6)]
+    rows = rolling_zscore(spark.createDataFrame(days, "date date, x double"), "x").orderBy("date").collect()
+    assert rows[7].rolling_std == 0.0 and rows[7].z_score == 0.0
+    assert rows[8].is_spike  # (0.6 - mean) / std with a real std
+
+
+def test_spikes_and_details(fx):
+    _, s, _, _ = fx
+    daily = daily_spikes(s).cache()
+    assert [str(r.date) for r in spike_dates(daily).orderBy("date").collect()] == [
+        "2024-01-15", "2024-01-24", "2024-01-25", "2024-01-28"]
+    det = spike_details(s, daily).collect()
+    assert len(det) == 4
+    for r in det:
+        assert 1 <= len(r.top_negative_terms) <= 10 and 1 <= len(r.sample_verbatims) <= 5
+        counts = [t["count"] for t in r.top_negative_terms]
+        assert counts == sorted(counts, reverse=True)
+    emerging = {t["term"] for t in det[1].top_negative_terms}
+    assert {"fibre", "migration"} <= emerging
+
+
+def test_trending_and_novel(fx):
+    _, _, counts, b = fx
+    tr = trending_terms(counts).collect()
+    assert len(tr) == 17
+    assert (tr[0].term, tr[0].current_avg_daily, tr[0].baseline_avg_daily, tr[0].growth_ratio) == (
+        "fibre", 7.29, 0.0, 72.86)
+    nv = novel_terms(counts, b.min_date, b.max_date).collect()
+    assert len(nv) == 6
+    assert (nv[0].term, nv[0].recent_count, nv[0].history_total, nv[0].novelty) == ("fibre", 51, 0, "nouveau")
+    assert history_days(b.min_date, b.max_date, 7) == 22
+
+
+def test_history_days_edge_cases():
+    d = dt.date(2024, 1, 10)
+    assert history_days(d, d + dt.timedelta(days=7), 7) == 1   # 0 -> 1
+    assert history_days(d, d + dt.timedelta(days=3), 7) == -4  # shorter than the window
+
+
+def test_novel_short_history_no_negative_zero(spark):
+    rows = [(dt.date(2024, 1, 1) + dt.timedelta(days=i % 3), "nouveauterme", 10) for i in range(3)]
+    counts = spark.createDataFrame(rows, "date date, term string, count bigint")
+    out = novel_terms(counts, dt.date(2024, 1, 1), dt.date(2024, 1, 3)).collect()
+    assert len(out) == 1 and out[0].history_daily_avg == 0.0 and str(out[0].history_daily_avg) == "0.0"
+
+
+def test_term_examples_boundaries(spark):
+    rows = [
+        (dt.date(2024, 1, 2), "c1", ["l'application plante"]),
+        (dt.date(2024, 1, 3), "c2", ["nouvelle application"]),
+        (dt.date(2024, 1, 1), "c3", ["applications partout"]),
+        (dt.date(2024, 1, 4), "c4", ["qu'est-ce que c'est"]),
+    ]
+    p = prepare(spark.createDataFrame(rows, "date date, conversation_id string, verbatims array<string>"))
+    terms = spark.createDataFrame([("application", 1.0), ("est-ce", 2.0), ("absent", 3.0)], "term string, score double")
+    ex = term_examples(p, terms, n=5).collect()
+    got = {(r.term, r.conversation_id) for r in ex}
+    assert got == {("application", "c2"), ("application", "c1"), ("est-ce", "c4"), ("absent", None)}
+    app = [r.conversation_id for r in sorted((r for r in ex if r.term == "application"), key=lambda r: r.rn)]
+    assert app == ["c2", "c1"]  # newest first
+
+
+def test_prepare_input_types(spark):
+    rows = [("2024-01-05", 7, "['bonjour, ça va', 'oui']"), ("pas une date", 8, "['panne']"),
+            (None, 9, "['panne']"), ("2024-01-06T10:00:00", 10, "x"), ("2024-01-07", 11, None)]
+    df = spark.createDataFrame(rows, "d string, id bigint, v string")
+    out = prepare(df, "d", "v", "id").orderBy("conversation_id").collect()
+    assert [r.conversation_id for r in out] == ["7"]  # bad/null date dropped, "x" too short, null dropped
+    assert out[0].n_messages == 3 and out[0].clean == "bonjour ça va oui"
+    scal = spark.createDataFrame([(dt.date(2024, 1, 1), "a", True), (dt.date(2024, 1, 1), "b", None)],
+                                 "date date, conversation_id string, verbatims boolean")
+    got = prepare(scal).collect()
+    assert [(r.conversation_id, r.verbatim_list, r.clean) for r in got] == [("a", ["true"], "true")]
+    digits = spark.createDataFrame([(dt.date(2024, 1, 1), "a", 12345)], "date date, conversation_id string, verbatims int")
+    assert prepare(digits).count() == 0  # digits are not kept by the cleaner
+    with pytest.raises(TypeError):
+        prepare([("a", "b")])
+    with pytest.raises(ValueError):
+        prepare(df, "missing", "v", "id")
+
+
+def test_sf001_expected_values(spark):
+    p = C.prepared(spark, SF001)
+    counts = term_daily_counts(p)
+    b = date_bounds(p)
+    tr = trending_terms(counts).first()
+    nv = novel_terms(counts, b.min_date, b.max_date).collect()
+    assert (tr.term, tr.current_avg_daily, tr.growth_ratio) == ("fibre", 83.14, 831.43)
+    assert len(nv) == 13 and (nv[0].term, nv[0].recent_count) == ("fibre", 582)
