@@ -74,6 +74,8 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     repartitioned to the session's parallelism instead.  Spark sorts before a
     round-robin repartition, so a retried task sees the same rows.
     """
+    if df.isStreaming:
+        return df
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     n = df.rdd.getNumPartitions()
     if n >= target:
