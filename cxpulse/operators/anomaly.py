@@ -15,13 +15,27 @@ from pyspark.sql import functions as F
 STD_FLOOR = 1e-9
 
 
-def daily_sentiment(scored: DataFrame, date_col: str = "date") -> DataFrame:
-    """date, total_conversations, negative_count, mean_neg_score, negative_ratio."""
-    daily = scored.groupBy(date_col).agg(
+def ambiguous_condition(low: float = 0.01, high: float = 0.30, exclude_negative: bool = False):
+    cond = (F.col("neg_score") > F.lit(low)) & (F.col("neg_score") <= F.lit(high))
+    return cond & ~F.col("is_negative") if exclude_negative else cond
+
+
+def daily_sentiment(scored: DataFrame, date_col: str = "date", ambiguous_band: tuple | None = None,
+                    exclude_negative: bool = False) -> DataFrame:
+    """date, total_conversations, negative_count, mean_neg_score, negative_ratio.
+
+    With ``ambiguous_band=(low, high)`` the same pass also counts the
+    conversations in that score band (``ambiguous_count``), which the model
+    refinement reuses instead of scanning the table again.
+    """
+    aggs = [
         F.count(F.lit(1)).alias("total_conversations"),
         F.count_if(F.col("is_negative")).alias("negative_count"),
         F.avg("neg_score").alias("mean_neg_score"),
-    )
+    ]
+    if ambiguous_band is not None:
+        aggs.append(F.count_if(ambiguous_condition(*ambiguous_band, exclude_negative)).alias("ambiguous_count"))
+    daily = scored.groupBy(date_col).agg(*aggs)
     return daily.withColumn(
         "negative_ratio", F.col("negative_count").cast("double") / F.col("total_conversations").cast("double")
     )
@@ -50,9 +64,10 @@ def rolling_zscore(daily: DataFrame, value_col: str, order_col: str = "date", wi
 
 
 def daily_spikes(scored: DataFrame, z_threshold: float = 2.0, window: int = 30,
-                 min_periods: int = 7) -> DataFrame:
+                 min_periods: int = 7, ambiguous_band: tuple | None = None,
+                 exclude_negative: bool = False) -> DataFrame:
     """Daily statistics with rolling z-score and the spike flag (sorted by date)."""
-    daily = daily_sentiment(scored)
+    daily = daily_sentiment(scored, ambiguous_band=ambiguous_band, exclude_negative=exclude_negative)
     return rolling_zscore(daily, "negative_ratio", window=window, min_periods=min_periods,
                           z_threshold=z_threshold).orderBy("date")
 
@@ -67,6 +82,14 @@ def spike_dates(daily: DataFrame, spike_col: str | None = None) -> DataFrame:
     return daily.where(F.coalesce(F.col(spike_col), F.lit(False))).select("date")
 
 
+def bounds_from_daily(daily: DataFrame):
+    """(min date, max date, row count) read off the daily table — no pass over the data."""
+    from .prepare import DateBounds
+
+    row = daily.agg(F.min("date"), F.max("date"), F.sum("total_conversations")).first()
+    return DateBounds(row[0], row[1], int(row[2] or 0))
+
+
 def event_error_share(events: DataFrame, event_type: str = "error") -> DataFrame:
     """Per-day share of one event type on the ``events`` table (generic ratio series)."""
     daily = events.groupBy(F.col("ts").cast("date").alias("date")).agg(

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import letter_runs
+from ..session import materialize
 
 MAX_TERMS = 10_000
 
@@ -61,34 +62,61 @@ def matched_terms(clean_col: str, terms: list[str]):
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
-def term_examples(prepared: DataFrame, terms_df: DataFrame, n: int = 20, order: str = "recent",
-                  term_col: str = "term") -> DataFrame:
-    """terms_df columns + rn, date, conversation_id, verbatim (up to n rows per term).
+def _ordering(order: str):
+    if order == "recent":
+        return [F.desc("date"), F.asc("conversation_id")]
+    if order == "id":
+        return [F.asc("conversation_id")]
+    raise ValueError("order must be 'recent' or 'id'")
 
-    ``order="recent"``: newest first, ties by conversation_id; ``"id"``: by conversation_id.
-    """
+
+def _collect_terms(terms_df: DataFrame, term_col: str):
     rows = terms_df.limit(MAX_TERMS + 1).collect()
     if len(rows) > MAX_TERMS:
         raise ValueError(f"term_examples expects a top-k term list (<= {MAX_TERMS} terms)")
-    terms = sorted({r[term_col] for r in rows if r[term_col] is not None})
-    if order == "recent":
-        ordering = [F.desc("date"), F.asc("conversation_id")]
-    elif order == "id":
-        ordering = [F.asc("conversation_id")]
-    else:
-        raise ValueError("order must be 'recent' or 'id'")
+    return rows
+
+
+def _examples(prepared: DataFrame, terms: list[str], n: int, order: str) -> DataFrame:
+    """(_term, rn, date, conversation_id, verbatim): up to n matches per term, one pass."""
     pairs = prepared.select(
         "date", "conversation_id", "verbatim",
         F.explode(matched_terms("clean", terms)).alias("_term"),
     )
-    w = Window.partitionBy("_term").orderBy(*ordering)
-    ex = pairs.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
+    w = Window.partitionBy("_term").orderBy(*_ordering(order))
+    return pairs.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
+
+
+def _attach(spark, rows, schema, columns, ex: DataFrame, term_col: str) -> DataFrame:
     # the term list is already on the driver: reuse it instead of recomputing its plan
-    spark = prepared.sparkSession
-    terms_local = spark.createDataFrame(rows, terms_df.schema)
+    terms_local = spark.createDataFrame(rows, schema)
     # at most n rows per term survive: the example side has a proven bound
     joined = terms_local.join(F.broadcast(ex), terms_local[term_col] == ex["_term"], "left")
     return joined.select(
-        *[terms_local[c] for c in terms_df.columns],
+        *[terms_local[c] for c in columns],
         F.col("rn").cast("int").alias("rn"), "date", "conversation_id", "verbatim",
     )
+
+
+def term_examples(prepared: DataFrame, terms_df: DataFrame, n: int = 20, order: str = "recent",
+                  term_col: str = "term") -> DataFrame:
+    """terms_df columns + rn, date, conversation_id, verbatim (up to n rows per term).
+
+    ``order="recent"``: newest first, ties by conversation_id; ``"id"``: by conversation_id.
+    """
+    _ordering(order)
+    rows = _collect_terms(terms_df, term_col)
+    terms = sorted({r[term_col] for r in rows if r[term_col] is not None})
+    ex = _examples(prepared, terms, n, order)
+    return _attach(prepared.sparkSession, rows, terms_df.schema, terms_df.columns, ex, term_col)
+
+
+def term_examples_many(prepared: DataFrame, term_lists: dict[str, DataFrame], n: int = 20,
+                       order: str = "recent", term_col: str = "term") -> dict[str, DataFrame]:
+    """``term_examples`` for several term lists with a single pass over the conversations."""
+    _ordering(order)
+    collected = {k: _collect_terms(df, term_col) for k, df in term_lists.items()}
+    terms = sorted({r[term_col] for rows in collected.values() for r in rows if r[term_col] is not None})
+    ex = materialize(_examples(prepared, terms, n, order))
+    spark = prepared.sparkSession
+    return {k: _attach(spark, collected[k], df.schema, df.columns, ex, term_col) for k, df in term_lists.items()}

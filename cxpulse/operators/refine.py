@@ -108,17 +108,24 @@ def refine_daily(scored: DataFrame, daily: DataFrame, scorer_factory: ScorerFact
 
     By default the ambiguous band includes scores already counted negative
     (0.15, 0.30], as the reproduced behaviour does; ``exclude_already_negative``
-    restricts it to non-negative conversations.
+    restricts it to non-negative conversations.  When ``daily`` already carries
+    ``ambiguous_count`` (``daily_spikes(..., ambiguous_band=...)`` with the same
+    band) no extra pass over the conversations is needed for the counts.
     """
     base = scored.where(~F.col("is_negative")) if exclude_already_negative else scored
-    stats = recovery_stats(base, scorer_factory, sample_size, low, ambiguous_threshold, batch_size, seed)
-    stats_row = stats.first()
-    rate = float(stats_row["recovery_rate"])
-    amb = ambiguous_daily(base, low, ambiguous_threshold)
-    # both sides are daily aggregates (one row per calendar day)
-    out = daily.drop(*[c for c in daily.columns if c.endswith("_corrected") or c == "ambiguous_count"])
-    out = out.join(amb, "date", "left")
+    if "ambiguous_count" in daily.columns:
+        out = daily.drop(*[c for c in daily.columns if c.endswith("_corrected")])
+    else:
+        # both sides are daily aggregates (one row per calendar day)
+        out = daily.drop(*[c for c in daily.columns if c.endswith("_corrected")])
+        out = out.join(ambiguous_daily(base, low, ambiguous_threshold), "date", "left")
     out = out.withColumn("ambiguous_count", F.coalesce(F.col("ambiguous_count"), F.lit(0)).cast("bigint"))
+    total = int(out.agg(F.sum("ambiguous_count")).first()[0] or 0)
+    sample = ambiguous_sample(base, sample_size, low, ambiguous_threshold, seed, total=total)
+    labelled = label_sample(sample, scorer_factory, batch_size)
+    agg = labelled.agg(F.count(F.lit(1)).alias("n_sampled"), F.count_if("model_negative").alias("n_recovered")).first()
+    n_sampled, n_recovered = int(agg["n_sampled"]), int(agg["n_recovered"])
+    rate = n_recovered / n_sampled if n_sampled else 0.0
     out = out.withColumn(
         "negative_count_corrected",
         (F.col("negative_count") + F.round(F.col("ambiguous_count") * F.lit(rate), 0).cast("bigint")).cast("bigint"),
@@ -128,5 +135,8 @@ def refine_daily(scored: DataFrame, daily: DataFrame, scorer_factory: ScorerFact
     )
     out = rolling_zscore(out, "negative_ratio_corrected", z_threshold=z_threshold, suffix="_corrected")
     spark = scored.sparkSession
-    stats_df = spark.createDataFrame([stats_row.asDict()], stats.schema)
+    stats_df = spark.createDataFrame(
+        [(total, n_sampled, n_recovered, float(rate))],
+        "n_ambiguous_total bigint, n_sampled bigint, n_recovered bigint, recovery_rate double",
+    )
     return out.orderBy("date"), stats_df

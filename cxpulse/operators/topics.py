@@ -1,7 +1,8 @@
 """Emerging topics: LDA on a deterministic recent / history sample.
 
-1. ``topic_sample_plan`` counts recent vs history conversations (one pass,
-   two conditional counts) and sizes the sample (recent share, >= 10 000).
+1. ``topic_sample_plan`` counts recent vs history conversations (two
+   conditional sums over the daily table, or one pass over the conversations)
+   and sizes the sample (recent share, >= 10 000).
 2. ``topic_sample`` draws the exact hash-ordered sample per segment.
 3. ``topic_vocabulary``: tokens are letter runs of >= 2 letters, stop words
    removed, then unigrams + bigrams of the remaining tokens; a gram is kept when
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicon import DEFAULT_STOPWORDS
 from ..functions.text import letter_runs
+from ..session import materialize, spread
 from .sampling import DEFAULT_SEED, exact_sample, topic_sample_sizes
 
 EMERGING_RATIO = 1.5
@@ -42,14 +44,25 @@ def topic_grams(clean, stopwords=DEFAULT_STOPWORDS) -> Column:
 
 
 def topic_sample_plan(prepared: DataFrame, max_date: dt.date, recent_days: int = 14,
-                      sample_size: int = 200_000) -> DataFrame:
-    """(is_recent, n_total, n_sample): segment sizes and the sample drawn from each."""
+                      sample_size: int = 200_000, daily: DataFrame | None = None) -> DataFrame:
+    """(is_recent, n_total, n_sample): segment sizes and the sample drawn from each.
+
+    With the daily table at hand the segment sizes are sums over it (no pass
+    over the conversations).
+    """
     cutoff = max_date - dt.timedelta(days=recent_days)
-    row = prepared.agg(
-        F.count_if(F.col("date") >= F.lit(cutoff)).alias("r"),
-        F.count_if(F.col("date") < F.lit(cutoff)).alias("h"),
-    ).first()
-    n_r, n_h = int(row["r"]), int(row["h"])
+    if daily is not None:
+        n = F.col("total_conversations")
+        row = daily.agg(
+            F.sum(F.when(F.col("date") >= F.lit(cutoff), n).otherwise(0)).alias("r"),
+            F.sum(F.when(F.col("date") < F.lit(cutoff), n).otherwise(0)).alias("h"),
+        ).first()
+    else:
+        row = prepared.agg(
+            F.count_if(F.col("date") >= F.lit(cutoff)).alias("r"),
+            F.count_if(F.col("date") < F.lit(cutoff)).alias("h"),
+        ).first()
+    n_r, n_h = int(row["r"] or 0), int(row["h"] or 0)
     s_r, s_h = topic_sample_sizes(n_r, n_h, sample_size)
     spark = prepared.sparkSession
     return spark.createDataFrame(
@@ -98,7 +111,8 @@ def topic_vocabulary(sample: DataFrame, max_features: int = 3000, min_df: int =
 def emerging_topics(prepared: DataFrame, max_date: dt.date, n_topics: int = 10, recent_days: int = 14,
                     sample_size: int = 200_000, max_iter: int = 15, seed: int = DEFAULT_SEED,
                     max_features: int = 3000, min_df: int = 10, max_df: float = 0.8,
-                    stopwords=DEFAULT_STOPWORDS, sample: DataFrame | None = None) -> DataFrame:
+                    stopwords=DEFAULT_STOPWORDS, sample: DataFrame | None = None,
+                    daily: DataFrame | None = None) -> DataFrame:
     """topic_id, top_words, recent_weight, history_weight, emergence_ratio, is_emerging.
 
     Sorted by emergence_ratio (desc, then topic_id).  The fitted weights depend
@@ -107,7 +121,7 @@ def emerging_topics(prepared: DataFrame, max_date: dt.date, n_topics: int = 10,
     spark = prepared.sparkSession
     n_docs = None
     if sample is None:
-        plan = topic_sample_plan(prepared, max_date, recent_days, sample_size)
+        plan = topic_sample_plan(prepared, max_date, recent_days, sample_size, daily=daily)
         n_docs = sum(int(r["n_sample"]) for r in plan.collect())
         sample = topic_sample(prepared, max_date, recent_days, sample_size, seed, plan=plan)
     vocab = [r["term"] for r in
@@ -116,8 +130,7 @@ def emerging_topics(prepared: DataFrame, max_date: dt.date, n_topics: int = 10,
               "emergence_ratio double, is_emerging boolean")
     if not vocab:
         return spark.createDataFrame([], schema)
-    parallelism = max(1, spark.sparkContext.defaultParallelism)
-    docs = sample.select("is_recent", topic_grams("clean", stopwords).alias("grams")).repartition(parallelism)
+    docs = spread(sample.select("is_recent", topic_grams("clean", stopwords).alias("grams")))
     cv = CountVectorizerModel.from_vocabulary(vocab, inputCol="grams", outputCol="features")
     features = cv.transform(docs).select("is_recent", "features").cache()
     try:
@@ -129,27 +142,30 @@ def emerging_topics(prepared: DataFrame, max_date: dt.date, n_topics: int = 10,
         uniform = F.array_repeat(F.lit(1.0 / n_topics), n_topics)
         dist = dist.withColumn("p", F.when(F.aggregate("p", F.lit(0.0), lambda a, x: a + x) > 0, F.col("p"))
                                .otherwise(uniform))
+        # A14: mean topic vector per segment (k rows out)
         weights = (
             dist.select("is_recent", F.posexplode("p").alias("topic_id", "w"))
             .groupBy("topic_id")
-            .agg(F.avg(F.when(F.col("is_recent"), F.col("w"))).alias("recent"),
-                 F.avg(F.when(~F.col("is_recent"), F.col("w"))).alias("history"))
-        ).collect()
-        described = model.describeTopics(10).collect()
+            .agg(F.coalesce(F.avg(F.when(F.col("is_recent"), F.col("w"))), F.lit(0.0)).alias("recent"),
+                 F.coalesce(F.avg(F.when(~F.col("is_recent"), F.col("w"))), F.lit(0.0)).alias("history"))
+        )
+        # K7: top words per topic, term indices mapped through the vocabulary
+        vocab_arr = F.array(*[F.lit(t) for t in vocab])
+        words = model.describeTopics(10).select(
+            F.col("topic").alias("topic_id"),
+            F.transform("termIndices", lambda i: F.element_at(vocab_arr, i + 1)).alias("top_words"),
+        )
+        # F25 / F22 / P13: safe ratio, rounding, then the 1.5 threshold on the rounded ratio
+        ratio = F.when(F.col("history") > F.lit(0.001), F.col("recent") / F.col("history")).otherwise(
+            F.col("recent") * F.lit(100.0))
+        topics = weights.join(F.broadcast(words), "topic_id").select(  # k rows on each side
+            F.col("topic_id").cast("int").alias("topic_id"), "top_words",
+            F.round("recent", 4).alias("recent_weight"),
+            F.round("history", 4).alias("history_weight"),
+            F.round(ratio, 2).alias("emergence_ratio"),
+        ).withColumn("is_emerging", F.col("emergence_ratio") > F.lit(EMERGING_RATIO))
+        # k rows: materialise before the cached features are released
+        topics = materialize(topics.orderBy(F.desc("emergence_ratio"), F.asc("topic_id")))
     finally:
         features.unpersist()
-    words = {r["topic"]: [vocab[i] for i in r["termIndices"]] for r in described}
-    out = []
-    for r in weights:
-        rec = float(r["recent"]) if r["recent"] is not None else 0.0
-        hist = float(r["history"]) if r["history"] is not None else 0.0
-        ratio = rec / hist if hist > 0.001 else rec * 100.0
-        out.append((int(r["topic_id"]), words.get(r["topic_id"], []), rec, hist, ratio))
-    df = spark.createDataFrame(out, "topic_id int, top_words array<string>, recent double, history double, ratio double")
-    df = df.select(
-        "topic_id", "top_words",
-        F.round("recent", 4).alias("recent_weight"),
-        F.round("history", 4).alias("history_weight"),
-        F.round("ratio", 2).alias("emergence_ratio"),
-    ).withColumn("is_emerging", F.col("emergence_ratio") > F.lit(EMERGING_RATIO))
-    return df.orderBy(F.desc("emergence_ratio"), F.asc("topic_id"))
+    return topics

@@ -1,11 +1,12 @@
 """The full report: every analysis as a DataFrame, plus summary and dashboard feeds.
 
 ``full_report`` runs the analyses in order and returns a dict of DataFrames.
-The big conversation table is scanned once per analysis that needs raw text
-(daily stats, term counts, spike details, topic sample, refine, examples);
-the shared intermediate results — the daily table and the (date, term) counts
-used by trending, novel and the feeds — are checkpointed to the cluster's
-shared checkpoint folder so that lost executors never force a rescan.
+The big conversation table is scanned only by the analyses that need raw
+text, and each scan serves as much as it can (see ``full_report``); the
+shared intermediate results — the daily table, the (date, term) counts used
+by trending, novel and the feeds, the samples and the examples — are
+checkpointed to the cluster's shared checkpoint folder so that a lost
+executor never forces a rescan of the conversations.
 """
 
 from __future__ import annotations
@@ -16,9 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import DEFAULT_LEXICON, DEFAULT_STOPWORDS, Lexicon
-from ..operators.anomaly import daily_spikes
-from ..operators.examples import term_examples
-from ..operators.prepare import DateBounds, date_bounds, prepare
+from ..operators.anomaly import bounds_from_daily, daily_spikes
+from ..operators.examples import term_examples_many
+from ..operators.prepare import DateBounds, prepare
 from ..operators.refine import ScorerFactory, refine_daily
 from ..operators.sentiment import with_sentiment
 from ..operators.spikes import spike_details
@@ -90,31 +91,36 @@ def full_report(df: DataFrame, date_col: str = "date", verbatim_col: str = "verb
                 conversation_id_col: str = "conversation_id", parser: str = "split",
                 params: Params | None = None, scorer_factory: ScorerFactory | None = None,
                 with_topics: bool = True, with_examples: bool = True) -> dict[str, DataFrame]:
-    """Run every analysis; returns a dict of DataFrames (see README for the schemas)."""
+    """Run every analysis; returns a dict of DataFrames (see README for the schemas).
+
+    Passes over the conversation table: daily statistics (which also yield the
+    date bounds, the row count, the topic segment sizes and, with a model, the
+    ambiguous counts), spike details (spike days only), the topic sample, the
+    (date, term) counts, the model sample, and one pass for all term examples.
+    """
     p = params or Params()
     spark = df.sparkSession
     prepared = prepare(df, date_col, verbatim_col, conversation_id_col, parser)
     scored = with_sentiment(prepared, p.lexicon)
-    bounds = date_bounds(prepared)
     out: dict[str, DataFrame] = {}
 
-    daily = materialize(daily_spikes(scored, p.z_threshold))
-    refine_stats = None
+    band = (0.01, p.ambiguous_threshold) if p.use_model else None
+    daily = materialize(daily_spikes(scored, p.z_threshold, ambiguous_band=band))
+    bounds = bounds_from_daily(daily)
     if p.use_model:
         if scorer_factory is None:
             raise ValueError("use_model=True needs a scorer_factory")
         daily, refine_stats = refine_daily(scored, daily, scorer_factory, p.ambiguous_threshold,
                                            p.model_sample_size, p.model_batch_size, p.z_threshold)
         daily = materialize(daily)
-    out["daily_stats"] = daily
-    if refine_stats is not None:
         out["refine_stats"] = refine_stats
+    out["daily_stats"] = daily
     out["spike_details"] = materialize(spike_details(scored, daily, stopwords=p.stopwords))
 
     if with_topics:
         out["topics"] = materialize(emerging_topics(
             prepared, bounds.max_date, p.n_topics, p.topic_recent_days, p.lda_sample_size,
-            stopwords=p.stopwords))
+            stopwords=p.stopwords, daily=daily))
 
     counts = materialize(term_daily_counts(prepared, p.stopwords))
     trending = materialize(trending_terms(counts, p.growth_window, p.growth_factor, p.top_n_terms))
@@ -123,8 +129,9 @@ def full_report(df: DataFrame, date_col: str = "date", verbatim_col: str = "verb
     out["trending_terms"] = trending
     out["novel_terms"] = novel
     if with_examples:
-        out["trending_examples"] = term_examples(prepared, trending, p.max_samples_per_term)
-        out["novel_examples"] = term_examples(prepared, novel, p.max_samples_per_term)
+        ex = term_examples_many(prepared, {"trending": trending, "novel": novel}, p.max_samples_per_term)
+        out["trending_examples"] = ex["trending"]
+        out["novel_examples"] = ex["novel"]
 
     n_spikes = out["spike_details"].count()
     out["summary"] = summary(spark, bounds, n_spikes, trending.count(), novel.count())
