@@ -11,6 +11,7 @@ executor never forces a rescan of the conversations.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -90,7 +91,8 @@ def dashboard_novel(novel: DataFrame, top: int = DASHBOARD_TOP) -> DataFrame:
 def full_report(df: DataFrame, date_col: str = "date", verbatim_col: str = "verbatims",
                 conversation_id_col: str = "conversation_id", parser: str = "split",
                 params: Params | None = None, scorer_factory: ScorerFactory | None = None,
-                with_topics: bool = True, with_examples: bool = True) -> dict[str, DataFrame]:
+                with_topics: bool = True, with_examples: bool = True,
+                parallel: bool = True) -> dict[str, DataFrame]:
     """Run every analysis; returns a dict of DataFrames (see README for the schemas).
 
     Passes over the conversation table: daily statistics (which also yield the
@@ -105,33 +107,50 @@ def full_report(df: DataFrame, date_col: str = "date", verbatim_col: str = "verb
     out: dict[str, DataFrame] = {}
 
     band = (0.01, p.ambiguous_threshold) if p.use_model else None
-    daily = materialize(daily_spikes(scored, p.z_threshold, ambiguous_band=band))
-    bounds = bounds_from_daily(daily)
-    if p.use_model:
-        if scorer_factory is None:
-            raise ValueError("use_model=True needs a scorer_factory")
-        daily, refine_stats = refine_daily(scored, daily, scorer_factory, p.ambiguous_threshold,
-                                           p.model_sample_size, p.model_batch_size, p.z_threshold)
-        daily = materialize(daily)
-        out["refine_stats"] = refine_stats
-    out["daily_stats"] = daily
-    out["spike_details"] = materialize(spike_details(scored, daily, stopwords=p.stopwords))
-
-    if with_topics:
-        out["topics"] = materialize(emerging_topics(
-            prepared, bounds.max_date, p.n_topics, p.topic_recent_days, p.lda_sample_size,
-            stopwords=p.stopwords, daily=daily))
-
-    counts = materialize(term_daily_counts(prepared, p.stopwords))
-    trending = materialize(trending_terms(counts, p.growth_window, p.growth_factor, p.top_n_terms))
-    novel = materialize(novel_terms(counts, bounds.min_date, bounds.max_date, p.novel_recent_days,
-                                    p.novel_min_count, p.top_n_terms))
-    out["trending_terms"] = trending
-    out["novel_terms"] = novel
-    if with_examples:
-        ex = term_examples_many(prepared, {"trending": trending, "novel": novel}, p.max_samples_per_term)
-        out["trending_examples"] = ex["trending"]
-        out["novel_examples"] = ex["novel"]
+    daily0 = materialize(daily_spikes(scored, p.z_threshold, ambiguous_band=band))
+    bounds = bounds_from_daily(daily0)
+    if p.use_model and scorer_factory is None:
+        raise ValueError("use_model=True needs a scorer_factory")
+
+    def details():
+        # spike details follow the corrected spike flags when the model pass runs
+        res = {}
+        daily = daily0
+        if p.use_model:
+            daily, res["refine_stats"] = refine_daily(scored, daily0, scorer_factory, p.ambiguous_threshold,
+                                                      p.model_sample_size, p.model_batch_size, p.z_threshold)
+            daily = materialize(daily)
+        res["daily_stats"] = daily
+        res["spike_details"] = materialize(spike_details(scored, daily, stopwords=p.stopwords))
+        return res
+
+    def topics():
+        return {"topics": emerging_topics(prepared, bounds.max_date, p.n_topics, p.topic_recent_days,
+                                          p.lda_sample_size, stopwords=p.stopwords, daily=daily0)}
+
+    def terms():
+        counts = materialize(term_daily_counts(prepared, p.stopwords))
+        trending = materialize(trending_terms(counts, p.growth_window, p.growth_factor, p.top_n_terms))
+        novel = materialize(novel_terms(counts, bounds.min_date, bounds.max_date, p.novel_recent_days,
+                                        p.novel_min_count, p.top_n_terms))
+        res = {"trending_terms": trending, "novel_terms": novel}
+        if with_examples:
+            ex = term_examples_many(prepared, {"trending": trending, "novel": novel}, p.max_samples_per_term)
+            res["trending_examples"] = ex["trending"]
+            res["novel_examples"] = ex["novel"]
+        return res
+
+    tasks = [details, terms] + ([topics] if with_topics else [])
+    if parallel:
+        # independent analyses: submit their jobs concurrently so that the
+        # cluster stays busy while one of them waits on the driver (LDA steps)
+        with ThreadPoolExecutor(max_workers=len(tasks)) as pool:
+            for res in pool.map(lambda f: f(), tasks):
+                out.update(res)
+    else:
+        for f in tasks:
+            out.update(f())
+    trending, novel, daily = out["trending_terms"], out["novel_terms"], out["daily_stats"]
 
     n_spikes = out["spike_details"].count()
     out["summary"] = summary(spark, bounds, n_spikes, trending.count(), novel.count())

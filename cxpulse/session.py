@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 # joins against a side larger than this many rows are left to the planner (AQE)
 MAX_BROADCAST_ROWS = 1_000_000
+# inputs estimated above this size are never repartitioned by `spread`
+SPREAD_MAX_BYTES = 8 * 1024 ** 3
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str = "cxpulse",
@@ -65,14 +67,24 @@ def materialize(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a narrow input over the cluster before CPU-heavy row work.
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of a DataFrame's plan (no job runs)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # pragma: no cover - estimate unavailable
+        return None
 
-    A large input already arrives in thousands of scan splits and is returned
-    unchanged (no shuffle).  A small one (a few files or row groups) would run
-    its whole text pipeline in a handful of tasks; it is round-robin
-    repartitioned to the session's parallelism instead.  Spark sorts before a
-    round-robin repartition, so a retried task sees the same rows.
+
+def spread(df: DataFrame, min_partitions: int | None = None, max_bytes: int = SPREAD_MAX_BYTES) -> DataFrame:
+    """Spread a small, narrow input over the cluster before CPU-heavy row work.
+
+    A large input already arrives in many scan splits and is returned
+    unchanged (no shuffle).  A small one stored in a few files or row groups
+    would run its whole text pipeline in a handful of tasks; it is round-robin
+    repartitioned to the session's parallelism instead — but only when the
+    planner's size estimate is at most ``max_bytes``, so a mid-sized input on
+    a very large cluster is never shuffled just to occupy idle cores.  Spark
+    sorts before a round-robin repartition, so a retried task sees the same rows.
     """
     if df.isStreaming:
         return df
@@ -80,6 +92,9 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     n = df.rdd.getNumPartitions()
     if n >= target:
         return df
+    size = estimated_bytes(df)
+    if size is None or size > max_bytes:
+        return df
     return df.repartition(target)
 
 

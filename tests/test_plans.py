@@ -86,3 +86,5 @@ def test_spread_is_noop_for_wide_inputs(spark):
     narrow = spark.range(0, 1000, 1, 1)
     assert spread(narrow, 8).rdd.getNumPartitions() == 8
     assert sorted(r.id for r in spread(narrow, 8).collect()) == list(range(1000))
+    # a narrow input estimated above the cap is left alone (no shuffle)
+    assert spread(narrow, 8, max_bytes=10) is narrow
