@@ -36,6 +36,54 @@ def term_daily_counts(prepared: DataFrame, stopwords=DEFAULT_STOPWORDS) -> DataF
     return exploded.groupBy("date", "term").agg(F.count(F.lit(1)).alias("count"))
 
 
+def daily_and_term_counts(scored: DataFrame, ambiguous_band: tuple | None = None,
+                          exclude_negative: bool = False, stopwords=DEFAULT_STOPWORDS) -> DataFrame:
+    """Daily statistics and (date, term) document frequencies from ONE pass.
+
+    Every conversation emits one marker row (term = null) carrying its score
+    and flags, plus one row per distinct content term; a single aggregation by
+    (date, term) then yields both results (split them with ``daily_part`` and
+    ``term_part``).  Partial aggregation keeps one marker row per day and map
+    task, so the day rows never concentrate on a reducer.
+    """
+    from .anomaly import ambiguous_condition
+
+    amb = ambiguous_condition(*ambiguous_band, exclude_negative) if ambiguous_band else F.lit(False)
+    marker = F.struct(F.lit(None).cast("string").alias("term"), F.col("neg_score").alias("score"),
+                      F.col("is_negative").alias("neg"), amb.alias("amb"))
+    per_term = F.transform(
+        distinct_content_terms("clean", stopwords),
+        lambda t: F.struct(t.alias("term"), F.lit(None).cast("double").alias("score"),
+                           F.lit(None).cast("boolean").alias("neg"), F.lit(None).cast("boolean").alias("amb")),
+    )
+    rows = scored.select("date", F.inline(F.concat(F.array(marker), per_term)))
+    return rows.groupBy("date", "term").agg(
+        F.count(F.lit(1)).alias("count"),
+        F.count_if(F.col("neg")).alias("negative_count"),
+        F.sum("score").alias("score_sum"),
+        F.count_if(F.col("amb")).alias("ambiguous_count"),
+    )
+
+
+def daily_part(combined: DataFrame, with_ambiguous: bool = False) -> DataFrame:
+    """The ``daily_sentiment`` table out of ``daily_and_term_counts``."""
+    cols = [
+        "date",
+        F.col("count").alias("total_conversations"),
+        "negative_count",
+        (F.col("score_sum") / F.col("count").cast("double")).alias("mean_neg_score"),
+        (F.col("negative_count").cast("double") / F.col("count").cast("double")).alias("negative_ratio"),
+    ]
+    if with_ambiguous:
+        cols.append("ambiguous_count")
+    return combined.where(F.col("term").isNull()).select(*cols)
+
+
+def term_part(combined: DataFrame) -> DataFrame:
+    """The ``term_daily_counts`` table out of ``daily_and_term_counts``."""
+    return combined.where(F.col("term").isNotNull()).select("date", "term", "count")
+
+
 def max_term_date(term_counts: DataFrame):
     return term_counts.agg(F.max("date")).first()[0]
 

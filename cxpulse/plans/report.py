@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import DEFAULT_LEXICON, DEFAULT_STOPWORDS, Lexicon
-from ..operators.anomaly import bounds_from_daily, daily_spikes
+from ..operators.anomaly import bounds_from_daily, rolling_zscore
 from ..operators.examples import term_examples_many
 from ..operators.prepare import DateBounds, prepare
 from ..operators.refine import ScorerFactory, refine_daily
 from ..operators.sentiment import with_sentiment
 from ..operators.spikes import spike_details
-from ..operators.terms import novel_terms, term_daily_counts, trending_terms
+from ..operators.terms import daily_and_term_counts, daily_part, novel_terms, term_part, trending_terms
 from ..operators.topics import emerging_topics
 from ..session import materialize
 
@@ -95,10 +95,12 @@ def full_report(df: DataFrame, date_col: str = "date", verbatim_col: str = "verb
                 parallel: bool = True) -> dict[str, DataFrame]:
     """Run every analysis; returns a dict of DataFrames (see README for the schemas).
 
-    Passes over the conversation table: daily statistics (which also yield the
-    date bounds, the row count, the topic segment sizes and, with a model, the
-    ambiguous counts), spike details (spike days only), the topic sample, the
-    (date, term) counts, the model sample, and one pass for all term examples.
+    Full passes over the conversation table: one for the daily statistics and
+    the (date, term) counts together (the daily table also yields the date
+    bounds, the row count, the topic segment sizes and, with a model, the
+    ambiguous counts) and one for all term examples.  Spike details read only
+    the spike days and the two samples only their hash candidates: both
+    predicates reach the scan, before any text is cleaned.
     """
     p = params or Params()
     spark = df.sparkSession
@@ -107,7 +109,11 @@ def full_report(df: DataFrame, date_col: str = "date", verbatim_col: str = "verb
     out: dict[str, DataFrame] = {}
 
     band = (0.01, p.ambiguous_threshold) if p.use_model else None
-    daily0 = materialize(daily_spikes(scored, p.z_threshold, ambiguous_band=band))
+    # one full pass: daily statistics (+ ambiguous counts) and (date, term) counts
+    combined = materialize(daily_and_term_counts(scored, band, stopwords=p.stopwords))
+    daily0 = materialize(rolling_zscore(daily_part(combined, with_ambiguous=band is not None), "negative_ratio",
+                                        z_threshold=p.z_threshold).orderBy("date"))
+    counts = term_part(combined)
     bounds = bounds_from_daily(daily0)
     if p.use_model and scorer_factory is None:
         raise ValueError("use_model=True needs a scorer_factory")
@@ -129,7 +135,6 @@ def full_report(df: DataFrame, date_col: str = "date", verbatim_col: str = "verb
                                           p.lda_sample_size, stopwords=p.stopwords, daily=daily0)}
 
     def terms():
-        counts = materialize(term_daily_counts(prepared, p.stopwords))
         trending = materialize(trending_terms(counts, p.growth_window, p.growth_factor, p.top_n_terms))
         novel = materialize(novel_terms(counts, bounds.min_date, bounds.max_date, p.novel_recent_days,
                                         p.novel_min_count, p.top_n_terms))

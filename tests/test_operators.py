@@ -135,3 +135,22 @@ def test_sf001_expected_values(spark):
     nv = novel_terms(counts, b.min_date, b.max_date).collect()
     assert (tr.term, tr.current_avg_daily, tr.growth_ratio) == ("fibre", 83.14, 831.43)
     assert len(nv) == 13 and (nv[0].term, nv[0].recent_count) == ("fibre", 582)
+
+
+def test_combined_daily_and_term_pass_equals_separate_operators(fx):
+    from cxpulse.operators.anomaly import daily_sentiment
+    from cxpulse.operators.terms import daily_and_term_counts, daily_part, term_part
+
+    p, s, counts, _ = fx
+    combined = daily_and_term_counts(s, ambiguous_band=(0.01, 0.30)).cache()
+    daily = {r.date: r for r in daily_part(combined, with_ambiguous=True).collect()}
+    ref = {r.date: r for r in daily_sentiment(s, ambiguous_band=(0.01, 0.30)).collect()}
+    assert set(daily) == set(ref)
+    for d, r in ref.items():
+        got = daily[d]
+        assert (got.total_conversations, got.negative_count, got.ambiguous_count) == (
+            r.total_conversations, r.negative_count, r.ambiguous_count)
+        assert got.mean_neg_score == pytest.approx(r.mean_neg_score, abs=1e-12)
+        assert got.negative_ratio == r.negative_ratio
+    assert term_part(combined).exceptAll(counts).count() == 0
+    assert counts.exceptAll(term_part(combined)).count() == 0
