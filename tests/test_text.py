@@ -129,3 +129,27 @@ def test_json_round_trip(spark, items):
 def test_python_repr_matches_python(spark, items):
     df = spark.createDataFrame([(items,)], "x array<string>")
     assert df.select(python_list_repr("x").alias("y")).first().y == str(items)
+
+
+def _split_parser_reference(text):
+    """The split parser's documented steps, written out in Python."""
+    from cxpulse.functions.text import WHITESPACE
+
+    if text is None:
+        return None
+    inner = text.strip(WHITESPACE).strip("[]").strip(WHITESPACE)
+    items = [i.strip(WHITESPACE).strip("'\"").strip(WHITESPACE) for i in inner.split(", ")]
+    return [i for i in items if i]
+
+
+def test_split_parser_matches_its_definition(spark):
+    import random
+
+    rng = random.Random(7)
+    alphabet = " ,'\"[]ab\n\t\u00a0\u3000"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 24))) for _ in range(5000)]
+    texts += ["['a, b', \"d'accord\", 'c']", "[ ' x ' ,  ' y ' ]", "' ', ''", "[, , ]"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string")
+    got = {r.i: r.y for r in df.select("i", parse_list_split("x").alias("y")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == _split_parser_reference(t), t
