@@ -33,10 +33,13 @@ def unigram_hits(clean, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
 
 
 def bigram_hits(clean, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
+    # replace() removes whole occurrences, so the byte-length difference is an
+    # exact multiple of the phrase's byte length (octet_length is O(1))
     c = _col(clean)
     total = F.lit(0)
     for b in lexicon.bigrams:
-        total = total + F.floor((F.length(c) - F.length(F.replace(c, F.lit(b), F.lit("")))) / F.lit(len(b)))
+        removed = F.octet_length(c) - F.octet_length(F.replace(c, F.lit(b), F.lit("")))
+        total = total + F.floor(removed / F.lit(len(b.encode("utf-8"))))
     return total.cast("int")
 
 

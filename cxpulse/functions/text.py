@@ -71,6 +71,12 @@ def content_terms(clean, stopwords: Iterable[str] = DEFAULT_STOPWORDS, min_len:
     return F.filter(words(clean), lambda t: (F.length(t) >= min_len) & ~t.isin(stop))
 
 
+def is_content_term(term, stopwords: Iterable[str] = DEFAULT_STOPWORDS, min_len: int = 3) -> Column:
+    """Row predicate on an exploded token (generated code; no per-element lambda)."""
+    t = _col(term)
+    return (F.length(t) >= min_len) & ~t.isin(list(stopwords))
+
+
 def distinct_content_terms(clean, stopwords: Iterable[str] = DEFAULT_STOPWORDS) -> Column:
     """Distinct content terms of one text (document-frequency counting)."""
     return F.array_distinct(content_terms(clean, stopwords))
@@ -115,27 +121,21 @@ def parse_list_split(c) -> Column:
     ``"x","y"`` (no space) stays one item — both are intended.
 
     The per-item strip equals removing the maximal whitespace-quotes-whitespace
-    run at each item edge.  The split pattern ", " with such runs on both sides
-    removes the inner edges of neighbouring items; only the outer edges of the
-    first and last item remain to strip.  No lambda runs per item, everything
-    stays in generated code.
+    run at each item edge, and the split pattern ", " with such runs on both
+    sides removes the inner edges of neighbouring items.  Padding the text with
+    ", " at both ends makes every item edge an inner edge, so one regex pass
+    does the split and all the stripping (empty items are dropped).  `split`
+    would recompile its regex per row while `regexp_replace` caches it, so the
+    separator runs are first replaced by one control character and the split
+    is on that character (Java's no-regex path); a text that already contains
+    the character is split with the regex itself.  No lambda runs per item.
     """
     inner = strip_ws(F.btrim(strip_ws(_col(c)), F.lit("[]")))
+    padded = F.concat(F.lit(", "), inner, F.lit(", "))
     sep = f"(?U){_ITEM_EDGE}, {_ITEM_EDGE}"
-    # `split` recompiles its regex for every row; `regexp_replace` caches it.
-    # Mark each separator run with one control character (same matches, same
-    # order) and split on that character, which takes Java's no-regex path.
-    marked = F.split(F.regexp_replace(inner, sep, _MARK), _MARK, -1)
-    items = F.when(F.contains(inner, F.lit(_MARK)), F.split(inner, sep, -1)).otherwise(marked)
-    n = F.size(items)
-    head = F.element_at(items, 1)
-    only = F.array(F.regexp_replace(head, f"(?U)^{_ITEM_EDGE}|{_ITEM_EDGE}$", ""))
-    several = F.concat(
-        F.array(F.regexp_replace(head, f"(?U)^{_ITEM_EDGE}", "")),
-        F.slice(items, F.lit(2), n - 2),
-        F.array(F.regexp_replace(F.element_at(items, -1), f"(?U){_ITEM_EDGE}$", "")),
-    )
-    return F.array_remove(F.when(n == 1, only).otherwise(several), "")
+    items = F.when(F.contains(padded, F.lit(_MARK)), F.split(padded, sep, -1)).otherwise(
+        F.split(F.regexp_replace(padded, sep, _MARK), _MARK, -1))
+    return F.array_remove(items, "")
 
 
 _JSON_OPTS = {

@@ -40,10 +40,14 @@ def _first_run(term: str) -> str | None:
     return runs[0] if runs else None
 
 
-def matched_terms(clean_col: str, terms: list[str]):
-    """Array column of the terms (from ``terms``) found word-bounded in ``clean``."""
+def matched_terms(clean_col: str, terms: list[str], runs_col: str | None = None):
+    """Array column of the terms (from ``terms``) found word-bounded in ``clean``.
+
+    ``runs_col`` names a column already holding ``array_distinct(letter_runs(clean))``
+    (computed once instead of once per term check).
+    """
     simple, other = _split_terms(terms)
-    runs = F.array_distinct(letter_runs(clean_col))
+    runs = F.col(runs_col) if runs_col else F.array_distinct(letter_runs(clean_col))
     parts = []
     if simple:
         parts.append(F.array_intersect(runs, F.array(*[F.lit(t) for t in simple])))
@@ -79,9 +83,14 @@ def _collect_terms(terms_df: DataFrame, term_col: str):
 
 def _examples(prepared: DataFrame, terms: list[str], n: int, order: str) -> DataFrame:
     """(_term, rn, date, conversation_id, verbatim): up to n matches per term, one pass."""
-    pairs = prepared.select(
+    # the letter runs feed every term check: compute them once per row
+    cand = prepared.select(
+        "date", "conversation_id", "verbatim", "clean",
+        F.array_distinct(letter_runs("clean")).alias("_runs"),
+    )
+    pairs = cand.select(
         "date", "conversation_id", "verbatim",
-        F.explode(matched_terms("clean", terms)).alias("_term"),
+        F.explode(matched_terms("clean", terms, runs_col="_runs")).alias("_term"),
     )
     w = Window.partitionBy("_term").orderBy(*_ordering(order))
     return pairs.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)

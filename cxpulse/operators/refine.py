@@ -61,11 +61,16 @@ def label_udf(scorer_factory: ScorerFactory, batch_size: int = 32):
 
 def ambiguous_sample(scored: DataFrame, sample_size: int = 50_000, low: float = 0.01,
                      high: float = 0.30, seed: int = DEFAULT_SEED, total: int | None = None) -> DataFrame:
-    """The exact hash-ordered sample of ambiguous conversations."""
-    amb = ambiguous(scored, low, high).select("date", "conversation_id", "clean", "neg_score")
+    """The exact hash-ordered sample of ambiguous conversations.
+
+    The band test needs the score; it runs after the hash pre-filter, so only
+    the hash candidates are scored.
+    """
     if total is None:
-        total = amb.count()
-    return exact_sample(amb, {None: sample_size}, {None: total}, ["conversation_id"])
+        total = ambiguous(scored, low, high).count()
+    src = scored.select("date", "conversation_id", "clean", "neg_score")
+    band = (F.col("neg_score") > F.lit(low)) & (F.col("neg_score") <= F.lit(high))
+    return exact_sample(src, {None: sample_size}, {None: total}, ["conversation_id"], condition=band)
 
 
 def label_sample(sample: DataFrame, scorer_factory: ScorerFactory = length_stars_scorer,

@@ -43,12 +43,15 @@ def _threshold(n: int, total: int) -> int | None:
 
 def segment_sample(df: DataFrame, sizes: dict, totals: dict, key_cols: list[str],
                    segment_col: str | None = None, seed: int = DEFAULT_SEED,
-                   keep_threshold: bool = True) -> DataFrame:
+                   keep_threshold: bool = True, condition=None) -> DataFrame:
     """Rows with the ``sizes[s]`` smallest hashes in each segment ``s``.
 
     ``totals[s]`` is the number of rows in segment ``s`` (from a prior count).
     Without ``segment_col`` pass ``{None: n}`` / ``{None: total}``.
     Output: the input columns plus ``sample_rank`` (1-based, per segment).
+    ``condition`` restricts the population (``totals`` must count rows passing
+    it); it is applied after the cheap hash filter, so an expensive condition
+    only runs on the hash candidates.
     """
     h = hash_key(key_cols, seed)
     seg = F.col(segment_col) if segment_col else F.lit(None)
@@ -64,6 +67,8 @@ def segment_sample(df: DataFrame, sizes: dict, totals: dict, key_cols: list[str]
             lim = lims[s]
             keep = keep | (in_seg if lim is None else (in_seg & (F.col("_h32") < F.lit(lim))))
         cand = df.withColumn("_h", h).withColumn("_h32", _prefix32(F.col("_h"))).where(keep)
+        if condition is not None:
+            cand = cand.where(condition)
         part = [segment_col] if segment_col else []
         w = Window.partitionBy(*part).orderBy("_h", *key_cols)
         n_of = F.lit(0)
@@ -80,14 +85,14 @@ def segment_sample(df: DataFrame, sizes: dict, totals: dict, key_cols: list[str]
 
 def exact_sample(df: DataFrame, sizes: dict, totals: dict, key_cols: list[str],
                  segment_col: str | None = None, seed: int = DEFAULT_SEED,
-                 materialized: bool = True) -> DataFrame:
+                 materialized: bool = True, condition=None) -> DataFrame:
     """Like ``segment_sample`` but guaranteed exact.
 
     The sample (bounded by the requested sizes) is checkpointed to the shared
     checkpoint folder, its per-segment sizes are checked on that small copy,
     and a segment that came back short is redone without the hash pre-filter.
     """
-    sample, build, limits = segment_sample(df, sizes, totals, key_cols, segment_col, seed)
+    sample, build, limits = segment_sample(df, sizes, totals, key_cols, segment_col, seed, condition=condition)
     if not materialized:
         return sample
     parallelism = df.sparkSession.sparkContext.defaultParallelism

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import DEFAULT_STOPWORDS
-from ..functions.text import content_terms
+from ..functions.text import is_content_term, words
 from .anomaly import spike_dates as _spike_dates
 
 
@@ -35,7 +35,8 @@ def spike_top_terms(scored: DataFrame, dates: list, top: int = 10, stopwords=DEF
     Term frequency: a term repeated in one conversation counts every time.
     Ties are broken by term.
     """
-    toks = _negatives_on(scored, dates).select("date", F.explode(content_terms("clean", stopwords)).alias("term"))
+    toks = _negatives_on(scored, dates).select("date", F.explode(words("clean")).alias("term"))
+    toks = toks.where(is_content_term("term", stopwords))
     counts = toks.groupBy("date", "term").agg(F.count(F.lit(1)).alias("count"))
     w = Window.partitionBy("date").orderBy(F.desc("count"), F.asc("term"))
     ranked = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)

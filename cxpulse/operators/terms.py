@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import DEFAULT_STOPWORDS
-from ..functions.text import distinct_content_terms
+from ..functions.text import is_content_term, words
 
 BASELINE_DAYS = 30
 MIN_BASELINE = 0.5
@@ -30,9 +30,10 @@ def term_daily_counts(prepared: DataFrame, stopwords=DEFAULT_STOPWORDS) -> DataF
     A term is a whitespace token of ``clean`` that is not a stop word and has
     more than 2 characters; it counts once per conversation.
     """
-    exploded = prepared.select(
-        "date", F.explode(distinct_content_terms("clean", stopwords)).alias("term")
-    )
+    # explode the distinct tokens, then keep content terms with a row filter
+    # (generated code) rather than a per-element lambda before the explode
+    exploded = prepared.select("date", F.explode(F.array_distinct(words("clean"))).alias("term"))
+    exploded = exploded.where(is_content_term("term", stopwords))
     return exploded.groupBy("date", "term").agg(F.count(F.lit(1)).alias("count"))
 
 
@@ -49,19 +50,17 @@ def daily_and_term_counts(scored: DataFrame, ambiguous_band: tuple | None = None
     from .anomaly import ambiguous_condition
 
     amb = ambiguous_condition(*ambiguous_band, exclude_negative) if ambiguous_band else F.lit(False)
-    marker = F.struct(F.lit(None).cast("string").alias("term"), F.col("neg_score").alias("score"),
-                      F.col("is_negative").alias("neg"), amb.alias("amb"))
-    per_term = F.transform(
-        distinct_content_terms("clean", stopwords),
-        lambda t: F.struct(t.alias("term"), F.lit(None).cast("double").alias("score"),
-                           F.lit(None).cast("boolean").alias("neg"), F.lit(None).cast("boolean").alias("amb")),
-    )
-    rows = scored.select("date", F.inline(F.concat(F.array(marker), per_term)))
+    # null first element = the conversation's own (marker) row
+    tokens = F.concat(F.array(F.lit(None).cast("string")), F.array_distinct(words("clean")))
+    rows = scored.select("date", F.col("neg_score").alias("_score"), F.col("is_negative").alias("_neg"),
+                         amb.alias("_amb"), F.explode(tokens).alias("term"))
+    rows = rows.where(F.col("term").isNull() | is_content_term("term", stopwords))
+    marker = F.col("term").isNull()
     return rows.groupBy("date", "term").agg(
         F.count(F.lit(1)).alias("count"),
-        F.count_if(F.col("neg")).alias("negative_count"),
-        F.sum("score").alias("score_sum"),
-        F.count_if(F.col("amb")).alias("ambiguous_count"),
+        F.count_if(marker & F.col("_neg")).alias("negative_count"),
+        F.sum(F.when(marker, F.col("_score"))).alias("score_sum"),
+        F.count_if(marker & F.col("_amb")).alias("ambiguous_count"),
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +76,19 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
+def materialize_table(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
+
+    Used for a large intermediate read by several later passes: the readers
+    get column pruning and compression, and a lost executor never forces the
+    producing pass to run again.
+    """
+    base = checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{base}/cxpulse-{name}-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def spread(df: DataFrame, min_partitions: int | None = None, max_bytes: int = SPREAD_MAX_BYTES) -> DataFrame:
     """Spread a small, narrow input over the cluster before CPU-heavy row work.
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.lexicon import DEFAULT_LEXICON, DEFAULT_STOPWORDS, Lexicon
-from ..functions.text import distinct_content_terms
+from ..functions.text import is_content_term, words
 from ..operators.prepare import prepare
 from ..operators.sentiment import with_sentiment
 
@@ -62,7 +62,8 @@ def term_counts_stream(stream: DataFrame, date_col: str = "date", verbatim_col:
                        stopwords=DEFAULT_STOPWORDS) -> DataFrame:
     """Streaming (date, term, count) document frequencies."""
     p = prepare(stream, date_col, verbatim_col, conversation_id_col, parser, spread_input=False)
-    terms = p.select("date", F.explode(distinct_content_terms("clean", stopwords)).alias("term"))
+    terms = p.select("date", F.explode(F.array_distinct(words("clean"))).alias("term"))
+    terms = terms.where(is_content_term("term", stopwords))
     return terms.groupBy("date", "term").agg(F.count(F.lit(1)).alias("count"))
 
 
