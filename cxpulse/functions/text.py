@@ -86,16 +86,6 @@ def truncate(c, n: int = 500) -> Column:
     return F.substring(_col(c), 1, n)
 
 
-def regex_quote(c) -> Column:
-    """``\\Q...\\E`` quoting of a string column for use inside a Java pattern."""
-    return F.concat(F.lit("\\Q"), F.replace(_col(c), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-
-
-def word_bounded_pattern(term) -> Column:
-    """``(?U)\\bTERM\\b`` as a column (pattern built per term, not per row)."""
-    return F.concat(F.lit("(?U)\\b"), regex_quote(term), F.lit("\\b"))
-
-
 # ---------------------------------------------------------------------------
 # message-list parsers
 # ---------------------------------------------------------------------------

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import letter_runs
-from ..session import materialize
+from ..session import bounded_broadcast, materialize
 
 MAX_TERMS = 10_000
 
@@ -96,11 +96,11 @@ def _examples(prepared: DataFrame, terms: list[str], n: int, order: str) -> Data
     return pairs.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
 
 
-def _attach(spark, rows, schema, columns, ex: DataFrame, term_col: str) -> DataFrame:
+def _attach(spark, rows, schema, columns, ex: DataFrame, term_col: str, bound: int) -> DataFrame:
     # the term list is already on the driver: reuse it instead of recomputing its plan
     terms_local = spark.createDataFrame(rows, schema)
     # at most n rows per term survive: the example side has a proven bound
-    joined = terms_local.join(F.broadcast(ex), terms_local[term_col] == ex["_term"], "left")
+    joined = terms_local.join(bounded_broadcast(ex, row_bound=bound), terms_local[term_col] == ex["_term"], "left")
     return joined.select(
         *[terms_local[c] for c in columns],
         F.col("rn").cast("int").alias("rn"), "date", "conversation_id", "verbatim",
@@ -117,7 +117,7 @@ def term_examples(prepared: DataFrame, terms_df: DataFrame, n: int = 20, order:
     rows = _collect_terms(terms_df, term_col)
     terms = sorted({r[term_col] for r in rows if r[term_col] is not None})
     ex = _examples(prepared, terms, n, order)
-    return _attach(prepared.sparkSession, rows, terms_df.schema, terms_df.columns, ex, term_col)
+    return _attach(prepared.sparkSession, rows, terms_df.schema, terms_df.columns, ex, term_col, n * len(terms))
 
 
 def term_examples_many(prepared: DataFrame, term_lists: dict[str, DataFrame], n: int = 20,
@@ -128,4 +128,6 @@ def term_examples_many(prepared: DataFrame, term_lists: dict[str, DataFrame], n:
     terms = sorted({r[term_col] for rows in collected.values() for r in rows if r[term_col] is not None})
     ex = materialize(_examples(prepared, terms, n, order))
     spark = prepared.sparkSession
-    return {k: _attach(spark, collected[k], df.schema, df.columns, ex, term_col) for k, df in term_lists.items()}
+    bound = n * len(terms)
+    return {k: _attach(spark, collected[k], df.schema, df.columns, ex, term_col, bound)
+            for k, df in term_lists.items()}
