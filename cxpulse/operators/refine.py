@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import stars_to_score
 from ..functions.text import truncate
+from ..session import ship_package
 from .anomaly import rolling_zscore
 from .sampling import DEFAULT_SEED, exact_sample
 from .sentiment import ambiguous
@@ -76,6 +77,7 @@ def ambiguous_sample(scored: DataFrame, sample_size: int = 50_000, low: float =
 def label_sample(sample: DataFrame, scorer_factory: ScorerFactory = length_stars_scorer,
                  batch_size: int = 32) -> DataFrame:
     """Adds model_label, model_score and model_negative (score > 0.6)."""
+    ship_package(sample.sparkSession)
     lab = sample.withColumn("model_label", label_udf(scorer_factory, batch_size)(truncate("clean", MAX_CHARS)))
     lab = lab.withColumn("model_score", stars_to_score("model_label"))
     return lab.withColumn("model_negative", F.col("model_score") > F.lit(MODEL_NEGATIVE))

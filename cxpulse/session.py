@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -15,6 +16,28 @@ MAX_BROADCAST_ROWS = 1_000_000
 SPREAD_MAX_BYTES = 8 * 1024 ** 3
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable on the executors' Python workers.
+
+    Only the model UDF runs Python on executors; its closure refers to this
+    package, so the package is zipped once per application and added with
+    ``addPyFile`` (Spark distributes it to every executor).
+    """
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    tmp = tempfile.mkdtemp(prefix="cxpulse-pkg-")
+    archive = shutil.make_archive(os.path.join(tmp, "cxpulse"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir=os.path.basename(pkg_dir))
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
+
+
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str = "cxpulse",
                   driver_memory: str = "8g") -> SparkSession:
     """A local session for tests and benchmarks (a cluster provides its own)."""
