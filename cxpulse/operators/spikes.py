@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicon import DEFAULT_STOPWORDS
 from ..functions.text import is_content_term, words
+from ..session import materialize_table
 from .anomaly import spike_dates as _spike_dates
 
 
@@ -35,7 +36,11 @@ def spike_top_terms(scored: DataFrame, dates: list, top: int = 10, stopwords=DEF
     Term frequency: a term repeated in one conversation counts every time.
     Ties are broken by term.
     """
-    toks = _negatives_on(scored, dates).select("date", F.explode(words("clean")).alias("term"))
+    return _top_terms_of(_negatives_on(scored, dates), top, stopwords)
+
+
+def _top_terms_of(neg: DataFrame, top: int, stopwords) -> DataFrame:
+    toks = neg.select("date", F.explode(words("clean")).alias("term"))
     toks = toks.where(is_content_term("term", stopwords))
     counts = toks.groupBy("date", "term").agg(F.count(F.lit(1)).alias("count"))
     w = Window.partitionBy("date").orderBy(F.desc("count"), F.asc("term"))
@@ -46,7 +51,11 @@ def spike_top_terms(scored: DataFrame, dates: list, top: int = 10, stopwords=DEF
 
 def spike_samples(scored: DataFrame, dates: list, samples: int = 5) -> DataFrame:
     """(date, rank, conversation_id, verbatim): first negatives of the day by conversation_id."""
-    neg = _negatives_on(scored, dates).select("date", "conversation_id", "verbatim")
+    return _samples_of(_negatives_on(scored, dates), samples)
+
+
+def _samples_of(neg: DataFrame, samples: int) -> DataFrame:
+    neg = neg.select("date", "conversation_id", "verbatim")
     w = Window.partitionBy("date").orderBy(F.asc("conversation_id"), F.asc("verbatim"))
     ranked = neg.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= samples)
     return ranked.select("date", F.col("rank").cast("int").alias("rank"), "conversation_id", "verbatim")
@@ -61,13 +70,17 @@ def spike_details(scored: DataFrame, daily: DataFrame, spike_col: str | None = N
     dates = collect_spike_dates(daily, spike_col)
     spark = scored.sparkSession
     days = spark.createDataFrame([(d,) for d in dates], "date date")
+    # one scan for the spike days' negatives, written once; terms and samples read that subset
+    neg = _negatives_on(scored, dates).select("date", "conversation_id", "verbatim", "clean")
+    if dates:
+        neg = materialize_table(neg, "spike-negatives")
     terms = (
-        spike_top_terms(scored, dates, top, stopwords)
+        _top_terms_of(neg, top, stopwords)
         .groupBy("date")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "term", "count"))).alias("_t"))
     )
     samp = (
-        spike_samples(scored, dates, samples)
+        _samples_of(neg, samples)
         .groupBy("date")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "verbatim"))).alias("_s"))
     )
