@@ -160,6 +160,10 @@ def novel_terms(term_counts: DataFrame, min_date: dt.date, max_date: dt.date, re
     (>= min_count); history daily rate = history_total / history days (< 1.0).
     novelty = "nouveau" when the history is empty, else "quasi_nouveau".
     """
+    if max_date is None or min_date is None:  # no data: fixed schema, no rows
+        return term_counts.sparkSession.createDataFrame(
+            [], "term string, recent_count bigint, recent_daily_avg double, history_total bigint, "
+                "history_daily_avg double, novelty string")
     cutoff = max_date - dt.timedelta(days=recent_days)
     hist_days = float(history_days(min_date, max_date, recent_days))
     recent = F.col("date") >= F.lit(cutoff)

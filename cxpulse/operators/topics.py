@@ -119,6 +119,10 @@ def emerging_topics(prepared: DataFrame, max_date: dt.date, n_topics: int = 10,
     on the optimiser; the sample, vocabulary and arithmetic are deterministic.
     """
     spark = prepared.sparkSession
+    schema = ("topic_id int, top_words array<string>, recent_weight double, history_weight double, "
+              "emergence_ratio double, is_emerging boolean")
+    if max_date is None:  # no data
+        return spark.createDataFrame([], schema)
     n_docs = None
     if sample is None:
         plan = topic_sample_plan(prepared, max_date, recent_days, sample_size, daily=daily)
@@ -126,8 +130,6 @@ def emerging_topics(prepared: DataFrame, max_date: dt.date, n_topics: int = 10,
         sample = topic_sample(prepared, max_date, recent_days, sample_size, seed, plan=plan)
     vocab = [r["term"] for r in
              topic_vocabulary(sample, max_features, min_df, max_df, stopwords, n_docs=n_docs).collect()]
-    schema = ("topic_id int, top_words array<string>, recent_weight double, history_weight double, "
-              "emergence_ratio double, is_emerging boolean")
     if not vocab:
         return spark.createDataFrame([], schema)
     docs = spread(sample.select("is_recent", topic_grams("clean", stopwords).alias("grams")))

@@ -83,3 +83,13 @@ def test_streaming_daily_counts_equal_batch(spark, tmp_path):
     for d, r in got.items():
         assert (r.total_conversations, r.negative_count) == (batch[d].total_conversations, batch[d].negative_count)
         assert r.mean_neg_score == pytest.approx(batch[d].mean_neg_score)
+
+
+def test_report_on_empty_input_keeps_schemas(spark):
+    conv = C.fixture(spark, SF0001).where("date > '2030-01-01'")
+    rep = full_report(conv, with_topics=True)
+    assert rep["daily_stats"].count() == 0 and rep["trending_terms"].count() == 0
+    assert rep["novel_terms"].columns == ["term", "recent_count", "recent_daily_avg", "history_total",
+                                          "history_daily_avg", "novelty"]
+    assert rep["topics"].count() == 0 and rep["spike_details"].count() == 0
+    assert {r.metric: r.value for r in rep["summary"].collect()}["total_conversations"] == "0"
