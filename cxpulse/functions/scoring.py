@@ -7,7 +7,9 @@ score = (unigram hits + bigram hits) / max(#whitespace tokens, 1), capped at 1.
   is an array filter with a hash-set membership test — no regex per row;
 * bigrams are plain substrings (no boundary), counted per phrase as
   ``(len(text) - len(replace(text, phrase, ''))) / len(phrase)``;
-  the phrases of a lexicon must not overlap each other (true for the default).
+* a lexicon whose phrases can overlap in a text (or whose words hold a
+  separator) is counted by one alternation instead, leftmost and
+  non-overlapping; which way applies depends on the lexicon alone.
 * a word and a bigram containing it both count.
 """
 
@@ -22,20 +24,37 @@ from .lexicon import DEFAULT_LEXICON, Lexicon
 from .text import _col, letter_runs, words
 
 
+def _alternation(items) -> str:
+    return "(" + "|".join(re.escape(x) for x in items) + ")"
+
+
+def can_overlap(phrases) -> bool:
+    """Whether occurrences of two phrases (or of one with itself) can share characters in some text."""
+    ps = list(dict.fromkeys(phrases))
+    for a in ps:
+        for b in ps:
+            if a != b and a in b:
+                return True
+            if any(a[-k:] == b[:k] for k in range(1, min(len(a), len(b)))):
+                return True
+    return False
+
+
 def unigram_hits(clean, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
-    simple = [w for w in lexicon.words if re.fullmatch(r"[^\s'-]+", w)]
-    other = [w for w in lexicon.words if w not in simple]
-    hits = F.size(F.filter(letter_runs(clean), lambda t: t.isin(simple))) if simple else F.lit(0)
-    # words containing a separator cannot be a single letter run: count them by regex
-    for w in other:
-        hits = hits + F.regexp_count(_col(clean), F.lit(r"(?U)\b" + re.escape(w) + r"\b"))
-    return hits
+    if not lexicon.words:
+        return F.lit(0)
+    if all(re.fullmatch(r"[^\s'-]+", w) for w in lexicon.words):
+        simple = list(lexicon.words)
+        return F.size(F.filter(letter_runs(clean), lambda t: t.isin(simple)))
+    return F.regexp_count(_col(clean), F.lit(r"(?U)\b" + _alternation(lexicon.words) + r"\b"))
 
 
 def bigram_hits(clean, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
+    c = _col(clean)
+    if can_overlap(lexicon.bigrams):
+        return F.regexp_count(c, F.lit(_alternation(lexicon.bigrams)))
     # replace() removes whole occurrences, so the byte-length difference is an
     # exact multiple of the phrase's byte length (octet_length is O(1))
-    c = _col(clean)
     total = F.lit(0)
     for b in lexicon.bigrams:
         removed = F.octet_length(c) - F.octet_length(F.replace(c, F.lit(b), F.lit("")))
@@ -55,17 +74,6 @@ def neg_score(clean, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
     return F.when(c.isNotNull(), F.least(ratio, F.lit(1.0)))
 
 
-def neg_score_regex(clean, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
-    """Same score written with regex counting; used by tests as a cross-check."""
-    c = _col(clean)
-    uni = r"(?U)\b(" + "|".join(re.escape(w) for w in lexicon.words) + r")\b"
-    big = "(" + "|".join(re.escape(b) for b in lexicon.bigrams) + ")"
-    hits = F.regexp_count(c, F.lit(uni)) + (F.regexp_count(c, F.lit(big)) if lexicon.bigrams else F.lit(0))
-    toks = F.regexp_count(c, F.lit(r"(?U)\S+"))
-    ratio = hits.cast("double") / F.greatest(toks, F.lit(1)).cast("double")
-    return F.when(c.isNotNull(), F.least(ratio, F.lit(1.0)))
-
-
 def stars_to_score(label) -> Column:
     """Model label ("1 star" .. "5 stars") -> negativity 1 - (stars - 1) / 4; no leading digit -> 3 stars."""
     lab = _col(label)

@@ -65,66 +65,32 @@ def letter_runs(clean) -> Column:
     return F.split(F.translate(_col(clean), "'-", "  "), " ")
 
 
-def content_terms(clean, stopwords: Iterable[str] = DEFAULT_STOPWORDS, min_len: int = 3) -> Column:
-    """Whitespace tokens that are not stop words and have at least ``min_len`` chars."""
-    stop = list(stopwords)
-    return F.filter(words(clean), lambda t: (F.length(t) >= min_len) & ~t.isin(stop))
-
-
 def is_content_term(term, stopwords: Iterable[str] = DEFAULT_STOPWORDS, min_len: int = 3) -> Column:
     """Row predicate on an exploded token (generated code; no per-element lambda)."""
     t = _col(term)
     return (F.length(t) >= min_len) & ~t.isin(list(stopwords))
 
 
-def distinct_content_terms(clean, stopwords: Iterable[str] = DEFAULT_STOPWORDS) -> Column:
-    """Distinct content terms of one text (document-frequency counting)."""
-    return F.array_distinct(content_terms(clean, stopwords))
-
-
-def truncate(c, n: int = 500) -> Column:
-    return F.substring(_col(c), 1, n)
+def truncate(c, n: int | None) -> Column:
+    """The first ``n`` characters; all of them without ``n``."""
+    return _col(c) if n is None else F.substring(_col(c), 1, n)
 
 
 # ---------------------------------------------------------------------------
 # message-list parsers
 # ---------------------------------------------------------------------------
 
-def _edge_class() -> str:
-    # (?U)\s is exactly the White_Space property (the WHITESPACE set), tested
-    # with one property lookup instead of a chain of single characters
-    return "\\s*['\"]*\\s*"
-
-
-# the run an item loses at each edge: whitespace, then quotes, then whitespace
-_ITEM_EDGE = _edge_class()
-# separator marker for the split parser (texts containing it take the slow path)
-_MARK = "\u0001"
-
-
 def parse_list_split(c) -> Column:
     """Parse a list rendered as text by bracket stripping and splitting at ", ".
 
     Strip whitespace, strip ``[`` / ``]`` chars at both ends, strip whitespace,
     split at the literal ", ", strip whitespace / quotes / whitespace from each
     item and drop empty items.  A message containing ", " is cut in two, and
-    ``"x","y"`` (no space) stays one item — both are intended.
-
-    The per-item strip equals removing the maximal whitespace-quotes-whitespace
-    run at each item edge, and the split pattern ", " with such runs on both
-    sides removes the inner edges of neighbouring items.  Padding the text with
-    ", " at both ends makes every item edge an inner edge, so one regex pass
-    does the split and all the stripping (empty items are dropped).  `split`
-    would recompile its regex per row while `regexp_replace` caches it, so the
-    separator runs are first replaced by one control character and the split
-    is on that character (Java's no-regex path); a text that already contains
-    the character is split with the regex itself.  No lambda runs per item.
+    ``"x","y"`` (no space) stays one item — both are intended.  Every step is
+    linear in the text: character-set trims, no pattern that could backtrack.
     """
     inner = strip_ws(F.btrim(strip_ws(_col(c)), F.lit("[]")))
-    padded = F.concat(F.lit(", "), inner, F.lit(", "))
-    sep = f"(?U){_ITEM_EDGE}, {_ITEM_EDGE}"
-    items = F.when(F.contains(padded, F.lit(_MARK)), F.split(padded, sep, -1)).otherwise(
-        F.split(F.regexp_replace(padded, sep, _MARK), _MARK, -1))
+    items = F.transform(F.split(inner, ", ", -1), lambda x: strip_ws(F.btrim(strip_ws(x), F.lit("'\""))))
     return F.array_remove(items, "")
 
 
@@ -135,15 +101,30 @@ _JSON_OPTS = {
 }
 
 
+def _whole_list(raw: Column) -> Column:
+    """array<string> if the whole text is one JSON (or single-quoted) list, else null.
+
+    ``from_json`` stops at the end of the first value, so the text is read inside an object that goes on after it:
+    a text that closes the list early leaves out the key that follows, or adds one.  That key is the text's own
+    digest, which no text can contain.
+    """
+    key = F.md5(raw)
+    wrapped = F.concat(F.lit('{"a":['), raw, F.lit('],"'), key, F.lit('":[["z"]]}'))
+    read = F.from_json(wrapped, "map<string,array<array<string>>>", _JSON_OPTS)
+    lists = F.element_at(read, F.lit("a"))
+    whole = (F.map_keys(read) == F.array(F.lit("a"), key)) & (F.size(lists) == 1)
+    return F.when(whole, F.get(lists, F.lit(0)))
+
+
 def parse_list_json(c) -> Column:
     """Parse a list rendered as JSON or as a Python literal.
 
-    ``from_json`` (single quotes and backslash escapes allowed) reads both forms;
-    when it fails on a bracketed text the inner part is split at quote-comma-quote;
-    a text that is not bracketed becomes a one-element list; null becomes [].
+    A text that is one list from its first to its last character is read as such (single quotes and backslash
+    escapes allowed); any other bracketed text loses its brackets and is split at quote-comma-quote, so nothing
+    that follows a first list is lost; a text that is not bracketed becomes a one-element list; null becomes [].
     """
     raw = strip_ws(_col(c))
-    parsed = F.from_json(raw, "array<string>", _JSON_OPTS)
+    parsed = _whole_list(raw)
     bracketed = raw.startswith("[") & raw.endswith("]")
     inner = F.substring(raw, F.lit(2), F.length(raw) - 2)
     pieces = F.split(inner, r"""['"],\s*['"]""", -1)

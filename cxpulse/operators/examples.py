@@ -1,110 +1,67 @@
 """Example conversations per reported term.
 
 A conversation is an example of a term when its cleaned text contains the term
-with word boundaries (``\\bterm\\b``).  The term list is a top-k result (at most
-``top_n`` rows per source), so it is read to the driver and turned into
-literals; every conversation is then matched against all terms in one pass:
-
-* a letter-only term matches exactly when it is one of the conversation's
-  letter runs — a hash intersection of two arrays, no regex;
-* a term containing ``'`` or ``-`` is checked with a literal (compiled once per
-  task) regex, only on rows that contain its first letter run.
-
-The matches are exploded to (term, conversation) pairs and limited per term
-with ``row_number() <= n`` (partial ``WindowGroupLimit`` before the shuffle,
-so a term matching a third of the rows still ships only n rows per task).
-Terms without any match keep one row with null example columns.
+with word boundaries (``\\bterm\\b``).  Terms are joined, not listed: every
+conversation gives its distinct letter runs, every term its first letter run,
+and the equality join on the run is the only meeting place of the two (a term
+list of any length works; a short one is broadcast by the planner from its
+measured size).  A term that is one run matches by that equality; a term with
+``'`` or ``-`` is checked by a regular expression on the rows its first run
+reaches.
+
+Ranking moves narrow rows only — term, date, id and a hash of the text — and
+``row_number() <= n`` is cut on the map side (``WindowGroupLimit``).  The texts
+of the survivors are fetched afterwards.  Terms without any match keep one row
+with null example columns.
 """
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import letter_runs
-from ..session import bounded_broadcast, materialize
-
-MAX_TERMS = 10_000
-
-
-def _split_terms(terms: list[str]):
-    simple = [t for t in terms if re.fullmatch(r"[^ '-]+", t)]
-    other = [t for t in terms if t not in set(simple)]
-    return simple, other
-
+from ..session import materialize
 
-def _first_run(term: str) -> str | None:
-    runs = [r for r in re.split(r"[ '-]", term) if r]
-    return runs[0] if runs else None
+_SEPARATORS = r"[ '\-]"
 
 
-def matched_terms(clean_col: str, terms: list[str], runs_col: str | None = None):
-    """Array column of the terms (from ``terms``) found word-bounded in ``clean``.
-
-    ``runs_col`` names a column already holding ``array_distinct(letter_runs(clean))``
-    (computed once instead of once per term check).
-    """
-    simple, other = _split_terms(terms)
-    runs = F.col(runs_col) if runs_col else F.array_distinct(letter_runs(clean_col))
-    parts = []
-    if simple:
-        parts.append(F.array_intersect(runs, F.array(*[F.lit(t) for t in simple])))
-    if other:
-        checks = []
-        for t in other:
-            pattern = r"(?U)\b" + re.escape(t) + r"\b"
-            key = _first_run(t)
-            cond = F.col(clean_col).rlike(pattern)
-            if key is not None:
-                cond = F.array_contains(runs, F.lit(key)) & cond
-            checks.append(F.when(cond, F.lit(t)))
-        parts.append(F.filter(F.array(*checks), lambda x: x.isNotNull()))
-    if not parts:
-        return F.array().cast("array<string>")
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
+def first_run(term) -> Column:
+    """The first non-empty letter run of a term (null if it has none)."""
+    return F.get(F.array_remove(F.split(F.col(term) if isinstance(term, str) else term, _SEPARATORS), ""), F.lit(0))
 
 
 def _ordering(order: str):
     if order == "recent":
-        return [F.desc("date"), F.asc("conversation_id")]
+        return [F.desc("date"), F.asc("conversation_id"), F.asc("_key")]
     if order == "id":
-        return [F.asc("conversation_id")]
+        return [F.asc("conversation_id"), F.asc("_key")]
     raise ValueError("order must be 'recent' or 'id'")
 
 
-def _collect_terms(terms_df: DataFrame, term_col: str):
-    rows = terms_df.limit(MAX_TERMS + 1).collect()
-    if len(rows) > MAX_TERMS:
-        raise ValueError(f"term_examples expects a top-k term list (<= {MAX_TERMS} terms)")
-    return rows
-
-
-def _examples(prepared: DataFrame, terms: list[str], n: int, order: str) -> DataFrame:
-    """(_term, rn, date, conversation_id, verbatim): up to n matches per term, one pass."""
-    # the letter runs feed every term check: compute them once per row
-    cand = prepared.select(
-        "date", "conversation_id", "verbatim", "clean",
-        F.array_distinct(letter_runs("clean")).alias("_runs"),
-    )
-    pairs = cand.select(
-        "date", "conversation_id", "verbatim",
-        F.explode(matched_terms("clean", terms, runs_col="_runs")).alias("_term"),
-    )
+def _examples(prepared: DataFrame, terms: DataFrame, n: int, order: str) -> DataFrame:
+    """(_term, rn, date, conversation_id, verbatim): up to n matches of each distinct term (column ``_term``)."""
+    wanted = terms.where(F.col("_term").isNotNull()).select("_term").distinct().withColumn("_run", first_run("_term"))
+    wanted = wanted.where(F.col("_run").isNotNull()).withColumn("_single", F.col("_term") == F.col("_run"))
+    rows = prepared.select("date", "conversation_id", F.xxhash64("verbatim").alias("_key"), "clean",
+                           F.explode(F.array_distinct(letter_runs("clean"))).alias("_run"))
+    pattern = F.concat(F.lit("(?U)\\b\\Q"), F.col("_term"), F.lit("\\E\\b"))
+    met = rows.join(wanted, "_run").where(F.col("_single") | F.rlike("clean", pattern))
     w = Window.partitionBy("_term").orderBy(*_ordering(order))
-    return pairs.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
+    best = met.select("_term", "date", "conversation_id", "_key").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
+    best = materialize(best)  # at most n narrow rows a term, read twice
+    texts = prepared.select("date", "conversation_id", F.xxhash64("verbatim").alias("_key"), "verbatim").alias("p")
+    keys = best.select("date", "conversation_id", "_key").distinct().alias("k")
+    same = lambda a, b: (F.col(f"{a}.conversation_id").eqNullSafe(F.col(f"{b}.conversation_id"))
+                         & F.col(f"{a}.date").eqNullSafe(F.col(f"{b}.date")) & (F.col(f"{a}._key") == F.col(f"{b}._key")))
+    found = texts.join(keys, same("p", "k"), "left_semi").dropDuplicates(["date", "conversation_id", "_key"]).alias("f")
+    return best.alias("b").join(found, same("b", "f")).select("b._term", "b.rn", "b.date", "b.conversation_id", "f.verbatim")
 
 
-def _attach(spark, rows, schema, columns, ex: DataFrame, term_col: str, bound: int) -> DataFrame:
-    # the term list is already on the driver: reuse it instead of recomputing its plan
-    terms_local = spark.createDataFrame(rows, schema)
-    # at most n rows per term survive: the example side has a proven bound
-    joined = terms_local.join(bounded_broadcast(ex, row_bound=bound), terms_local[term_col] == ex["_term"], "left")
-    return joined.select(
-        *[terms_local[c] for c in columns],
-        F.col("rn").cast("int").alias("rn"), "date", "conversation_id", "verbatim",
-    )
+def _attach(terms_df: DataFrame, ex: DataFrame, term_col: str) -> DataFrame:
+    joined = terms_df.alias("t").join(ex.alias("e"), F.col(f"t.{term_col}") == F.col("e._term"), "left")
+    return joined.select(*[F.col(f"t.{c}") for c in terms_df.columns], F.col("e.rn").cast("int").alias("rn"),
+                         "e.date", "e.conversation_id", "e.verbatim")
 
 
 def term_examples(prepared: DataFrame, terms_df: DataFrame, n: int = 20, order: str = "recent",
@@ -113,21 +70,19 @@ def term_examples(prepared: DataFrame, terms_df: DataFrame, n: int = 20, order:
 
     ``order="recent"``: newest first, ties by conversation_id; ``"id"``: by conversation_id.
     """
-    _ordering(order)
-    rows = _collect_terms(terms_df, term_col)
-    terms = sorted({r[term_col] for r in rows if r[term_col] is not None})
-    ex = _examples(prepared, terms, n, order)
-    return _attach(prepared.sparkSession, rows, terms_df.schema, terms_df.columns, ex, term_col, n * len(terms))
+    return term_examples_many(prepared, {"one": terms_df}, n, order, term_col)["one"]
 
 
 def term_examples_many(prepared: DataFrame, term_lists: dict[str, DataFrame], n: int = 20,
                        order: str = "recent", term_col: str = "term") -> dict[str, DataFrame]:
     """``term_examples`` for several term lists with a single pass over the conversations."""
     _ordering(order)
-    collected = {k: _collect_terms(df, term_col) for k, df in term_lists.items()}
-    terms = sorted({r[term_col] for rows in collected.values() for r in rows if r[term_col] is not None})
-    ex = materialize(_examples(prepared, terms, n, order))
-    spark = prepared.sparkSession
-    bound = n * len(terms)
-    return {k: _attach(spark, collected[k], df.schema, df.columns, ex, term_col, bound)
-            for k, df in term_lists.items()}
+    lists = {k: materialize(df) for k, df in term_lists.items()}  # each is read twice
+    terms = None
+    for df in lists.values():
+        own = df.select(F.col(term_col).alias("_term"))
+        terms = own if terms is None else terms.unionByName(own)
+    ex = _examples(prepared, terms, n, order)
+    if len(lists) > 1:
+        ex = materialize(ex)
+    return {k: _attach(df, ex, term_col) for k, df in lists.items()}

@@ -20,16 +20,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import PARSERS, clean_text
-from ..session import spread
 from ..sources.inputs import ensure_dataframe, require_columns
 
 CANONICAL = ("date", "conversation_id", "verbatim_list", "verbatim", "n_messages", "clean")
 
 
+def quoted(name: str) -> Column:
+    """A column by its exact name (dots and back ticks included)."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def message_list(df: DataFrame, col: str, parser: str = "split") -> Column:
     """Dispatch on the column type: text -> parse, array -> as is, scalar -> [text]."""
     dtype = df.schema[col].dataType
-    c = F.col(col)
+    c = quoted(col)
     if isinstance(dtype, T.StringType):
         if parser not in PARSERS:
             raise ValueError(f"parser must be one of {sorted(PARSERS)}")
@@ -43,37 +47,35 @@ def message_list(df: DataFrame, col: str, parser: str = "split") -> Column:
 
 def to_date(df: DataFrame, col: str) -> Column:
     dtype = df.schema[col].dataType
-    c = F.col(col)
+    c = quoted(col)
     if isinstance(dtype, T.DateType):
         return c
     if isinstance(dtype, T.StringType):
         # ISO dates, optionally followed by a time part; anything else -> null -> dropped
-        return F.expr(f"try_cast(`{col}` as date)")
+        return c.try_cast("date")
     return c.cast("date")
 
 
 def prepare(df: DataFrame, date_col: str | None = "date", verbatim_col: str = "verbatims",
-            conversation_id_col: str = "conversation_id", parser: str = "split",
-            spread_input: bool = True) -> DataFrame:
+            conversation_id_col: str = "conversation_id", parser: str = "split") -> DataFrame:
     """Parse the message list, join it with ". ", clean it and filter short texts.
 
     ``date_col=None`` is accepted for undated tables (no ``date`` column is produced).
-    ``spread_input`` spreads an input with fewer partitions than the cluster's
-    parallelism before the text work (a no-op for large inputs).
+    Input columns that would collide with a produced one are refused: rename them first.
     """
     df = ensure_dataframe(df)
     require_columns(df, date_col, verbatim_col, conversation_id_col)
     used = {c for c in (date_col, verbatim_col, conversation_id_col) if c}
-    keep = [F.col(f"`{c}`") for c in df.columns if c not in used and c not in CANONICAL]
+    clash = [c for c in df.columns if c not in used and c in CANONICAL]
+    if clash:
+        raise ValueError(f"input column(s) {clash} have the name of a produced column: rename or drop them")
+    keep = [quoted(c) for c in df.columns if c not in used]
     cols = list(keep)
     if date_col:
         cols.append(to_date(df, date_col).alias("date"))
-    cols.append(F.col(conversation_id_col).cast("string").alias("conversation_id"))
+    cols.append(quoted(conversation_id_col).cast("string").alias("conversation_id"))
     cols.append(message_list(df, verbatim_col, parser).alias("verbatim_list"))
-    out = df.select(*cols)
-    if spread_input:
-        out = spread(out)
-    out = out.withColumns({
+    out = df.select(*cols).withColumns({
         "verbatim": F.array_join("verbatim_list", ". "),
         "n_messages": F.size("verbatim_list"),
     })

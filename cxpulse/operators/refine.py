@@ -1,8 +1,8 @@
 """Second-pass correction of daily negative counts with a sentiment model.
 
-The lexicon is unsure about conversations with ``0.01 < score <= 0.30``.  A
-deterministic sample of them (``sample_size``) is labelled by a model, the
-share the model calls negative (1 or 2 stars) becomes the recovery rate, and
+The lexicon is unsure about conversations with ``0.01 < score <= 0.30``.  All
+of them (or, where ``sample_size`` asks for one, a deterministic sample) are
+labelled by a model from their whole text, the share the model calls negative (1 or 2 stars) becomes the recovery rate, and
 each day's negatives are raised by ``round(ambiguous_count * rate)``; the
 rolling z-score is then recomputed on the corrected ratio.
 
@@ -30,7 +30,6 @@ from .sentiment import ambiguous
 
 ScorerFactory = Callable[[], Callable[[list[str]], list[str]]]
 MODEL_NEGATIVE = 0.6
-MAX_CHARS = 500
 
 
 def length_stars_scorer() -> Callable[[list[str]], list[str]]:
@@ -60,42 +59,41 @@ def label_udf(scorer_factory: ScorerFactory, batch_size: int = 32):
     return _label
 
 
-def ambiguous_sample(scored: DataFrame, sample_size: int = 50_000, low: float = 0.01,
-                     high: float = 0.30, seed: int = DEFAULT_SEED, total: int | None = None) -> DataFrame:
-    """The exact hash-ordered sample of ambiguous conversations.
-
-    The band test needs the score; it runs after the hash pre-filter, so only
-    the hash candidates are scored.
-    """
-    if total is None:
-        total = ambiguous(scored, low, high).count()
-    src = scored.select("date", "conversation_id", "clean", "neg_score")
-    band = (F.col("neg_score") > F.lit(low)) & (F.col("neg_score") <= F.lit(high))
-    return exact_sample(src, {None: sample_size}, {None: total}, ["conversation_id"], condition=band)
+def ambiguous_sample(scored: DataFrame, sample_size: int | None = None, low: float = 0.01,
+                     high: float = 0.30, seed: int = DEFAULT_SEED) -> DataFrame:
+    """The exact hash-ordered sample of ambiguous conversations (all of them without a size)."""
+    src = ambiguous(scored, low, high).select("date", "conversation_id", "clean", "neg_score")
+    return src if sample_size is None else exact_sample(src, {None: sample_size}, ["conversation_id"], seed=seed)
 
 
 def label_sample(sample: DataFrame, scorer_factory: ScorerFactory = length_stars_scorer,
-                 batch_size: int = 32) -> DataFrame:
-    """Adds model_label, model_score and model_negative (score > 0.6)."""
+                 batch_size: int = 32, max_chars: int | None = None) -> DataFrame:
+    """Adds model_label, model_score and model_negative (score > 0.6).
+
+    The model sees whole texts; ``max_chars`` is for models that cannot take them.
+    """
     ship_package(sample.sparkSession)
-    lab = sample.withColumn("model_label", label_udf(scorer_factory, batch_size)(truncate("clean", MAX_CHARS)))
+    lab = sample.withColumn("model_label", label_udf(scorer_factory, batch_size)(truncate("clean", max_chars)))
     lab = lab.withColumn("model_score", stars_to_score("model_label"))
     return lab.withColumn("model_negative", F.col("model_score") > F.lit(MODEL_NEGATIVE))
 
 
 def recovery_stats(scored: DataFrame, scorer_factory: ScorerFactory = length_stars_scorer,
-                   sample_size: int = 50_000, low: float = 0.01, high: float = 0.30,
-                   batch_size: int = 32, seed: int = DEFAULT_SEED) -> DataFrame:
+                   sample_size: int | None = None, low: float = 0.01, high: float = 0.30,
+                   batch_size: int = 32, seed: int = DEFAULT_SEED, max_chars: int | None = None) -> DataFrame:
     """One row: n_ambiguous_total, n_sampled, n_recovered, recovery_rate (0.0 when empty)."""
-    total = ambiguous(scored, low, high).count()
-    sample = ambiguous_sample(scored, sample_size, low, high, seed, total=total)
-    labelled = label_sample(sample, scorer_factory, batch_size)
+    sample = ambiguous_sample(scored, sample_size, low, high, seed)
+    labelled = label_sample(sample, scorer_factory, batch_size, max_chars)
+    total = ambiguous(scored, low, high).agg(F.count(F.lit(1)).alias("n")) if sample_size is not None else None
     stats = labelled.agg(
         F.count(F.lit(1)).alias("n_sampled"),
         F.count_if("model_negative").alias("n_recovered"),
     )
+    n_all = F.col("n_sampled")
+    if total is not None:
+        stats, n_all = stats.crossJoin(total), F.col("n")  # one row beside one row
     return stats.select(
-        F.lit(total).cast("bigint").alias("n_ambiguous_total"),
+        n_all.cast("bigint").alias("n_ambiguous_total"),
         F.col("n_sampled").cast("bigint").alias("n_sampled"),
         F.col("n_recovered").cast("bigint").alias("n_recovered"),
         F.coalesce(F.col("n_recovered").cast("double") / F.nullif(F.col("n_sampled"), F.lit(0)).cast("double"),
@@ -108,10 +106,11 @@ def ambiguous_daily(scored: DataFrame, low: float = 0.01, high: float = 0.30) ->
 
 
 def refine_daily(scored: DataFrame, daily: DataFrame, scorer_factory: ScorerFactory = length_stars_scorer,
-                 ambiguous_threshold: float = 0.30, sample_size: int = 50_000, batch_size: int = 32,
+                 ambiguous_threshold: float = 0.30, sample_size: int | None = None, batch_size: int = 32,
                  z_threshold: float = 2.0, low: float = 0.01, exclude_already_negative: bool = False,
-                 seed: int = DEFAULT_SEED) -> tuple[DataFrame, DataFrame]:
-    """(daily with corrected columns, one-row recovery stats).
+                 seed: int = DEFAULT_SEED, window: int = 30, min_periods: int = 7,
+                 max_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(daily with corrected columns, one-row recovery stats with negatives and spikes before and after).
 
     By default the ambiguous band includes scores already counted negative
     (0.15, 0.30], as the reproduced behaviour does; ``exclude_already_negative``
@@ -128,8 +127,8 @@ def refine_daily(scored: DataFrame, daily: DataFrame, scorer_factory: ScorerFact
         out = out.join(ambiguous_daily(base, low, ambiguous_threshold), "date", "left")
     out = out.withColumn("ambiguous_count", F.coalesce(F.col("ambiguous_count"), F.lit(0)).cast("bigint"))
     total = int(out.agg(F.sum("ambiguous_count")).first()[0] or 0)
-    sample = ambiguous_sample(base, sample_size, low, ambiguous_threshold, seed, total=total)
-    labelled = label_sample(sample, scorer_factory, batch_size)
+    sample = ambiguous_sample(base, sample_size, low, ambiguous_threshold, seed)
+    labelled = label_sample(sample, scorer_factory, batch_size, max_chars)
     agg = labelled.agg(F.count(F.lit(1)).alias("n_sampled"), F.count_if("model_negative").alias("n_recovered")).first()
     n_sampled, n_recovered = int(agg["n_sampled"]), int(agg["n_recovered"])
     rate = n_recovered / n_sampled if n_sampled else 0.0
@@ -140,10 +139,14 @@ def refine_daily(scored: DataFrame, daily: DataFrame, scorer_factory: ScorerFact
         "negative_ratio_corrected",
         F.col("negative_count_corrected").cast("double") / F.col("total_conversations").cast("double"),
     )
-    out = rolling_zscore(out, "negative_ratio_corrected", z_threshold=z_threshold, suffix="_corrected")
-    spark = scored.sparkSession
-    stats_df = spark.createDataFrame(
-        [(total, n_sampled, n_recovered, float(rate))],
-        "n_ambiguous_total bigint, n_sampled bigint, n_recovered bigint, recovery_rate double",
-    )
+    out = rolling_zscore(out, "negative_ratio_corrected", window=window, min_periods=min_periods,
+                         z_threshold=z_threshold, suffix="_corrected")
+    flag = lambda c: F.count_if(F.coalesce(F.col(c), F.lit(False))).cast("bigint")
+    before = flag("is_spike") if "is_spike" in out.columns else F.lit(None).cast("bigint")
+    stats_df = out.agg(
+        F.lit(total).cast("bigint").alias("n_ambiguous_total"), F.lit(n_sampled).cast("bigint").alias("n_sampled"),
+        F.lit(n_recovered).cast("bigint").alias("n_recovered"), F.lit(float(rate)).alias("recovery_rate"),
+        F.coalesce(F.sum("negative_count"), F.lit(0)).cast("bigint").alias("negatives_before"),
+        F.coalesce(F.sum("negative_count_corrected"), F.lit(0)).cast("bigint").alias("negatives_after"),
+        before.alias("spikes_before"), flag("is_spike_corrected").alias("spikes_after"))
     return out.orderBy("date"), stats_df

@@ -1,123 +1,74 @@
-"""Exact, deterministic fixed-size samples.
+"""Exact, deterministic fixed-size samples without a global sort.
 
 The sample of size n is "the n rows with the smallest md5(seed | key)" — the
-same rows on any cluster layout, reproducible in SQL.  A global sort of the
-whole table would be the naive plan; instead each row gets a 32-bit prefix of
-its hash, rows above a per-segment threshold (sized for about n rows with a
-5-sigma margin) are dropped on the map side, and only the survivors are
-ranked.  If a segment ever comes back short (probability ~1e-7) it is redone
-with no threshold, so the result is always exact.
+same rows on any cluster layout, reproducible in SQL.  The hash space is cut
+into 65 536 bins; one aggregation counts the rows of each (segment, bin), the
+running sum of these counts gives every bin its first rank, and only bins that
+start below n are read and ranked, each by itself.  No task ever sorts more
+than a bin, whatever n is.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
 DEFAULT_SEED = 42
-_SPACE = float(2 ** 32)
-
-
-def hash_key(key_cols: list[str], seed: int = DEFAULT_SEED) -> Column:
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key_cols]))
-
 
-def _prefix32(h: Column) -> Column:
-    return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint")
 
+def hash_key(key_cols: list[str], seed: int = DEFAULT_SEED, others: list[str] | None = None) -> Column:
+    """md5(seed | key); a row whose key is null throughout is hashed by its other columns, so that such rows spread."""
+    key = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key_cols])
+    if not others:
+        return F.md5(key)
+    no_key = F.lit(True)
+    for c in key_cols:
+        no_key = no_key & F.col(c).isNull()
+    row = F.concat_ws("|", F.lit(str(seed)), F.lit("null"), F.xxhash64(*others).cast("string"))
+    return F.md5(F.when(no_key, row).otherwise(key))
 
-def _threshold(n: int, total: int) -> int | None:
-    """Hash-prefix bound keeping ~n of total rows (None = keep everything)."""
-    if total <= 0 or n >= total:
-        return None
-    p = n / total
-    q = p + 5.0 * math.sqrt(p * (1.0 - p) / total) + 20.0 / total
-    if q >= 1.0:
-        return None
-    return int(math.ceil(q * _SPACE))
 
+def exact_sample(df: DataFrame, sizes: dict, key_cols: list[str], segment_col: str | None = None,
+                 seed: int = DEFAULT_SEED, materialized: bool = True) -> DataFrame:
+    """The ``sizes[s]`` rows of smallest hash in each segment ``s`` (None: all of it), with ``sample_rank`` from 1.
 
-def segment_sample(df: DataFrame, sizes: dict, totals: dict, key_cols: list[str],
-                   segment_col: str | None = None, seed: int = DEFAULT_SEED,
-                   keep_threshold: bool = True, condition=None) -> DataFrame:
-    """Rows with the ``sizes[s]`` smallest hashes in each segment ``s``.
-
-    ``totals[s]`` is the number of rows in segment ``s`` (from a prior count).
-    Without ``segment_col`` pass ``{None: n}`` / ``{None: total}``.
-    Output: the input columns plus ``sample_rank`` (1-based, per segment).
-    ``condition`` restricts the population (``totals`` must count rows passing
-    it); it is applied after the cheap hash filter, so an expensive condition
-    only runs on the hash candidates.
+    Without ``segment_col`` pass ``{None: n}``.  Segments not listed give nothing.  Ties in the hash (repeated
+    keys) are broken by the key columns, then by a hash of the whole row.  The input is read twice: for the counts
+    of the bins and for the bins that are taken.
     """
-    h = hash_key(key_cols, seed)
-    seg = F.col(segment_col) if segment_col else F.lit(None)
-    sized = {s: int(max(0, n)) for s, n in sizes.items()}
-    limits = {s: (_threshold(n, totals.get(s, 0)) if keep_threshold else None) for s, n in sized.items()}
-
-    def build(lims):
-        keep = F.lit(False)
-        for s, n in sized.items():
-            if n <= 0:
-                continue
-            in_seg = seg.isNull() if s is None else (seg == F.lit(s))
-            lim = lims[s]
-            keep = keep | (in_seg if lim is None else (in_seg & (F.col("_h32") < F.lit(lim))))
-        cand = df.withColumn("_h", h).withColumn("_h32", _prefix32(F.col("_h"))).where(keep)
-        if condition is not None:
-            cand = cand.where(condition)
-        part = [segment_col] if segment_col else []
-        w = Window.partitionBy(*part).orderBy("_h", *key_cols)
-        n_of = F.lit(0)
-        for s, n in sized.items():
-            n_of = F.when((seg.isNull() if s is None else seg == F.lit(s)), F.lit(n)).otherwise(n_of)
-        ranked = cand.withColumn("sample_rank", F.row_number().over(w))
-        # a literal bound first lets Spark cut each map task to the top rows (WindowGroupLimit)
-        top = max([n for n in sized.values()] + [0])
-        ranked = ranked.where(F.col("sample_rank") <= F.lit(top))
-        return ranked.where(F.col("sample_rank") <= n_of).drop("_h", "_h32")
-
-    return build(limits), build, limits
-
-
-def exact_sample(df: DataFrame, sizes: dict, totals: dict, key_cols: list[str],
-                 segment_col: str | None = None, seed: int = DEFAULT_SEED,
-                 materialized: bool = True, condition=None) -> DataFrame:
-    """Like ``segment_sample`` but guaranteed exact.
-
-    The sample (bounded by the requested sizes) is checkpointed to the shared
-    checkpoint folder, its per-segment sizes are checked on that small copy,
-    and a segment that came back short is redone without the hash pre-filter.
-    """
-    sample, build, limits = segment_sample(df, sizes, totals, key_cols, segment_col, seed, condition=condition)
-    if not materialized:
-        return sample
-    parallelism = df.sparkSession.sparkContext.defaultParallelism
-    # ranking leaves one partition per segment; the sample is bounded, spread it
-    sample = materialize(sample.repartition(parallelism))
-    if all(v is None for v in limits.values()):
-        return sample
-    part = [segment_col] if segment_col else []
-    got = {(r[0] if part else None): r[-1] for r in sample.groupBy(*part).count().collect()}
-    fixed = dict(limits)
+    seg = F.col(segment_col) if segment_col else F.lit(None).cast("string")
+    others = [c for c in df.columns if c not in key_cols]
+    keyed = df.withColumns({"_h": hash_key(key_cols, seed, others), "_seg": seg})
+    keyed = keyed.withColumn("_bin", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
+    limit = F.lit(0).cast("long")
     for s, n in sizes.items():
-        want = min(max(0, int(n)), totals.get(s, 0))
-        if got.get(s, 0) < want:
-            fixed[s] = None
-    if fixed == limits:
-        return sample
-    return materialize(build(fixed).repartition(parallelism))
-
-
-def topic_sample_sizes(n_recent_total: int, n_history_total: int, sample_size: int,
+        here = F.col("_seg").isNull() if s is None else F.col("_seg") == F.lit(s)
+        limit = F.when(here, F.lit(2 ** 62 if n is None else max(0, int(n)))).otherwise(limit)
+    counts = keyed.groupBy("_seg", "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("_seg").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = counts.select("_seg", "_bin", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"), limit.alias("_limit"))
+    bins = bins.where("_before < _limit").withColumnsRenamed({"_seg": "_s", "_bin": "_b"})
+    taken = keyed.join(bins, keyed["_seg"].eqNullSafe(bins["_s"]) & (keyed["_bin"] == bins["_b"]))
+    order = Window.partitionBy("_seg", "_bin").orderBy("_h", *key_cols, F.xxhash64(*df.columns))
+    ranked = taken.withColumn("sample_rank", (F.col("_before") + F.row_number().over(order)))
+    out = ranked.where(F.col("sample_rank") <= F.col("_limit")).select(*df.columns, "sample_rank")
+    return materialize(out) if materialized else out
+
+
+def topic_sample_sizes(n_recent_total: int, n_history_total: int, sample_size: int | None,
                        min_recent: int = 10_000) -> tuple[int, int]:
-    """Recent / history sample sizes: recent share of the sample, at least
-    ``min_recent``; history gets the rest; both capped by what exists, >= 0."""
+    """Recent / history sample sizes.
+
+    Recent gets its share of the sample, at least ``min_recent``, history the rest; what one segment cannot fill
+    goes to the other.  Without ``sample_size`` both are taken whole.
+    """
+    if sample_size is None:
+        return n_recent_total, n_history_total
     total = n_recent_total + n_history_total
     ratio = n_recent_total / total if total else 0.0
-    n_recent = max(int(sample_size * ratio), min_recent)
-    n_history = sample_size - n_recent
-    return (max(0, min(n_recent, n_recent_total)), max(0, min(n_history, n_history_total)))
+    wanted = max(int(sample_size * ratio), min_recent)
+    n_recent = min(wanted, n_recent_total, sample_size)
+    n_history = min(sample_size - n_recent, n_history_total)
+    return min(n_recent_total, sample_size - n_history), n_history

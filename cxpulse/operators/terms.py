@@ -75,15 +75,23 @@ def daily_part(combined: DataFrame, with_ambiguous: bool = False) -> DataFrame:
     ]
     if with_ambiguous:
         cols.append("ambiguous_count")
-    return combined.where(F.col("term").isNull()).select(*cols)
+    return _part(combined, True).select(*cols)
 
 
 def term_part(combined: DataFrame) -> DataFrame:
     """The ``term_daily_counts`` table out of ``daily_and_term_counts``."""
-    return combined.where(F.col("term").isNotNull()).select("date", "term", "count")
+    return _part(combined, False).select("date", "term", "count")
+
+
+def _part(combined: DataFrame, days: bool) -> DataFrame:
+    """Rows of days or of terms; a stored table is partitioned by ``is_day``."""
+    if "is_day" in combined.columns:
+        return combined.where(F.col("is_day") == F.lit(days))
+    return combined.where(F.col("term").isNull() if days else F.col("term").isNotNull())
 
 
 def max_term_date(term_counts: DataFrame):
+    """Last date of the term table; store the counts first (`plans.report.combined_counts`) if they are used again."""
     return term_counts.agg(F.max("date")).first()[0]
 
 

@@ -1,17 +1,16 @@
-"""Emerging topics: LDA on a deterministic recent / history sample.
+"""Emerging topics: LDA over the recent and the earlier conversations.
 
-1. ``topic_sample_plan`` counts recent vs history conversations (two
-   conditional sums over the daily table, or one pass over the conversations)
-   and sizes the sample (recent share, >= 10 000).
-2. ``topic_sample`` draws the exact hash-ordered sample per segment.
-3. ``topic_vocabulary``: tokens are letter runs of >= 2 letters, stop words
+1. ``topic_sample_plan`` / ``topic_sample``: on request only, an exact
+   hash-ordered sample per segment; by default every conversation is used.
+2. ``topic_vocabulary``: tokens are letter runs of >= 2 letters, stop words
    removed, then unigrams + bigrams of the remaining tokens; a gram is kept when
    it occurs in >= min_df documents and in <= max_df of them; the max_features
    most frequent grams (ties by gram) form the vocabulary, in gram order.
-   All of it is explode + two aggregations over the (bounded) sample.
-4. Spark ML ``CountVectorizerModel.from_vocabulary`` + online ``LDA``.
-5. Mean topic weight per segment, emergence = recent / history (recent * 100
-   when history <= 0.001), rounded, sorted; emerging = ratio > 1.5.
+   One explode and one aggregation.
+3. Spark ML ``CountVectorizerModel.from_vocabulary`` + online ``LDA``.
+4. ``emergence``: mean topic weight per segment over all conversations, recent
+   / history (recent * 100 when history <= 0.001), rounded, sorted; emerging =
+   ratio > 1.5.
 """
 
 from __future__ import annotations
@@ -20,32 +19,39 @@ import datetime as dt
 
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import DEFAULT_STOPWORDS
 from ..functions.text import letter_runs
-from ..session import materialize, spread
+from ..session import materialize
 from .sampling import DEFAULT_SEED, exact_sample, topic_sample_sizes
 
 EMERGING_RATIO = 1.5
 
 
-def topic_grams(clean, stopwords=DEFAULT_STOPWORDS) -> Column:
-    """Unigrams and bigrams of the letter-run tokens (>= 2 letters, stop words removed)."""
+def with_topic_grams(df: DataFrame, out: str = "grams", clean: str = "clean", stopwords=DEFAULT_STOPWORDS) -> DataFrame:
+    """Adds the unigrams and bigrams of the letter-run tokens (>= 2 letters, stop words removed).
+
+    The tokens become a column of their own behind a one-element generator, which the optimiser cannot inline:
+    the pairing refers to them several times, and its cost stays linear in the text.
+    """
     stop = list(stopwords)
     toks = F.filter(letter_runs(clean), lambda t: (F.length(t) >= 2) & ~t.isin(stop))
-    bigrams = F.transform(
-        F.slice(toks, 2, F.greatest(F.size(toks) - 1, F.lit(0))),
-        lambda t, i: F.concat(F.element_at(toks, i + 1), F.lit(" "), t),
-    )
-    return F.concat(toks, bigrams)
+    held = df.select("*", F.explode(F.array(toks)).alias("_toks"))
+    pairs = F.greatest(F.size("_toks") - 1, F.lit(0))
+    bigrams = F.zip_with(F.slice("_toks", F.lit(1), pairs), F.slice("_toks", F.lit(2), pairs),
+                         lambda a, b: F.concat(a, F.lit(" "), b))
+    # the joined list is held too: several expressions use it
+    return held.select(*df.columns, F.explode(F.array(F.concat("_toks", bigrams))).alias(out))
 
 
 def topic_sample_plan(prepared: DataFrame, max_date: dt.date, recent_days: int = 14,
-                      sample_size: int = 200_000, daily: DataFrame | None = None) -> DataFrame:
-    """(is_recent, n_total, n_sample): segment sizes and the sample drawn from each.
+                      sample_size: int | None = None, daily: DataFrame | None = None,
+                      min_recent: int = 10_000) -> DataFrame:
+    """(is_recent, n_total, n_sample): segment sizes and the sample drawn from each (all, without a sample size).
 
     With the daily table at hand the segment sizes are sums over it (no pass
     over the conversations).
@@ -63,7 +69,7 @@ def topic_sample_plan(prepared: DataFrame, max_date: dt.date, recent_days: int =
             F.count_if(F.col("date") < F.lit(cutoff)).alias("h"),
         ).first()
     n_r, n_h = int(row["r"] or 0), int(row["h"] or 0)
-    s_r, s_h = topic_sample_sizes(n_r, n_h, sample_size)
+    s_r, s_h = topic_sample_sizes(n_r, n_h, sample_size, min_recent)
     spark = prepared.sparkSession
     return spark.createDataFrame(
         [(True, n_r, s_r), (False, n_h, s_h)], "is_recent boolean, n_total bigint, n_sample bigint"
@@ -71,7 +77,7 @@ def topic_sample_plan(prepared: DataFrame, max_date: dt.date, recent_days: int =
 
 
 def topic_sample(prepared: DataFrame, max_date: dt.date, recent_days: int = 14,
-                 sample_size: int = 200_000, seed: int = DEFAULT_SEED,
+                 sample_size: int | None = None, seed: int = DEFAULT_SEED,
                  plan: DataFrame | None = None) -> DataFrame:
     """(conversation_id, date, clean, is_recent, sample_rank): the exact per-segment sample."""
     plan = plan if plan is not None else topic_sample_plan(prepared, max_date, recent_days, sample_size)
@@ -80,8 +86,7 @@ def topic_sample(prepared: DataFrame, max_date: dt.date, recent_days: int = 14,
     src = prepared.select("conversation_id", "date", "clean",
                           (F.col("date") >= F.lit(cutoff)).alias("is_recent"))
     sizes = {k: int(v["n_sample"]) for k, v in rows.items()}
-    totals = {k: int(v["n_total"]) for k, v in rows.items()}
-    return exact_sample(src, sizes, totals, ["conversation_id"], segment_col="is_recent", seed=seed)
+    return exact_sample(src, sizes, ["conversation_id"], segment_col="is_recent", seed=seed)
 
 
 def topic_vocabulary(sample: DataFrame, max_features: int = 3000, min_df: int = 10,
@@ -91,12 +96,12 @@ def topic_vocabulary(sample: DataFrame, max_features: int = 3000, min_df: int =
         n_docs = sample.count()
     # one explode: every occurrence tagged tf, every distinct gram of a document
     # tagged df; a single aggregation by gram then combines map-side
-    g = topic_grams("clean", stopwords)
+    held = with_topic_grams(sample.select("clean"), stopwords=stopwords)
     tagged = F.concat(
-        F.transform(g, lambda x: F.struct(x.alias("term"), F.lit(False).alias("doc"))),
-        F.transform(F.array_distinct(g), lambda x: F.struct(x.alias("term"), F.lit(True).alias("doc"))),
+        F.transform("grams", lambda x: F.struct(x.alias("term"), F.lit(False).alias("doc"))),
+        F.transform(F.array_distinct("grams"), lambda x: F.struct(x.alias("term"), F.lit(True).alias("doc"))),
     )
-    grams = sample.select(F.inline(tagged))
+    grams = held.select(F.inline(tagged))
     stats = grams.groupBy("term").agg(
         F.count_if(F.col("doc")).alias("doc_freq"), F.count_if(~F.col("doc")).alias("term_freq")
     )
@@ -108,64 +113,73 @@ def topic_vocabulary(sample: DataFrame, max_features: int = 3000, min_df: int =
                       F.col("term_freq").cast("bigint").alias("term_freq")).orderBy("term")
 
 
+def emergence(doc_topics: DataFrame) -> DataFrame:
+    """(is_recent, p vector) rows -> topic_id, recent_weight, history_weight, emergence_ratio, is_emerging, sorted.
+
+    Mean topic vector per segment (0 without rows), safe ratio, rounding, then the threshold on the rounded ratio.
+    """
+    means = doc_topics.groupBy("is_recent").agg(vector_to_array(Summarizer.mean(F.col("p"))).alias("mean"))
+    each = means.select("is_recent", F.posexplode("mean").alias("topic_id", "w"))  # two rows a topic
+    weights = each.groupBy("topic_id").agg(
+        F.coalesce(F.max(F.when(F.col("is_recent"), F.col("w"))), F.lit(0.0)).alias("recent"),
+        F.coalesce(F.max(F.when(~F.col("is_recent"), F.col("w"))), F.lit(0.0)).alias("history"))
+    ratio = F.when(F.col("history") > F.lit(0.001), F.col("recent") / F.col("history")).otherwise(
+        F.col("recent") * F.lit(100.0))
+    out = weights.select(
+        F.col("topic_id").cast("int").alias("topic_id"), F.round("recent", 4).alias("recent_weight"),
+        F.round("history", 4).alias("history_weight"), F.round(ratio, 2).alias("emergence_ratio"))
+    return out.withColumn("is_emerging", F.col("emergence_ratio") > F.lit(EMERGING_RATIO)).orderBy(
+        F.desc("emergence_ratio"), F.asc("topic_id"))
+
+
 def emerging_topics(prepared: DataFrame, max_date: dt.date, n_topics: int = 10, recent_days: int = 14,
-                    sample_size: int = 200_000, max_iter: int = 15, seed: int = DEFAULT_SEED,
+                    sample_size: int | None = None, max_iter: int = 15, seed: int = DEFAULT_SEED,
                     max_features: int = 3000, min_df: int = 10, max_df: float = 0.8,
-                    stopwords=DEFAULT_STOPWORDS, sample: DataFrame | None = None,
-                    daily: DataFrame | None = None) -> DataFrame:
+                    stopwords=DEFAULT_STOPWORDS, daily: DataFrame | None = None) -> DataFrame:
     """topic_id, top_words, recent_weight, history_weight, emergence_ratio, is_emerging.
 
-    Sorted by emergence_ratio (desc, then topic_id).  The fitted weights depend
-    on the optimiser; the sample, vocabulary and arithmetic are deterministic.
+    Sorted by emergence_ratio (desc, then topic_id).  Vocabulary and model are fitted on every conversation, or on
+    a sample where ``sample_size`` asks for one; the weights are means over every conversation either way.  They
+    depend on the optimiser; the vocabulary and the arithmetic are deterministic.
     """
     spark = prepared.sparkSession
     schema = ("topic_id int, top_words array<string>, recent_weight double, history_weight double, "
               "emergence_ratio double, is_emerging boolean")
     if max_date is None:  # no data
         return spark.createDataFrame([], schema)
-    n_docs = None
-    if sample is None:
+    cutoff = max_date - dt.timedelta(days=recent_days)
+    everyone = prepared.select("clean", (F.col("date") >= F.lit(cutoff)).alias("is_recent"))
+    fitted_on = everyone
+    if sample_size is not None:
         plan = topic_sample_plan(prepared, max_date, recent_days, sample_size, daily=daily)
-        n_docs = sum(int(r["n_sample"]) for r in plan.collect())
-        sample = topic_sample(prepared, max_date, recent_days, sample_size, seed, plan=plan)
-    vocab = [r["term"] for r in
-             topic_vocabulary(sample, max_features, min_df, max_df, stopwords, n_docs=n_docs).collect()]
+        fitted_on = topic_sample(prepared, max_date, recent_days, sample_size, seed, plan=plan).select("clean", "is_recent")
+    vocab = [r["term"] for r in topic_vocabulary(fitted_on, max_features, min_df, max_df, stopwords).collect()]
     if not vocab:
         return spark.createDataFrame([], schema)
-    docs = spread(sample.select("is_recent", topic_grams("clean", stopwords).alias("grams")))
     cv = CountVectorizerModel.from_vocabulary(vocab, inputCol="grams", outputCol="features")
-    features = cv.transform(docs).select("is_recent", "features").cache()
+
+    def vectors(df: DataFrame) -> DataFrame:
+        return cv.transform(with_topic_grams(df, stopwords=stopwords)).select("is_recent", "features")
+
+    features = vectors(fitted_on).cache()
     try:
         lda = LDA(k=n_topics, maxIter=max_iter, seed=seed, optimizer="online", subsamplingRate=1.0,
                   learningOffset=1.0, optimizeDocConcentration=False, featuresCol="features")
         model = lda.fit(features)
-        dist = model.transform(features).select("is_recent", vector_to_array("topicDistribution").alias("p"))
+        dist = model.transform(features if sample_size is None else vectors(everyone)).select(
+            "is_recent", F.col("topicDistribution").alias("p"))
         # documents without any vocabulary gram get the uniform prior mean
         uniform = F.array_repeat(F.lit(1.0 / n_topics), n_topics)
-        dist = dist.withColumn("p", F.when(F.aggregate("p", F.lit(0.0), lambda a, x: a + x) > 0, F.col("p"))
-                               .otherwise(uniform))
-        # A14: mean topic vector per segment (k rows out)
-        weights = (
-            dist.select("is_recent", F.posexplode("p").alias("topic_id", "w"))
-            .groupBy("topic_id")
-            .agg(F.coalesce(F.avg(F.when(F.col("is_recent"), F.col("w"))), F.lit(0.0)).alias("recent"),
-                 F.coalesce(F.avg(F.when(~F.col("is_recent"), F.col("w"))), F.lit(0.0)).alias("history"))
-        )
+        some = F.aggregate(vector_to_array("p"), F.lit(0.0), lambda a, x: a + x) > 0
+        dist = dist.select("is_recent", array_to_vector(F.when(some, vector_to_array("p")).otherwise(uniform)).alias("p"))
         # K7: top words per topic, term indices mapped through the vocabulary
         vocab_arr = F.array(*[F.lit(t) for t in vocab])
         words = model.describeTopics(10).select(
             F.col("topic").alias("topic_id"),
             F.transform("termIndices", lambda i: F.element_at(vocab_arr, i + 1)).alias("top_words"),
         )
-        # F25 / F22 / P13: safe ratio, rounding, then the 1.5 threshold on the rounded ratio
-        ratio = F.when(F.col("history") > F.lit(0.001), F.col("recent") / F.col("history")).otherwise(
-            F.col("recent") * F.lit(100.0))
-        topics = weights.join(F.broadcast(words), "topic_id").select(  # k rows on each side
-            F.col("topic_id").cast("int").alias("topic_id"), "top_words",
-            F.round("recent", 4).alias("recent_weight"),
-            F.round("history", 4).alias("history_weight"),
-            F.round(ratio, 2).alias("emergence_ratio"),
-        ).withColumn("is_emerging", F.col("emergence_ratio") > F.lit(EMERGING_RATIO))
+        topics = emergence(dist).join(F.broadcast(words), "topic_id")  # k rows on each side
+        topics = topics.select("topic_id", "top_words", "recent_weight", "history_weight", "emergence_ratio", "is_emerging")
         # k rows: materialise before the cached features are released
         topics = materialize(topics.orderBy(F.desc("emergence_ratio"), F.asc("topic_id")))
     finally:

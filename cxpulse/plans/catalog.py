@@ -8,27 +8,32 @@ results compare exactly with another engine.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import INSULT_WORDS, Lexicon
-from ..functions.text import parse_list_json, parse_list_split
-from ..operators.anomaly import daily_sentiment, daily_spikes, event_error_share, rolling_zscore
+from ..functions.text import clean_text, is_content_term, parse_list_json, parse_list_split, words
+from ..operators.anomaly import bounds_from_daily, daily_sentiment, daily_spikes, event_error_share, rolling_zscore
 from ..operators.examples import term_examples
 from ..operators.prepare import date_bounds, date_bounds_df, prepare
-from ..operators.refine import ambiguous_sample, recovery_stats, refine_daily
+from ..operators.refine import ambiguous_sample, length_stars_scorer, recovery_stats, refine_daily
 from ..operators.sentiment import ambiguous, with_sentiment
-from ..operators.spikes import collect_spike_dates, spike_samples, spike_top_terms
-from ..operators.terms import novel_terms, term_daily_counts, trending_terms
-from ..operators.topics import emerging_topics, topic_sample, topic_sample_plan, topic_vocabulary
+from ..operators.spikes import collect_spike_dates, spike_details, spike_samples, spike_top_terms
+from ..operators.terms import daily_part, novel_terms, term_daily_counts, term_part, trending_terms
+from ..operators.topics import emergence, emerging_topics, topic_sample, topic_sample_plan, topic_vocabulary
+from ..session import materialize_table
 from ..sources.fixtures import conversations_from_events, conversations_from_turns, python_list_repr
 from ..sources.inputs import table
-from .report import dashboard_daily, dashboard_novel, dashboard_spikes, dashboard_trending, summary
+from .report import (Params, combined_counts, dashboard_daily, dashboard_novel, dashboard_spikes, dashboard_trending,
+                     full_report, summary)
 
 # sampling sizes used by the registered sampling queries (the sampling is the feature)
 TOPIC_QUERY_SAMPLE = 12_000
+TOPIC_MIN_RECENT = 1_000
 AMBIGUOUS_QUERY_SAMPLE = 1_000
 EXAMPLES_PER_TERM = 5
 INSULT_LEXICON = Lexicon(words=INSULT_WORDS, bigrams=(), threshold=0.15)
@@ -39,7 +44,11 @@ def _r6(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def fixture(spark: SparkSession, sf_dir: str, form: str = "array") -> DataFrame:
-    return conversations_from_events(table(spark, sf_dir, "events"), form=form)
+    # the fixture is computed from two narrow columns: deal those out before the text work, so that a table in a
+    # few files uses the whole cluster
+    events = table(spark, sf_dir, "events").select("event_id", "ts")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return conversations_from_events(events.repartition(n, "event_id"), form=form)
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,16 +127,38 @@ def q_event_error_spikes(spark, sf_dir):
     return _r6(rolling_zscore(daily, "error_ratio").orderBy("date"), _DAILY_DOUBLES)
 
 
-def _spike_days(spark, sf_dir):
-    return collect_spike_dates(daily_spikes(scored(spark, sf_dir)))
+def _scored_table(spark, sf_dir):
+    """The cleaned and scored conversations, written once for the passes of one query."""
+    return materialize_table(scored(spark, sf_dir).select(
+        "date", "conversation_id", "verbatim", "n_messages", "clean", "neg_score", "is_negative"), "scored")
+
+
+def _combined(spark, sf_dir):
+    """(daily table, term counts) of one pass over the conversations."""
+    both = combined_counts(scored(spark, sf_dir))
+    return rolling_zscore(daily_part(both), "negative_ratio").orderBy("date"), term_part(both)
 
 
 def q_spike_top_terms(spark, sf_dir):
-    return spike_top_terms(scored(spark, sf_dir), _spike_days(spark, sf_dir))
+    s = _scored_table(spark, sf_dir)
+    return spike_top_terms(s, collect_spike_dates(daily_spikes(s)))
 
 
 def q_spike_samples(spark, sf_dir):
-    return spike_samples(scored(spark, sf_dir), _spike_days(spark, sf_dir))
+    s = _scored_table(spark, sf_dir)
+    return spike_samples(s, collect_spike_dates(daily_spikes(s)))
+
+
+def _flat_details(details: DataFrame) -> DataFrame:
+    """The nested lists as text, entry by entry in order."""
+    terms = F.transform("top_negative_terms", lambda t: F.concat(t["term"], F.lit("="), t["count"].cast("string")))
+    return details.select("date", F.array_join(terms, ", ").alias("top_negative_terms"),
+                          F.array_join("sample_verbatims", " | ").alias("sample_verbatims"))
+
+
+def q_spike_details(spark, sf_dir):
+    s = _scored_table(spark, sf_dir)
+    return _flat_details(spike_details(s, daily_spikes(s)))
 
 
 # --------------------------------------------------------------------------- terms
@@ -135,38 +166,54 @@ def q_term_daily_counts(spark, sf_dir):
     return term_daily_counts(prepared(spark, sf_dir))
 
 
+def q_combined_daily(spark, sf_dir):
+    return _r6(_combined(spark, sf_dir)[0], _DAILY_DOUBLES)
+
+
+def q_combined_term_counts(spark, sf_dir):
+    return _combined(spark, sf_dir)[1]
+
+
 def q_trending_terms(spark, sf_dir):
-    return trending_terms(term_daily_counts(prepared(spark, sf_dir)))
+    return trending_terms(_combined(spark, sf_dir)[1])
+
+
+def _novel(daily, counts):
+    b = bounds_from_daily(daily)
+    return novel_terms(counts, b.min_date, b.max_date)
 
 
 def q_novel_terms(spark, sf_dir):
-    p = prepared(spark, sf_dir)
-    b = date_bounds(p)
-    return novel_terms(term_daily_counts(p), b.min_date, b.max_date)
+    return _novel(*_combined(spark, sf_dir))
 
 
 def q_term_examples(spark, sf_dir):
-    p = prepared(spark, sf_dir)
-    return term_examples(p, trending_terms(term_daily_counts(p)), n=EXAMPLES_PER_TERM)
+    s = _scored_table(spark, sf_dir)
+    return term_examples(s, trending_terms(term_part(combined_counts(s))), n=EXAMPLES_PER_TERM)
 
 
-# --------------------------------------------------------------------------- topics
-def q_topic_sample_plan(spark, sf_dir):
-    p = prepared(spark, sf_dir)
-    return topic_sample_plan(p, date_bounds(p).max_date, sample_size=TOPIC_QUERY_SAMPLE)
+def q_novel_examples(spark, sf_dir):
+    s = _scored_table(spark, sf_dir)
+    both = combined_counts(s)
+    return term_examples(s, _novel(daily_part(both), term_part(both)), n=EXAMPLES_PER_TERM, order="id")
 
 
-def _topic_sample(spark, sf_dir):
+# --------------------------------------------------------------------------- topics
+def q_topic_sample_plan(spark, sf_dir):
     p = prepared(spark, sf_dir)
-    return topic_sample(p, date_bounds(p).max_date, sample_size=TOPIC_QUERY_SAMPLE)
+    return topic_sample_plan(p, date_bounds(p).max_date, sample_size=TOPIC_QUERY_SAMPLE, min_recent=TOPIC_MIN_RECENT)
 
 
 def q_topic_sample(spark, sf_dir):
-    return _topic_sample(spark, sf_dir).select("conversation_id", "is_recent", F.col("sample_rank").cast("int").alias("sample_rank"))
+    p = prepared(spark, sf_dir)
+    day = date_bounds(p).max_date
+    plan = topic_sample_plan(p, day, sample_size=TOPIC_QUERY_SAMPLE, min_recent=TOPIC_MIN_RECENT)
+    sample = topic_sample(p, day, plan=plan)
+    return sample.select("conversation_id", "is_recent", F.col("sample_rank").cast("int").alias("sample_rank"))
 
 
 def q_topic_vocabulary(spark, sf_dir):
-    return topic_vocabulary(_topic_sample(spark, sf_dir))
+    return topic_vocabulary(prepared(spark, sf_dir).select("conversation_id", "clean"))
 
 
 def q_emerging_topics(spark, sf_dir):
@@ -174,6 +221,18 @@ def q_emerging_topics(spark, sf_dir):
     return emerging_topics(p, date_bounds(p).max_date)
 
 
+def q_topic_emergence(spark, sf_dir):
+    """The arithmetic after the fit, on topic vectors computed from the events."""
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("date").alias("d"))
+    last = events.agg(F.max("d")).first()[0]
+    recent = F.col("d") >= F.lit(last - dt.timedelta(days=14))
+    raw = F.array(*[((F.col("event_id") * (k + 3)) % 7 + 1 + F.when(recent, k * k).otherwise(0)).cast("double") for k in range(5)])
+    held = events.select(recent.alias("is_recent"), F.explode(F.array(raw)).alias("w"))
+    total = F.aggregate("w", F.lit(0.0), lambda a, x: a + x)
+    held = held.withColumn("total", total)
+    return emergence(held.select("is_recent", array_to_vector(F.transform("w", lambda x: x / F.col("total"))).alias("p")))
+
+
 # --------------------------------------------------------------------------- refine
 def q_ambiguous_conversations(spark, sf_dir):
     return ambiguous(scored(spark, sf_dir)).select("date", "conversation_id", "neg_score")
@@ -188,27 +247,24 @@ def q_recovery_stats(spark, sf_dir):
     return recovery_stats(scored(spark, sf_dir))
 
 
-def q_daily_corrected(spark, sf_dir):
-    s = scored(spark, sf_dir)
+def _refined(spark, sf_dir):
+    s = _scored_table(spark, sf_dir)
     # the daily pass also counts the ambiguous band the refinement needs
-    daily, _ = refine_daily(s, daily_spikes(s, ambiguous_band=(0.01, 0.30)))
-    return _r6(daily, _DAILY_DOUBLES)
+    return refine_daily(s, daily_spikes(s, ambiguous_band=(0.01, 0.30)))
 
 
-# --------------------------------------------------------------------------- report
-def _report_parts(spark, sf_dir):
-    p = prepared(spark, sf_dir)
-    s = with_sentiment(p)
-    b = date_bounds(p)
-    daily = daily_spikes(s)
-    counts = term_daily_counts(p)
-    return b, daily, trending_terms(counts), novel_terms(counts, b.min_date, b.max_date)
+def q_daily_corrected(spark, sf_dir):
+    return _r6(_refined(spark, sf_dir)[0], _DAILY_DOUBLES)
 
 
+def q_refine_totals(spark, sf_dir):
+    return _refined(spark, sf_dir)[1]
+
+
+# --------------------------------------------------------------------------- report
 def q_summary(spark, sf_dir):
-    b, daily, trending, novel = _report_parts(spark, sf_dir)
-    n_spikes = daily.where(F.coalesce(F.col("is_spike"), F.lit(False))).count()
-    return summary(spark, b, n_spikes, trending.count(), novel.count())
+    daily, counts = _combined(spark, sf_dir)
+    return summary(daily, trending_terms(counts), _novel(daily, counts))
 
 
 def q_dashboard_daily(spark, sf_dir):
@@ -220,13 +276,72 @@ def q_dashboard_spikes(spark, sf_dir):
 
 
 def q_dashboard_trending(spark, sf_dir):
-    return dashboard_trending(trending_terms(term_daily_counts(prepared(spark, sf_dir))))
+    return dashboard_trending(q_trending_terms(spark, sf_dir))
 
 
 def q_dashboard_novel(spark, sf_dir):
-    p = prepared(spark, sf_dir)
-    b = date_bounds(p)
-    return dashboard_novel(novel_terms(term_daily_counts(p), b.min_date, b.max_date))
+    return dashboard_novel(q_novel_terms(spark, sf_dir))
+
+
+def _report(spark, sf_dir, form="python"):
+    """The full report with the model pass, from list texts."""
+    return full_report(fixture(spark, sf_dir, form), params=Params(use_model=True, max_samples_per_term=EXAMPLES_PER_TERM),
+                       parser="split" if form == "python" else "json", scorer_factory=length_stars_scorer, with_topics=False)
+
+
+def q_report_daily(spark, sf_dir):
+    return _r6(_report(spark, sf_dir)["daily_stats"], _DAILY_DOUBLES)
+
+
+def q_report_summary(spark, sf_dir):
+    return _report(spark, sf_dir, "json")["summary"]
+
+
+def q_report_spike_details(spark, sf_dir):
+    return _flat_details(_report(spark, sf_dir)["spike_details"])
+
+
+# --------------------------------------------------------------------------- other texts
+def _list_texts(spark, sf_dir, form):
+    """Conversations whose messages arrive as one list text."""
+    raw = python_list_repr("verbatims") if form == "split" else F.to_json("verbatims")
+    return prepare(_turn_lists(spark, sf_dir).select("conversation_id", raw.alias("verbatims")), date_col=None, parser=form)
+
+
+def q_prepared_split(spark, sf_dir):
+    return _list_texts(spark, sf_dir, "split").select("conversation_id", "n_messages", "clean")
+
+
+def q_prepared_json(spark, sf_dir):
+    return _list_texts(spark, sf_dir, "json").select("conversation_id", "n_messages", "clean")
+
+
+def q_parse_json_broken(spark, sf_dir):
+    """Turns inside malformed lists, every second one with a second list after the first: nothing may be lost."""
+    text = F.col("text")
+    turns = table(spark, sf_dir, "conversations").where((text != "") & ~text.rlike(r"""[\[\]"'\\\x00-\x1f]"""))
+    one = F.to_json(F.array("text"))
+    raw = F.when(F.col("turn") % 2 == 0, F.concat(one, F.lit(", "), one)).otherwise(
+        F.concat(F.lit("['"), text, F.lit("' x 'b']")))
+    msgs = turns.select("conv_id", "turn", parse_list_json(raw).alias("msgs"))
+    return msgs.select("conv_id", "turn", F.size("msgs").alias("n_messages"), F.array_join("msgs", " | ").alias("joined"))
+
+
+def q_turn_scores(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
+    s = with_sentiment(prepare(turns, date_col=None, verbatim_col="text", conversation_id_col="id", parser="text"))
+    return s.select(F.col("conversation_id").alias("id"), "neg_score", "is_negative")
+
+
+def q_document_vocabulary(spark, sf_dir):
+    return topic_vocabulary(_documents_prepared(spark, sf_dir).select("conversation_id", "clean"))
+
+
+def q_document_term_counts(spark, sf_dir):
+    """Document frequency by source of the content terms that two documents or more of it share."""
+    docs = table(spark, sf_dir, "documents").select("source", "text").withColumn("clean", clean_text("text"))
+    rows = docs.select("source", F.explode(F.array_distinct(words("clean"))).alias("term")).where(is_content_term("term"))
+    return rows.groupBy("source", "term").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -259,4 +374,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dashboard_spikes": q_dashboard_spikes,
     "dashboard_trending": q_dashboard_trending,
     "dashboard_novel": q_dashboard_novel,
+    "spike_details": q_spike_details,
+    "combined_daily": q_combined_daily,
+    "combined_term_counts": q_combined_term_counts,
+    "novel_examples": q_novel_examples,
+    "topic_emergence": q_topic_emergence,
+    "refine_totals": q_refine_totals,
+    "report_daily": q_report_daily,
+    "report_summary": q_report_summary,
+    "report_spike_details": q_report_spike_details,
+    "prepared_split": q_prepared_split,
+    "prepared_json": q_prepared_json,
+    "parse_json_broken": q_parse_json_broken,
+    "turn_scores": q_turn_scores,
+    "document_vocabulary": q_document_vocabulary,
+    "document_term_counts": q_document_term_counts,
 }

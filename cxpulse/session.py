@@ -10,11 +10,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# joins against a side larger than this many rows are left to the planner (AQE)
-MAX_BROADCAST_ROWS = 1_000_000
-# inputs estimated above this size are never repartitioned by `spread`
-SPREAD_MAX_BYTES = 8 * 1024 ** 3
-
 
 _SHIPPED: set[str] = set()
 
@@ -62,6 +57,8 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # row_number() <= k is cut on the map side whatever k is (Spark's default stops at 1000)
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", str(2 ** 31 - 1))
     return spark
 
 
@@ -91,59 +88,37 @@ def materialize(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of a DataFrame's plan (no job runs)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # pragma: no cover - estimate unavailable
-        return None
+#: tables written by `materialize_table` and not yet dropped, by application
+_SCRATCH: dict[str, list[str]] = {}
 
 
-def materialize_table(df: DataFrame, name: str = "table") -> DataFrame:
+def materialize_table(df: DataFrame, name: str = "table", partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
     Used for a large intermediate read by several later passes: the readers
     get column pruning and compression, and a lost executor never forces the
-    producing pass to run again.
-    """
-    base = checkpoint_dir(df.sparkSession).rstrip("/")
-    path = f"{base}/cxpulse-{name}-{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def spread(df: DataFrame, min_partitions: int | None = None, max_bytes: int = SPREAD_MAX_BYTES) -> DataFrame:
-    """Spread a small, narrow input over the cluster before CPU-heavy row work.
-
-    A large input already arrives in many scan splits and is returned
-    unchanged (no shuffle).  A small one stored in a few files or row groups
-    would run its whole text pipeline in a handful of tasks; it is round-robin
-    repartitioned to the session's parallelism instead — but only when the
-    planner's size estimate is at most ``max_bytes``, so a mid-sized input on
-    a very large cluster is never shuffled just to occupy idle cores.  Spark
-    sorts before a round-robin repartition, so a retried task sees the same rows.
-    """
-    if df.isStreaming:
-        return df
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    n = df.rdd.getNumPartitions()
-    if n >= target:
-        return df
-    size = estimated_bytes(df)
-    if size is None or size > max_bytes:
-        return df
-    return df.repartition(target)
-
-
-def bounded_broadcast(df: DataFrame, row_bound: int | None = None,
-                      max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when its row count is proven small.
-
-    ``row_bound`` is an upper bound known by construction (a ``limit``, a
-    number of calendar days...).  Without one nothing is hinted and the
-    planner decides at run time from real sizes (AQE converts a shuffle join
-    to a broadcast join only when the shuffled side is below the threshold).
+    producing pass to run again.  `scratch_tables` lists what was written,
+    `drop_scratch` removes it.
     """
-    if row_bound is not None and row_bound <= max_rows:
-        return F.broadcast(df)
-    return df
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/cxpulse-{name}-{uuid.uuid4().hex}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    writer = df.write.mode("error")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)  # an empty partitioned table has no file to read it from
+
+
+def scratch_tables(spark: SparkSession) -> list[str]:
+    """Paths of the intermediate tables this application has written and not dropped."""
+    return list(_SCRATCH.get(spark.sparkContext.applicationId, []))
+
+
+def drop_scratch(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Remove intermediate tables (all of them by default); frames that still read them become unusable."""
+    kept = _SCRATCH.get(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in list(kept) if paths is None else paths:
+        if path in kept:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+            kept.remove(path)

@@ -25,10 +25,10 @@ def read_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str = DEFAULT_CSV_SCHEMA,
-             header: bool = True, **options) -> DataFrame:
+             header: bool = True, multi_line: bool = False, **options) -> DataFrame:
     reader = spark.read.schema(schema).option("header", str(header).lower())
     # messages rendered as lists contain commas and quotes: the usual CSV quoting applies
-    reader = reader.option("multiLine", "true").option("escape", '"')
+    reader = reader.option("multiLine", str(multi_line).lower()).option("escape", '"')
     for k, v in options.items():
         reader = reader.option(k, v)
     return reader.csv(path)

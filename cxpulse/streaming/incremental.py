@@ -4,9 +4,8 @@ The analysis itself is batch: the reference processes its table in bounded
 chunks only to cap memory.  The Spark form of "process the table chunk by
 chunk and keep running counts" is a streaming query over the conversation
 files: ``prepare`` and the lexicon score are stateless column expressions, and
-the state kept between micro-batches is one row per day (daily counts) or one
-row per (day, term) (document frequencies).  Each micro-batch hands the
-updated aggregates to ``foreachBatch`` — e.g. to recompute the rolling z-score
+the state kept between micro-batches is one row per calendar day.  Each
+micro-batch hands the days it changed (``update`` mode) to ``foreachBatch`` — e.g. to recompute the rolling z-score
 on the (small) daily table — or to any streaming sink.
 """
 
@@ -18,8 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.lexicon import DEFAULT_LEXICON, DEFAULT_STOPWORDS, Lexicon
-from ..functions.text import is_content_term, words
+from ..functions.lexicon import DEFAULT_LEXICON, Lexicon
 from ..operators.prepare import prepare
 from ..operators.sentiment import with_sentiment
 
@@ -40,8 +38,7 @@ def daily_counts_stream(stream: DataFrame, date_col: str = "date", verbatim_col:
     Sums (not means) are kept as state so that micro-batches combine exactly;
     ``finish_daily`` turns them into the batch ``daily_sentiment`` schema.
     """
-    scored = with_sentiment(prepare(stream, date_col, verbatim_col, conversation_id_col, parser,
-                                    spread_input=False), lexicon)
+    scored = with_sentiment(prepare(stream, date_col, verbatim_col, conversation_id_col, parser), lexicon)
     return scored.groupBy("date").agg(
         F.count(F.lit(1)).alias("total_conversations"),
         F.count_if("is_negative").alias("negative_count"),
@@ -57,18 +54,8 @@ def finish_daily(counts: DataFrame) -> DataFrame:
     )
 
 
-def term_counts_stream(stream: DataFrame, date_col: str = "date", verbatim_col: str = "verbatims",
-                       conversation_id_col: str = "conversation_id", parser: str = "split",
-                       stopwords=DEFAULT_STOPWORDS) -> DataFrame:
-    """Streaming (date, term, count) document frequencies."""
-    p = prepare(stream, date_col, verbatim_col, conversation_id_col, parser, spread_input=False)
-    terms = p.select("date", F.explode(F.array_distinct(words("clean"))).alias("term"))
-    terms = terms.where(is_content_term("term", stopwords))
-    return terms.groupBy("date", "term").agg(F.count(F.lit(1)).alias("count"))
-
-
 def start(agg: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpoint: str,
-          output_mode: str = "complete", trigger_once: bool = False) -> StreamingQuery:
+          output_mode: str = "update", trigger_once: bool = False) -> StreamingQuery:
     """Run ``agg`` with ``foreachBatch``; ``checkpoint`` must be a shared folder."""
     writer = agg.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint).foreachBatch(on_batch)
     if trigger_once:

@@ -9,7 +9,7 @@ fixed-value modules so both sides use the same word lists.
 from __future__ import annotations
 
 from cxpulse.functions.lexicon import CLEAN_LETTERS, DEFAULT_LEXICON, DEFAULT_STOPWORDS, NEGATIVE_THRESHOLD
-from cxpulse.plans.catalog import AMBIGUOUS_QUERY_SAMPLE, EXAMPLES_PER_TERM, INSULT_LEXICON, TOPIC_QUERY_SAMPLE
+from cxpulse.plans.catalog import AMBIGUOUS_QUERY_SAMPLE, EXAMPLES_PER_TERM, INSULT_LEXICON, TOPIC_MIN_RECENT, TOPIC_QUERY_SAMPLE
 from cxpulse.sources.fixtures import (EMERGING_CONVERSATIONS, EMERGING_FROM, NEGATIVE_CONVERSATIONS,
                                       NORMAL_CONVERSATIONS, SPIKE_DAY)
 
@@ -184,14 +184,15 @@ FROM trending t LEFT JOIN (
   WHERE rn <= {EXAMPLES_PER_TERM}) e ON e.term = t.term"""
 
 
-def topic_sample_ctes(sample_size: int, recent_days: int = 14, min_recent: int = 10_000):
+def topic_sample_ctes(sample_size: int, recent_days: int = 14, min_recent: int = TOPIC_MIN_RECENT):
     seg = f"""
 SELECT conversation_id, date, clean, date >= mx - {recent_days} AS is_recent
 FROM prepared, (SELECT max(date) AS mx FROM prepared)"""
     sizes = f"""
-SELECT nr, nh, greatest(0, least(rr, nr)) AS s_r, greatest(0, least({sample_size} - rr, nh)) AS s_h FROM (
-  SELECT nr, nh, greatest(CAST(trunc({sample_size} * (CAST(nr AS DOUBLE) / CAST(nr + nh AS DOUBLE))) AS BIGINT), {min_recent}) AS rr
-  FROM (SELECT count_if(is_recent) AS nr, count_if(NOT is_recent) AS nh FROM seg))"""
+SELECT nr, nh, least(nr, {sample_size} - s_h) AS s_r, s_h FROM (
+  SELECT nr, nh, least({sample_size} - least(rr, nr, {sample_size}), nh) AS s_h FROM (
+    SELECT nr, nh, greatest(CAST(trunc({sample_size} * (CAST(nr AS DOUBLE) / CAST(nr + nh AS DOUBLE))) AS BIGINT), {min_recent}) AS rr
+    FROM (SELECT count_if(is_recent) AS nr, count_if(NOT is_recent) AS nh FROM seg)))"""
     sample = """
 SELECT conversation_id, date, clean, is_recent, sample_rank FROM (
   SELECT s.*, row_number() OVER (PARTITION BY is_recent ORDER BY md5(concat_ws('|', '42', conversation_id)), conversation_id) AS sample_rank,
@@ -201,15 +202,16 @@ WHERE sample_rank <= lim"""
     return [("seg", seg), ("sizes", sizes), ("sample", sample)]
 
 
-TOPIC_VOCAB = f"""
+def vocab_sql(src: str) -> str:
+    return f"""
 SELECT term, CAST(doc_freq AS BIGINT) AS doc_freq, CAST(term_freq AS BIGINT) AS term_freq FROM (
   SELECT term, count(*) AS doc_freq, sum(tf) AS term_freq FROM (
     SELECT conversation_id, term, count(*) AS tf FROM (
       SELECT conversation_id, unnest(list_concat(tk, list_transform(range(1, len(tk)), lambda i: tk[i] || ' ' || tk[i + 1]))) AS term
-      FROM (SELECT conversation_id, list_filter({runs_sql('clean')}, lambda t: length(t) >= 2 AND NOT (t IN {STOP})) AS tk FROM sample))
+      FROM (SELECT conversation_id, list_filter({runs_sql('clean')}, lambda t: length(t) >= 2 AND NOT (t IN {STOP})) AS tk FROM {src}))
     GROUP BY conversation_id, term)
   GROUP BY term)
-WHERE doc_freq >= 10 AND doc_freq <= 0.8 * (SELECT count(*) FROM sample)
+WHERE doc_freq >= 10 AND doc_freq <= 0.8 * (SELECT count(*) FROM {src})
 ORDER BY term_freq DESC, term ASC LIMIT 3000"""
 
 AMBIGUOUS = "SELECT * FROM scored WHERE neg_score > 0.01 AND neg_score <= 0.3"
@@ -226,10 +228,10 @@ RECOVERY = """
 SELECT CAST((SELECT count(*) FROM ambiguous) AS BIGINT) AS n_ambiguous_total, CAST(count(*) AS BIGINT) AS n_sampled,
        CAST(count_if(1.0 - (stars - 1) / 4.0 > 0.6) AS BIGINT) AS n_recovered,
        coalesce(CAST(count_if(1.0 - (stars - 1) / 4.0 > 0.6) AS DOUBLE) / nullif(CAST(count(*) AS DOUBLE), 0), 0.0) AS recovery_rate
-FROM (SELECT 1 + length(substring(clean, 1, 500)) % 5 AS stars FROM amb_sample)"""
+FROM (SELECT 1 + length(clean) % 5 AS stars FROM ambiguous)"""
 
 REFINE_BASE = BASE + [("daily", DAILY), ("spikes", DAILY_SPIKES), ("ambiguous", AMBIGUOUS),
-                      ("amb_sample", amb_sample_sql(50_000)), ("recovery", RECOVERY)]
+                      ("recovery", RECOVERY)]
 
 CORRECTED = spikes_sql(rolling_sql("""(
   SELECT *, CAST(negative_count_corrected AS DOUBLE) / CAST(total_conversations AS DOUBLE) AS negative_ratio_corrected FROM (
@@ -247,10 +249,69 @@ REPORT_BASE = TERM_BASE + [("daily", DAILY), ("spikes", DAILY_SPIKES), ("trendin
 SUMMARY = """
 SELECT 'period' AS metric, CAST(min(date) AS VARCHAR) || ' -> ' || CAST(max(date) AS VARCHAR) AS value FROM prepared
 UNION ALL SELECT 'total_conversations', CAST(count(*) AS VARCHAR) FROM prepared
+UNION ALL SELECT 'negative_conversations', CAST(count_if(is_negative) AS VARCHAR) FROM scored
+UNION ALL SELECT 'negative_share_pct', printf('%.2f', round(100.0::DOUBLE * count_if(is_negative) / count(*), 2)) FROM scored
 UNION ALL SELECT 'negative_spikes', CAST(count_if(coalesce(is_spike, false)) AS VARCHAR) FROM spikes
 UNION ALL SELECT 'trending_terms', CAST(count(*) AS VARCHAR) FROM trending
 UNION ALL SELECT 'novel_terms', CAST(count(*) AS VARCHAR) FROM novel"""
 
+REPORT_SUMMARY = SUMMARY.replace("count_if(coalesce(is_spike, false)) AS VARCHAR) FROM spikes",
+                                 "count_if(coalesce(is_spike_corrected, false)) AS VARCHAR) FROM corrected") + """
+UNION ALL SELECT 'negative_conversations_corrected', CAST(CAST(sum(negative_count_corrected) AS BIGINT) AS VARCHAR) FROM corrected
+UNION ALL SELECT 'negative_share_corrected_pct', printf('%.2f', round(100.0::DOUBLE * sum(negative_count_corrected) / sum(total_conversations), 2)) FROM corrected
+UNION ALL SELECT 'negative_spikes_uncorrected', CAST(count_if(coalesce(is_spike, false)) AS VARCHAR) FROM corrected"""
+
+REFINE_TOTALS = """
+SELECT r.*, c.* FROM recovery r, (
+  SELECT CAST(sum(negative_count) AS BIGINT) AS negatives_before, CAST(sum(negative_count_corrected) AS BIGINT) AS negatives_after,
+         CAST(count_if(coalesce(is_spike, false)) AS BIGINT) AS spikes_before,
+         CAST(count_if(coalesce(is_spike_corrected, false)) AS BIGINT) AS spikes_after
+  FROM corrected) c"""
+
+
+def details_sql(days: str) -> str:
+    """Top terms and samples of the dates in the table ``days``, lists as text."""
+    return f"""
+SELECT d.date, coalesce(t.top_negative_terms, '') AS top_negative_terms, coalesce(v.sample_verbatims, '') AS sample_verbatims
+FROM {days} d
+LEFT JOIN (SELECT date, string_agg(term || '=' || CAST(count AS VARCHAR), ', ' ORDER BY rank) AS top_negative_terms
+           FROM ({SPIKE_TOP}) GROUP BY date) t ON t.date = d.date
+LEFT JOIN (SELECT date, string_agg(verbatim, ' | ' ORDER BY rank) AS sample_verbatims
+           FROM ({SPIKE_SAMPLES}) GROUP BY date) v ON v.date = d.date"""
+
+
+TOPIC_EMERGENCE = """
+SELECT CAST(k AS INTEGER) AS topic_id, round(r, 4) AS recent_weight, round(h, 4) AS history_weight,
+       round(CASE WHEN h > 0.001 THEN r / h ELSE r * 100 END, 2) AS emergence_ratio,
+       round(CASE WHEN h > 0.001 THEN r / h ELSE r * 100 END, 2) > 1.5 AS is_emerging
+FROM (SELECT k, coalesce(avg(w / t) FILTER (recent), 0.0) AS r, coalesce(avg(w / t) FILTER (NOT recent), 0.0) AS h
+      FROM (SELECT event_id, k, recent, w, sum(w) OVER (PARTITION BY event_id) AS t
+            FROM (SELECT event_id, k, d >= mx - 14 AS recent,
+                         CAST((event_id * (k + 3)) % 7 + 1 + CASE WHEN d >= mx - 14 THEN k * k ELSE 0 END AS DOUBLE) AS w
+                  FROM (SELECT event_id, CAST(ts AS DATE) AS d FROM events), (SELECT max(CAST(ts AS DATE)) AS mx FROM events),
+                       (SELECT unnest(range(5)) AS k)))
+      GROUP BY k)"""
+
+JSON_BROKEN = r"""
+SELECT conv_id, turn, 1::INTEGER AS n_messages,
+       CASE WHEN turn % 2 = 0 THEN text || chr(34) || '], [' || chr(34) || text
+            ELSE text || chr(39) || ' x ' || chr(39) || 'b' END AS joined
+FROM conversations WHERE text <> '' AND NOT regexp_matches(text, '[\[\]"''\\\x00-\x1f]')"""
+
+TURN_SCORES = f"""
+SELECT id, {score_sql('clean')} AS neg_score, {score_sql('clean')} > {NEGATIVE_THRESHOLD} AS is_negative
+FROM (SELECT concat_ws('-', conv_id, turn) AS id, {clean_sql('text')} AS clean FROM conversations) WHERE length(clean) > 2"""
+
+DOC_TERMS = f"""
+SELECT source, term, CAST(count(*) AS BIGINT) AS count FROM (
+  SELECT source, unnest(list_distinct(list_filter(string_split({clean_sql('text')}, ' '),
+         lambda t: length(t) >= 3 AND NOT (t IN {STOP})))) AS term FROM documents)
+GROUP BY source, term HAVING count(*) > 1"""
+
+NOVEL_EXAMPLES = (TERM_EXAMPLES.replace("trending", "novel").replace("ORDER BY p.date DESC, p.conversation_id ASC", "ORDER BY p.conversation_id ASC")
+                  .replace("t.current_avg_daily, t.baseline_avg_daily, t.growth_ratio",
+                           "t.recent_count, t.recent_daily_avg, t.history_total, t.history_daily_avg, t.novelty"))
+
 TURN_LISTS = ("SELECT CAST(conv_id AS VARCHAR) AS conversation_id, "
               "list(text ORDER BY turn) FILTER (WHERE text IS NOT NULL) AS msgs FROM conversations GROUP BY conv_id")
 
@@ -322,7 +383,28 @@ def oracle_sql() -> dict[str, str]:
                                    "SELECT true AS is_recent, CAST(nr AS BIGINT) AS n_total, CAST(s_r AS BIGINT) AS n_sample FROM sizes "
                                    "UNION ALL SELECT false, CAST(nh AS BIGINT), CAST(s_h AS BIGINT) FROM sizes"),
         "topic_sample": with_(BASE[:2] + ts, "SELECT conversation_id, is_recent, CAST(sample_rank AS INTEGER) AS sample_rank FROM sample"),
-        "topic_vocabulary": with_(BASE[:2] + ts, TOPIC_VOCAB),
+        "topic_vocabulary": with_(BASE[:2], vocab_sql("prepared")),
+        "topic_emergence": TOPIC_EMERGENCE,
+        "document_vocabulary": with_([("docs", DOC_CLEAN.replace("SELECT doc_id,", "SELECT doc_id AS conversation_id,", 1))], vocab_sql("docs")),
+        "document_term_counts": DOC_TERMS,
+        "turn_scores": TURN_SCORES,
+        "parse_json_broken": JSON_BROKEN,
+        "prepared_split": with_([("turns", TURN_LISTS), ("parsed", PARSE_SPLIT)],
+                                f"SELECT * FROM (SELECT conversation_id, n_messages, {clean_sql('verbatim')} AS clean FROM parsed) "
+                                "WHERE length(clean) > 2"),
+        "prepared_json": with_([("turns", TURN_LISTS), ("parsed", PARSE_JSON)],
+                               f"SELECT * FROM (SELECT conversation_id, n_messages, {clean_sql('verbatim')} AS clean FROM parsed) "
+                               "WHERE length(clean) > 2"),
+        "spike_details": with_(SPIKE_BASE + [("days", "SELECT date FROM spikes WHERE is_spike")], details_sql("days")),
+        "combined_daily": with_(BASE + [("daily", DAILY), ("spikes", DAILY_SPIKES)], r6(DAILY_COLS, "spikes")),
+        "combined_term_counts": with_(TERM_BASE, "SELECT * FROM term_counts"),
+        "novel_examples": with_(TERM_BASE + [("novel", novel_sql())], NOVEL_EXAMPLES),
+        "refine_totals": with_(REFINE_BASE + [("corrected", CORRECTED)], REFINE_TOTALS),
+        "report_daily": with_(REFINE_BASE + [("corrected", CORRECTED)], r6(CORRECTED_COLS, "corrected")),
+        "report_summary": with_(REPORT_BASE + [("ambiguous", AMBIGUOUS), ("recovery", RECOVERY), ("corrected", CORRECTED)], REPORT_SUMMARY),
+        "report_spike_details": with_(
+            REFINE_BASE + [("corrected", CORRECTED), ("days", "SELECT date FROM corrected WHERE is_spike_corrected"),
+                           ("neg", "SELECT * FROM scored WHERE is_negative AND date IN (SELECT date FROM days)")], details_sql("days")),
         "ambiguous_conversations": with_(BASE, "SELECT date, conversation_id, neg_score FROM scored "
                                                "WHERE neg_score > 0.01 AND neg_score <= 0.3"),
         "ambiguous_sample": with_(BASE + [("ambiguous", AMBIGUOUS), ("amb_sample", amb_sample_sql(AMBIGUOUS_QUERY_SAMPLE))],

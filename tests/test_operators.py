@@ -154,3 +154,21 @@ def test_combined_daily_and_term_pass_equals_separate_operators(fx):
         assert got.negative_ratio == r.negative_ratio
     assert term_part(combined).exceptAll(counts).count() == 0
     assert counts.exceptAll(term_part(combined)).count() == 0
+
+
+def test_more_than_ten_thousand_terms(spark, fx):
+    p = fx[0]
+    terms = spark.range(12_000).select(F.concat(F.lit("terme"), F.col("id").cast("string")).alias("term"))
+    terms = terms.unionByName(spark.createDataFrame([("fibre",), ("aujourd'hui",), ("mot",)], "term string"))
+    got = term_examples(p, terms, n=2)
+    assert got.count() >= 12_003
+    assert got.where("term = 'fibre' and verbatim is not null").count() == 2
+
+
+def test_colliding_columns_are_refused(spark):
+    df = spark.createDataFrame([("2024-01-01", "1", "bonjour", "mine")], "date string, conversation_id string, verbatims string, clean string")
+    with pytest.raises(ValueError, match="clean"):
+        prepare(df)
+    dotted = spark.createDataFrame([("2024-01-01", "1", "bonjour")], "`the.date` string, `the.id` string, `the.text` string")
+    row = prepare(dotted, "the.date", "the.text", "the.id", parser="text").first()
+    assert (row.conversation_id, row.clean) == ("1", "bonjour")

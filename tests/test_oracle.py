@@ -9,11 +9,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+import sql_oracle
 from conftest import SF0001
+from cxpulse.plans.catalog import QUERIES as CORE
 
 TABLES = ["events", "documents", "labels", "conversations"]
-QUERIES = E.queries()
-SQL = E.oracle_sql()
+QUERIES = {k: v for k, v in E.queries().items() if k in CORE}
+SQL = sql_oracle.oracle_sql()
 
 
 def _norm(v):

@@ -37,6 +37,10 @@ def test_report_contents(report):
     assert summary["period"] == "2024-01-01 -> 2024-01-30"
     assert int(summary["trending_terms"]) == report["trending_terms"].count() == 17
     assert int(summary["negative_spikes"]) == report["spike_details"].count()
+    totals = report["refine_stats"].first()
+    assert int(summary["negative_conversations"]) == totals.negatives_before == 163
+    assert int(summary["negative_conversations_corrected"]) == totals.negatives_after
+    assert summary["negative_share_pct"] == "16.30"
     assert report["topics"].count() == 10
     ex = report["trending_examples"]
     assert ex.groupBy("term").count().where("count > 20").count() == 0
@@ -70,15 +74,14 @@ def test_streaming_daily_counts_equal_batch(spark, tmp_path):
     src = os.path.join(str(tmp_path), "stream_src")
     conv.repartition(4).write.parquet(src)
     stream = spark.readStream.schema(conv.schema).option("maxFilesPerTrigger", "1").parquet(src)
-    seen = {}
+    got = {}
 
-    def on_batch(df, epoch):
-        seen["rows"] = finish_daily(df).collect()
+    def on_batch(df, epoch):  # the days this batch changed
+        got.update({r.date: r for r in finish_daily(df).collect()})
 
     q = start(daily_counts_stream(stream), on_batch, os.path.join(str(tmp_path), "ckpt"), trigger_once=True)
     q.awaitTermination(120)
     batch = {r.date: r for r in daily_sentiment(with_sentiment(C.prepared(spark, SF0001))).collect()}
-    got = {r.date: r for r in seen["rows"]}
     assert set(got) == set(batch)
     for d, r in got.items():
         assert (r.total_conversations, r.negative_count) == (batch[d].total_conversations, batch[d].negative_count)
@@ -93,3 +96,14 @@ def test_report_on_empty_input_keeps_schemas(spark):
                                           "history_daily_avg", "novelty"]
     assert rep["topics"].count() == 0 and rep["spike_details"].count() == 0
     assert {r.metric: r.value for r in rep["summary"].collect()}["total_conversations"] == "0"
+
+
+def test_cleanup_removes_intermediate_tables(spark):
+    from cxpulse.session import scratch_tables
+
+    with full_report(C.fixture(spark, SF0001), with_topics=False, with_examples=False) as rep:
+        tables = list(rep.tables)
+        assert len(tables) >= 2 and all(os.path.isdir(t.removeprefix("file:")) for t in tables)
+        assert rep["daily_stats"].count() == 30
+    assert not any(os.path.exists(t.removeprefix("file:")) for t in tables)
+    assert not set(tables) & set(scratch_tables(spark))

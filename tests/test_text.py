@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cxpulse.functions.lexicon import DEFAULT_LEXICON, Lexicon
-from cxpulse.functions.scoring import bigram_hits, neg_score, neg_score_regex, token_count, unigram_hits
+from cxpulse.functions.scoring import bigram_hits, can_overlap, neg_score, token_count, unigram_hits
 from cxpulse.functions.text import clean_text, parse_list_json, parse_list_split
 from cxpulse.sources.fixtures import ALL_TEMPLATES, python_list_repr
 
@@ -44,7 +44,6 @@ def templates(spark):
         "idx", F.size("msgs").alias("n"), "clean",
         unigram_hits("clean").alias("u"), bigram_hits("clean").alias("b"),
         token_count("clean").alias("w"), neg_score("clean").alias("s"),
-        neg_score_regex("clean").alias("s_regex"),
     ).orderBy("idx").collect()
 
 
@@ -57,9 +56,30 @@ def test_golden_templates(templates):
         assert row.clean.startswith(prefix)
 
 
-def test_token_form_equals_regex_form(templates):
+def score_by_definition(clean, lexicon):
+    """Word-bounded words plus phrases, each counted leftmost and non-overlapping, over the number of tokens."""
+    import re
+
+    count = lambda items, edge: len(re.findall(edge + "(?:" + "|".join(map(re.escape, items)) + ")" + edge, clean)) if items else 0
+    hits = count(lexicon.words, r"\b") + count(lexicon.bigrams, "")
+    return min(1.0, hits / max(1, len(clean.split())))
+
+
+def test_score_equals_its_definition(templates):
     for row in templates:
-        assert row.s == pytest.approx(row.s_regex, abs=1e-15)
+        assert row.s == pytest.approx(score_by_definition(row.clean, DEFAULT_LEXICON))
+
+
+def test_overlapping_phrases_count_once(spark):
+    lex = Lexicon(words=(), bigrams=("marche pas", "pas bien"), threshold=0.1)
+    assert can_overlap(lex.bigrams) and not can_overlap(("a b", "c d"))
+    df = spark.createDataFrame([("ca marche pas bien",), ("pas bien",)], "clean string")
+    assert [r.s for r in df.select(neg_score("clean", lex).alias("s")).collect()] == [0.25, 0.5]
+    hyphen = Lexicon(words=("rendez-vous", "vous"), bigrams=(), threshold=0.1)
+    got = spark.createDataFrame([("rendez-vous chez vous",)], "clean string").select(neg_score("clean", hyphen).alias("s"))
+    assert got.first().s == pytest.approx(score_by_definition("rendez-vous chez vous", hyphen))
+    empty = Lexicon(words=(), bigrams=(), threshold=0.1)
+    assert df.select(neg_score("clean", empty).alias("s")).first().s == 0.0
 
 
 def _one(spark, expr_fn, value, schema="x string"):
@@ -124,6 +144,30 @@ def test_json_round_trip(spark, items):
     assert got == items
 
 
+@pytest.mark.parametrize("text, expected", [
+    ('["a"], ["b"]', ['a"], ["b']),
+    ("['a'] ['b']", ["a'] ['b"]),
+    ("['a', 'b'] x [c]", ["a", "b'] x [c"]),
+    ('["a"]],"q":[["b"]', ['a"]],"q":[["b']),
+    ('["a"]]} {"b":[["c"]', ['a"]]} {"b":[["c']),
+])
+def test_json_parser_keeps_what_follows_a_first_list(spark, text, expected):
+    got = _one(spark, parse_list_json, text)
+    assert got == expected
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.text(alphabet="abc é,", min_size=1, max_size=6), min_size=1, max_size=3),
+       st.text(alphabet="xyz [,", min_size=1, max_size=6))
+def test_trailing_content_is_never_lost(spark, items, tail):
+    import json
+
+    raw = json.dumps(items, ensure_ascii=False) + tail + "]"
+    got = "".join(_one(spark, parse_list_json, raw))
+    letters = lambda s: sorted(c for c in s if c.isalpha())
+    assert letters(got) == letters("".join(items) + tail)
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.text(alphabet="abc é'\"\\\n", min_size=1, max_size=8), max_size=4))
 def test_python_repr_matches_python(spark, items):
@@ -153,3 +197,19 @@ def test_split_parser_matches_its_definition(spark):
     got = {r.i: r.y for r in df.select("i", parse_list_split("x").alias("y")).collect()}
     for i, t in enumerate(texts):
         assert got[i] == _split_parser_reference(t), t
+
+
+def test_long_texts_take_linear_time(spark):
+    import time
+
+    from cxpulse.operators.topics import with_topic_grams
+
+    blanks = spark.createDataFrame([("['a" + " " * 100_000 + "b', 'c']",)], "x string")
+    words = spark.createDataFrame([(" ".join(f"mot{i % 977}x" for i in range(20_000)),)], "clean string")
+    plans = [blanks.select(F.size(parse_list_split("x")).alias("n")),
+             with_topic_grams(words).select(F.size("grams").alias("n"))]
+    for plan, n in zip(plans, (2, 39_999)):
+        plan.collect()  # compile
+        began = time.time()
+        assert plan.first().n == n
+        assert time.time() - began < 4
