@@ -260,7 +260,10 @@ def _windows(length: int):
                 text = row["left"][::-1] + row["right"]
                 starts = np.arange(0, min(len(row["left"]), len(text) - length) + 1)
                 buf = np.frombuffer(text, np.uint8)
-                one, two = (_mix(Hashes(buf, b).of(starts, starts + length)).view(np.int64) for b in _BASES)
+                one, two = (_mix(Hashes(buf, b).of(starts, starts + length)) for b in _BASES)
+                # a window is counted once for each anchor in it, so anchor and offset are part of what is counted
+                one = _mix(one + np.full(1, row["gram"], np.int64).view(np.uint64) + _U(len(row["left"])) - starts.astype(np.uint64))
+                one, two = one.view(np.int64), two.view(np.int64)
                 n = len(starts)
                 for c, v in zip(cols, (one, two, np.full(n, row["n"]), np.full(n, row["doc_id"] or 0),
                                        np.full(n, row["text_key"]), starts + row["position"] - len(row["left"]))):
