@@ -37,3 +37,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def word_count(col: str) -> Column:
     """Number of maximal runs without ASCII white space (null: 0)."""
     return F.regexp_count(text_of(col), F.lit(WORD)).cast("long")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to differ from all columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out

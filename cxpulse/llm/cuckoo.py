@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_SPACE, checkpointed, text_of
+from .common import ASCII_SPACE, checkpointed, fresh, text_of
 
 SLOTS = 4
 MAX_KICKS = 500
@@ -232,13 +232,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows that stay, one of each class, with their own columns."""
+    digest, keep, copies = fresh(docs, "digest", "keep_id", "keep_copies")
     classes = checkpointed(exact_classes(docs, id_col, text_col)).select(
-        F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"), F.col("keep_copies").alias("__copies"))
-    keyed = docs.withColumn("__digest", digest_udf(text_of(text_col)))
-    kept = keyed.join(classes, "__digest").where(F.col(id_col).cast("long").eqNullSafe(F.col("__keep")))
+        F.col("digest").alias(digest), F.col("keep_id").alias(keep), F.col("keep_copies").alias(copies))
+    keyed = docs.withColumn(digest, digest_udf(text_of(text_col)))
+    kept = keyed.join(classes, digest).where(F.col(id_col).cast("long").eqNullSafe(F.col(keep)))
     once = kept
-    if not classes.where("__copies > 1").isEmpty():  # whole rows that repeat
-        once = kept.where("__copies = 1").unionByName(kept.where("__copies > 1").dropDuplicates(["__digest"]))
+    if not classes.where(F.col(copies) > 1).isEmpty():  # whole rows that repeat
+        again = kept.where(F.col(copies) > 1).dropDuplicates([digest])
+        once = kept.where(F.col(copies) == 1).unionByName(again)
     return once.select(*docs.columns)
 
 

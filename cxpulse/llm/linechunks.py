@@ -21,8 +21,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import checkpointed, text_of
+from .common import checkpointed, fresh, text_of
 
 DIVISOR = 4
 BASE = 31
@@ -151,13 +152,25 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR) -> DataFrame:
     """The input rows, their texts without the removed chunks (a text that loses all its lines becomes empty)."""
+    plan_id, plan_key, gone = fresh(docs, "plan_id", "plan_key", "gone")
     plan = line_dedup(docs, id_col, text_col, divisor).where("size(removed) > 0").select(
-        F.col("doc_id").alias("__id"), "text_key", F.col("removed").alias("__removed")).dropDuplicates(["__id", "text_key"])
-    joined = docs.join(plan, F.col(id_col).cast("long").eqNullSafe(F.col("__id"))
-                       & (F.xxhash64(text_of(text_col)) == F.col("text_key")), "left")
-    lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.filter(lines, lambda _, i: ~F.exists("__removed", lambda r: (i >= r["line"]) & (i < r["line"] + r["lines"])))
-    text = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+        F.col("doc_id").alias(plan_id), F.col("text_key").alias(plan_key), F.col("removed").alias(gone))
+    plan = plan.dropDuplicates([plan_id, plan_key])
+    joined = docs.join(plan, F.col(id_col).cast("long").eqNullSafe(F.col(plan_id))
+                       & (F.xxhash64(text_of(text_col)) == F.col(plan_key)), "left")
+
+    @F.arrow_udf(T.StringType())
+    def cut(texts: pa.Array, removed: pa.Array) -> pa.Array:
+        out = []
+        for text, runs in zip(texts.to_pylist(), removed.to_pylist()):
+            lines = text.split("\n")
+            for r in reversed(runs):
+                del lines[r["line"]:r["line"] + r["lines"]]
+            out.append("\n".join(lines))
+        return pa.array(out, pa.string())
+
+    none = F.array().cast("array<struct<line:bigint,lines:bigint>>")
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(cut(text_of(text_col), F.coalesce(gone, none)))
     return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 

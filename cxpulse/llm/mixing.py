@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, text_of, word_count
+from .common import checkpointed, fresh, text_of, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_RATE = 3
@@ -83,7 +83,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ``size``: words of the text (null: 0).  ``repeats``: how many rows are equal in id, text and source; all of them
     get the same ``copies`` (0 to ``max_rate``).  A null source is a source of its own, last in order.  Empty texts
     have size 0 and take what whole copies their source's rate gives.  An empty table gives an empty result.
-    Reruns agree, ties in the hash order aside of their own rows' making being impossible: equal rows are one unit.
+    Reruns agree: rows that tie in the hash order are equal and share one unit.
     """
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
@@ -165,11 +165,13 @@ def mixed_sizes(docs: DataFrame, **kw) -> DataFrame:
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                     seed: int = SEED, **kw) -> DataFrame:
     """The input rows, each as often as the mix copies it, with their own columns."""
+    unit_id, unit_source, unit_key, copies, key, i = fresh(
+        docs, "unit_id", "unit_source", "unit_key", "unit_copies", "priority", "copy")
     units = mix(docs, id_col, text_col, source_col, seed=seed, **kw).where("copies > 0").select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("priority").alias("__priority"),
-        F.col("copies").alias("__copies"))
-    keyed = docs.withColumn("__p", priority(F.col(id_col).cast("long"), text_of(text_col), seed))
-    joined = keyed.join(units, (F.col("__p") == F.col("__priority"))
-                        & F.col(id_col).cast("long").eqNullSafe(F.col("__id"))
-                        & F.col(source_col).cast("string").eqNullSafe(F.col("__source")))
-    return joined.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+        F.col("doc_id").alias(unit_id), F.col("source").alias(unit_source), F.col("priority").alias(unit_key),
+        F.col("copies").alias(copies))
+    keyed = docs.withColumn(key, priority(F.col(id_col).cast("long"), text_of(text_col), seed))
+    joined = keyed.join(units, (F.col(key) == F.col(unit_key))
+                        & F.col(id_col).cast("long").eqNullSafe(F.col(unit_id))
+                        & F.col(source_col).cast("string").eqNullSafe(F.col(unit_source)))
+    return joined.withColumn(i, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)
