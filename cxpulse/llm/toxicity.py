@@ -35,6 +35,7 @@ from .common import text_of
 FIT_ROWS = 20_000
 CANDIDATES = 2000
 STEM_LENGTHS = (4, 5, 6)
+SPECIFIC = 0.95  # share of a stem's gain for which a longer one replaces it
 
 # fixed word classes (en, fr, de, es)
 TARGETS = frozenset("you your yours yourself ya u he she him her they them his their tu te toi vous votre ton il elle "
@@ -235,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 
     rows = [(r["toxic"], r["found"]) for r in train.mapInArrow(find, "toxic int, found array<int>").where(
         "size(found) > 0").collect()]  # bounded by the fit rows
-    chosen = decision_list(rows, n_pos, n_neg, len(names))
+    chosen = decision_list(rows, n_pos, n_neg, names)
     stems = {names[i]: math.log((candidates[i][1] + 0.5) / (n_pos + 1)) - math.log((candidates[i][2] + 0.5) / (n_neg + 1))
              for i in chosen}
 
@@ -255,8 +256,12 @@ def _logit(pos: int, neg: int) -> float:
     return math.log((pos + 0.5) / (neg + 2.5))
 
 
-def decision_list(rows: list[tuple[int, list[int]]], n_pos: int, n_neg: int, n: int) -> list[int]:
-    """Stems in order of what they add: each time the one with the largest gain over documents not yet explained."""
+def decision_list(rows: list[tuple[int, list[int]]], n_pos: int, n_neg: int, names: list[str]) -> list[int]:
+    """Stems in order of what they add: each time the one with the largest gain over documents not yet explained.
+
+    If a longer stem or a whole word below it explains nearly as much, that one is taken: "pathetic", not "path".
+    """
+    n = len(names)
     share = n_pos / (n_pos + n_neg)
     holds: list[list[int]] = [[] for _ in range(n)]
     pos, neg = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -274,6 +279,9 @@ def decision_list(rows: list[tuple[int, list[int]]], n_pos: int, n_neg: int, n:
         i = int(np.argmax(gain))
         if gain[i] < 6 or pos[i] < 2:
             break
+        start = names[i].rstrip("$")
+        i = max((j for j in np.flatnonzero(gain >= SPECIFIC * gain[i]).tolist() if names[j].startswith(start)),
+                key=lambda j: (len(names[j]), gain[j]))
         chosen.append(i)
         for k in holds[i]:
             if open_[k]:

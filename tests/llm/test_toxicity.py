@@ -93,4 +93,10 @@ def test_without_labels_the_priors_stand(spark, rows, docs, no_docs):
 
 def test_decision_list_prefers_what_is_not_yet_explained():
     rows = [(1, [0, 1]), (1, [0, 1]), (1, [0]), (1, [0, 2]), (1, [2]), (1, [2]), (1, [2]), (0, [3]), (0, [3]), (1, [3])]
-    assert toxicity.decision_list(rows, 8, 200, 4) == [0, 2] or toxicity.decision_list(rows, 8, 200, 4) == [2, 0]
+    names = ["aaaa", "bbbb", "cccc", "dddd"]
+    assert sorted(toxicity.decision_list(rows, 8, 200, names)) == [0, 2]
+
+
+def test_decision_list_prefers_whole_words():
+    rows = [(1, [0, 1, 2])] * 30 + [(0, [0])]
+    assert toxicity.decision_list(rows, 60, 600, ["path", "pathet", "pathetic$"]) == [2]
