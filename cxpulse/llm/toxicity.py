@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import checkpointed, text_of
 
 #: labelled rows of each class the grammar is fitted on at most (by hash order; all of them where there are fewer)
 FIT_ROWS = 20_000
@@ -182,7 +182,8 @@ def _features(text: str) -> set[str]:
 
 
 def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    small = (b.slice(at, 100) for b in batches for at in range(0, b.num_rows, 100))  # bounds the counters
+    for batch in small:
         by_label = (Counter(), Counter())
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             by_label[toxic].update(_features(text))
@@ -212,7 +213,7 @@ def held_out(doc_id):
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """The grammar's weights from a bounded number of labelled rows (no labels: the priors alone)."""
-    train = training_rows(docs, labels, fit_rows)
+    train = checkpointed(training_rows(docs, labels, fit_rows))  # bounded, read four times
     sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
     if not n_pos or not n_neg:
