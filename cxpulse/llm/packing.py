@@ -36,7 +36,15 @@ from .common import text_of
 
 WINDOW = 1024
 END = 0  # id that closes every document
-MEMO = 300_000  # remembered pre-tokens a worker
+MEMO = 100_000  # remembered pre-tokens a worker
+
+
+@lru_cache(maxsize=1)
+def _library(name: str):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
 
 
 @lru_cache(maxsize=2)
@@ -51,13 +59,12 @@ def encoder(name: str = "byte_bpe_50k"):
 
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
     path = public_tokenizers.path
     with open(path(f"{name}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
     plain = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    library = Tokenizer.from_file(path(f"{name}.json"))
+    del ranks
     letters = "A-Za-zÀ-ÖØ-öø-ÿ"
     pre_tokens = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{letters}]+| ?[0-9]+| ?[^\s{letters}0-9]+|\s+(?!\S)|\s+").findall
     odd = re.compile(r"[^\t\n\r\x20-\x7eÀ-ÿ]|<\|").search
@@ -76,7 +83,7 @@ def encoder(name: str = "byte_bpe_50k"):
 
     def encode(text: str) -> bytes:
         if odd(text):
-            ids = library.encode(text, add_special_tokens=False).ids
+            ids = _library(name).encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
         return b"".join(map(memo.__getitem__, pre_tokens(text)))
 
