@@ -103,7 +103,7 @@ def materialize_table(df: DataFrame, name: str = "table", partition_by: str | No
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/cxpulse-{name}-{uuid.uuid4().hex}"
     _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
-    writer = df.write.mode("error")
+    writer = df.write.mode("error").option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)  # an empty partitioned table has no file to read it from
 
