@@ -24,7 +24,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from cxpulse.operators.refine import length_stars_scorer  # noqa: E402
 from cxpulse.plans import catalog as C  # noqa: E402
 from cxpulse.plans.report import Params, full_report  # noqa: E402
-from cxpulse.session import local_session  # noqa: E402
+from cxpulse.session import configure, drop_scratch, local_session  # noqa: E402
 
 HEADLINE = [
     "sentiment_scores",
@@ -36,6 +36,7 @@ HEADLINE = [
     "novel_terms",
     "term_examples",
     "topic_vocabulary",
+    "document_vocabulary",
     "emerging_topics",
     "recovery_stats",
     "daily_corrected",
@@ -50,13 +51,14 @@ def full_report_run(spark, sf_dir):
     """End-to-end report on the fixture rendered as text lists (parser path),
     with the stand-in model pass enabled; every output frame is executed."""
     conv = C.fixture(spark, sf_dir, form="python")
-    report = full_report(conv, params=Params(use_model=True), scorer_factory=length_stars_scorer)
-    for df in report.values():
-        df.write.mode("overwrite").format("noop").save()
+    with full_report(conv, params=Params(use_model=True), scorer_factory=length_stars_scorer) as report:
+        for df in report.values():
+            df.write.mode("overwrite").format("noop").save()
 
 
 def reset(spark):
     spark.catalog.clearCache()
+    drop_scratch(spark)
     spark.sparkContext._jvm.System.gc()
     gc.collect()
 
@@ -78,6 +80,7 @@ def main():
     spark = local_session(cores=cpus, shuffle_partitions=int(cpus) * 2 if cpus.isdigit() else 16,
                           driver_memory=os.environ.get("BENCH_DRIVER_MEMORY", "16g"))
     spark.sparkContext.setLogLevel("ERROR")
+    configure(spark)
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
     # untimed warm-up on the smallest tables: JIT-compiles the code paths so
     # that the timings below measure steady-state execution
