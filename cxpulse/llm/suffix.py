@@ -12,19 +12,23 @@ and the texts before the anchors agree to its left end.
    bytes) with a hash of all that any window through them can see, their context.
 2. Anchors whose k-gram occurs once are dropped by an aggregation and a join.
    Occurrences whose whole context occurs again are repeats at once.
-3. What is left, one occurrence of each context, goes to its k-gram's bucket
-   with its bytes: sorted by suffix, with the common prefixes of neighbours, and
-   scanned with a stack into the intervals of the common-prefix tree.  Inside
-   each interval the texts before the anchors are treated alike; an interval
-   there is a set of occurrences that cannot be extended to the left together.
-   Each pair of intervals that spans ``length`` bytes is a maximal repeat of all
-   its occurrences.
-4. Buckets of more than ``BUCKET`` different contexts (the edge of a passage that
-   a third of all documents share) are resolved exactly by counting their
-   windows instead, which spreads over all tasks.
-
-Spans go back to their documents through one shuffle of the texts, which steps
-3 and the final cut share.
+3. What is left, one occurrence of each context, goes to buckets by what a window
+   must share on its longer side of the anchor: half of the rest of its bytes
+   after the gram, or half of them before it.  Buckets of one are done.
+4. The others get their bytes: sorted by suffix, with the common prefixes of
+   neighbours, and scanned with a stack into the intervals of the common-prefix
+   tree.  Inside each interval the texts before the anchors are treated alike; an
+   interval there is a set of occurrences that cannot be extended to the left
+   together.  Each pair of intervals that spans ``length`` bytes is a maximal
+   repeat of all its occurrences.
+5. Buckets of more than ``BUCKET`` contexts (the edge of a passage that a third of
+   all documents share) are resolved exactly by counting: windows are taken in
+   runs of ``RUN`` starts; a run whose union occurs again is a repeat as a whole, a
+   run whose intersection does not has none, and only runs between the two count
+   their windows one by one.  Counts spread over all tasks.
+
+Spans go back to their documents through a shuffle of the texts.  Shuffles that
+are done with are released between the steps.
 """
 
 from __future__ import annotations
@@ -38,12 +42,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize_table
-from .common import text_of
+from ..session import drop_scratch, materialize_table, scratch_tables
+from .common import release_shuffles, text_of
 
 LENGTH = 200
 GRAM = 32
-BUCKET = 256
+BUCKET = 32
+RUN = 12
 PIECE = 1 << 20  # bytes hashed at a time
 
 _U = np.uint64
@@ -203,8 +208,14 @@ def bucket_repeats(rows: list[tuple[bytes, bytes]], length: int) -> list[tuple[i
 
     ``rows``: (text before, reversed; text from the anchor on), sorted by the latter.
     """
-    out = []
+    if len(rows) == 2:
+        (left, right), (other_left, other_right) = rows
+        before, after = common(left, other_left), common(right, other_right)
+        return [(before, after, [0, 1])] if before + after >= length else []
+    out, reach = [], max(len(r[0]) for r in rows)
     for lo, hi, after in intervals([common(a[1], b[1]) for a, b in zip(rows, rows[1:])]):
+        if after + reach < length:
+            continue
         members = sorted(range(lo, hi + 1), key=lambda i: rows[i][0])
         for first, last, before in intervals([common(rows[a][0], rows[b][0]) for a, b in zip(members, members[1:])]):
             if before + after >= length:
@@ -215,20 +226,36 @@ def bucket_repeats(rows: list[tuple[bytes, bytes]], length: int) -> list[tuple[i
 _SPAN = "doc_id long, text_key long, start long, stop long, repeat long"
 
 
-def _resolve(length: int):
-    """Rows sorted by gram and suffix -> spans of the occurrences whose context does not occur again."""
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[dict] = []
+def _resolve(length: int, groups: bool = False):
+    """Rows sorted by bucket and suffix -> spans of the occurrences whose context does not occur again.
+
+    With ``groups``: every maximal repeat with all its members instead, named by the digest of its bytes.
+    """
+    names = ("key", "left", "right", "doc_id", "text_key", "position", "n")
 
-        def spans() -> list[tuple]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[tuple] = []  # rows of the bucket that the next batch may go on with
+
+        def spans(group: list[tuple]) -> list[tuple]:
+            if groups:
+                found = []
+                for before, after, members in bucket_repeats([r[1:3] for r in group], length):
+                    _, left, right, *_ = group[members[0]]
+                    name = hashlib.blake2b(left[:before][::-1] + right[:after], digest_size=8).digest()
+                    number = int.from_bytes(name, "little", signed=True)
+                    found += [(r[3], r[4], r[5] - before, r[5] + after, number) for r in (group[m] for m in members)]
+                return found
+            # all repeats of an occurrence hold its anchor: together they cover from the first to the last byte of any
+            reach: dict[int, list[int]] = {}
+            for before, after, members in bucket_repeats([r[1:3] for r in group], length):
+                for m in members:
+                    r = reach.setdefault(m, [0, 0])
+                    r[0], r[1] = max(r[0], before), max(r[1], after)
             out = []
-            if len(group) > 1:
-                for before, after, members in bucket_repeats([(r["left"], r["right"]) for r in group], length):
-                    text = group[members[0]]
-                    repeat = hashlib.blake2b(text["left"][:before][::-1] + text["right"][:after], digest_size=8).digest()
-                    number = int.from_bytes(repeat, "little", signed=True)
-                    out += [(r["doc_id"], r["text_key"], r["position"] - before, r["position"] + after, number)
-                            for r in (group[m] for m in members) if r["n"] == 1]
+            for m, (before, after) in reach.items():
+                key, left, right, doc_id, text_key, position, n = group[m]
+                if n == 1:
+                    out.append((doc_id, text_key, position - before, position + after, key))
             return out
 
         def batch_of(found: list[tuple]) -> pa.RecordBatch:
@@ -236,60 +263,136 @@ def _resolve(length: int):
                                               names=["doc_id", "text_key", "start", "stop", "repeat"])
 
         for batch in batches:
-            found = []
-            for row in batch.to_pylist():
-                if group and group[0]["gram"] != row["gram"]:
-                    found += spans()
-                    group = []
-                group.append(row)
+            rows = rest + list(zip(*(batch.column(n).to_pylist() for n in names)))
+            keys = np.array([r[0] for r in rows], np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist()]
+            found = [x for lo, hi in zip(cuts, cuts[1:]) if hi - lo > 1 for x in spans(rows[lo:hi])]
+            rest = rows[cuts[-1]:]
             if found:
                 yield batch_of(found)
-        if found := spans():
+        if len(rest) > 1 and (found := spans(rest)):
             yield batch_of(found)
 
     return work
 
 
+class Contexts:
+    """The contexts of a batch in one buffer, with polynomial hashes of their substrings."""
+
+    def __init__(self, lefts: list[bytes], rights: list[bytes], keys: list[int]):
+        self.before = np.fromiter(map(len, lefts), np.int64, len(lefts))
+        self.after = np.fromiter(map(len, rights), np.int64, len(rights))
+        buf = np.frombuffer(b"".join(x for a, b in zip(lefts, rights) for x in (a[::-1], b)), np.uint8)
+        ends = np.cumsum(self.before + self.after)
+        self.anchor = ends - self.after  # places of the anchors in the buffer
+        self.keys = np.array(keys, np.int64).view(np.uint64)
+        self.hashes = [Hashes(buf, b) for b in _BASES]
+
+    def of(self, row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of text from ``start`` to ``stop`` (relative to the anchors of the rows).
+
+        The same place is met once for each anchor near it, so bucket and offset are part of what is hashed.
+        """
+        one, two = (_mix(h.of(self.anchor[row] + start, self.anchor[row] + stop)) for h in self.hashes)
+        one = _mix(one + self.keys[row] + (start - 4096 * stop).astype(np.uint64))
+        return one.view(np.int64), two.view(np.int64)
+
+
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    return (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+
+
+def _runs(length: int, gram: int):
+    """Contexts of large buckets -> their runs of windows: hash of the intersection, two hashes of the union (null: cut off)."""
+    half = (length - gram) // 2
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _small(batches):
+            col = {n: batch.column(n) for n in batch.schema.names}
+            texts = Contexts(col["left"].to_pylist(), col["right"].to_pylist(), col["key"].to_pylist())
+            side = np.array(col["side"].to_pylist(), np.int64)
+            firsts = [np.arange(0, half + 1, RUN), np.arange(half, length - gram + 1, RUN)]
+            row = np.concatenate([np.repeat(np.flatnonzero(side == s), len(firsts[s])) for s in (0, 1)])
+            a = np.concatenate([np.tile(firsts[s], np.count_nonzero(side == s)) for s in (0, 1)])
+            b = np.minimum(a + RUN - 1, np.where(side[row] == 0, half, length - gram))
+            some = (texts.before[row] >= a) & (texts.after[row] >= length - b)
+            row, a, b = row[some], a[some], b[some]
+            shared, _ = texts.of(row, -a, length - b)
+            full = (texts.before[row] >= b) & (texts.after[row] >= length - a)
+            start, stop = np.where(full, -b, -a), np.where(full, length - a, length - b)
+            one, two = texts.of(row, start, stop)
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [*(col[c].take(at) for c in ("doc_id", "text_key", "position", "key", "side", "n")), pa.array(a.astype(np.int16)),
+                 pa.array(b.astype(np.int16)), pa.array(shared), pa.array(one, mask=~full), pa.array(two, mask=~full)],
+                names=["doc_id", "text_key", "position", "key", "side", "n", "low", "high", "shared", "one", "two"])
+
+    return work
+
+
 def _windows(length: int):
-    """Contexts of a large bucket -> all their windows: (two hashes, occurrences, document, start)."""
+    """Contexts with runs to open -> their windows: (two hashes, occurrences, document, start)."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _small(batches):
+            col = {n: batch.column(n) for n in batch.schema.names}
+            texts = Contexts(col["left"].to_pylist(), col["right"].to_pylist(), col["key"].to_pylist())
+            triples = [(i, o, r["n"]) for i, runs in enumerate(col["runs"].to_pylist()) for r in runs
+                       for o in range(r["low"], r["high"] + 1)]
+            row, o, n = (np.array([x[k] for x in triples], np.int64) for k in (0, 1, 2))
+            some = (texts.before[row] >= o) & (texts.after[row] >= length - o)
+            row, o, n = row[some], o[some], n[some]
+            one, two = texts.of(row, -o, length - o)
+            at = pa.array(row)
+            start = np.array(col["position"].to_pylist(), np.int64)[row] - o
+            yield pa.RecordBatch.from_arrays([*(col[c].take(at) for c in ("doc_id", "text_key")), pa.array(n), pa.array(start),
+                                              pa.array(one), pa.array(two)], names=["doc_id", "text_key", "n", "start", "one", "two"])
+
+    return work
+
+
+def _each(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, dict[str, np.ndarray], dict[str, pa.Array]]:
+    """(doc_id, text_key, text, found list of structs) -> texts, and for each struct its row, number fields and columns."""
+    lists = batch.column(3)
+    flat = lists.flatten()
+    row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+    cols = {f.name: flat.field(i) for i, f in enumerate(flat.type)}
+    at = pa.array(row)
+    numbers = {k: v.to_numpy(zero_copy_only=False).astype(np.int64) for k, v in cols.items() if k in ("position", "before", "after")}
+    return batch.column(2).to_pylist(), row, numbers, {"doc_id": batch.column(0).take(at), "text_key": batch.column(1).take(at), **cols}
+
+
+def _sides(length: int, gram: int):
+    """(doc_id, text_key, text, anchors) -> a row per anchor and side with the bucket's key, where the side has the bytes."""
+    half = (length - gram) // 2
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list[np.ndarray]] = [[] for _ in range(6)]
-            nulls = []
-            for row in batch.to_pylist():
-                text = row["left"][::-1] + row["right"]
-                starts = np.arange(0, min(len(row["left"]), len(text) - length) + 1)
-                buf = np.frombuffer(text, np.uint8)
-                one, two = (_mix(Hashes(buf, b).of(starts, starts + length)) for b in _BASES)
-                # a window is counted once for each anchor in it, so anchor and offset are part of what is counted
-                one = _mix(one + np.full(1, row["gram"], np.int64).view(np.uint64) + _U(len(row["left"])) - starts.astype(np.uint64))
-                one, two = one.view(np.int64), two.view(np.int64)
-                n = len(starts)
-                for c, v in zip(cols, (one, two, np.full(n, row["n"]), np.full(n, row["doc_id"] or 0),
-                                       np.full(n, row["text_key"]), starts + row["position"] - len(row["left"]))):
-                    c.append(v.astype(np.int64))
-                nulls.append(np.full(n, row["doc_id"] is None))
-            if not cols[0]:
-                continue
-            arrays = [np.concatenate(c) for c in cols]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, mask=np.concatenate(nulls) if i == 3 else None) for i, x in enumerate(arrays)],
-                names=["one", "two", "n", "doc_id", "text_key", "start"])
+            texts, row, num, cols = _each(batch)
+            p = num["position"]
+            for side, (a, b) in enumerate(((0, length - half), (-half, gram))):
+                some = np.flatnonzero((num["before"] >= -a) & (num["after"] >= b))
+                digests = b"".join([hashlib.blake2b(texts[i][x:y], digest_size=8, salt=bytes([side])).digest() for i, x, y in
+                                    zip(row[some].tolist(), (p[some] + a).tolist(), (p[some] + b).tolist())])
+                at = pa.array(some)
+                yield pa.RecordBatch.from_arrays(
+                    [*(cols[c].take(at) for c in ("doc_id", "text_key", "position", "n", "before", "after")),
+                     pa.array(np.full(len(some), side, np.int8)), pa.array(np.frombuffer(digests, "<i8"))],
+                    names=["doc_id", "text_key", "position", "n", "before", "after", "side", "key"])
 
     return work
 
 
 def _context_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text_key, text, anchors) -> a row per anchor with the bytes before (reversed) and after."""
+    """(doc_id, text_key, text, sides) -> a row per side with the bytes before (reversed) and after its anchor."""
     for batch in batches:
-        rows = []
-        for doc_id, key, text, found in zip(*(c.to_pylist() for c in batch.columns)):
-            for x in found:
-                p = x["position"]
-                rows.append((doc_id, key, p, x["gram"], x["n"], x["wide"], text[p - x["before"]:p][::-1], text[p:p + x["after"]]))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
-                                         names=["doc_id", "text_key", "position", "gram", "n", "wide", "left", "right"])
+        texts, row, num, cols = _each(batch)
+        p, first, last = num["position"], num["position"] - num["before"], num["position"] + num["after"]
+        left = [texts[i][a:b][::-1] for i, a, b in zip(row.tolist(), first.tolist(), p.tolist())]
+        right = [texts[i][a:b] for i, a, b in zip(row.tolist(), p.tolist(), last.tolist())]
+        yield pa.RecordBatch.from_arrays(
+            [cols["doc_id"], cols["text_key"], pa.array(p), *(cols[c] for c in ("key", "n", "side", "wide")),
+             pa.array(left, pa.binary()), pa.array(right, pa.binary())],
+            names=["doc_id", "text_key", "position", "key", "n", "side", "wide", "left", "right"])
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -302,16 +405,26 @@ def _same(a: str, b: str):
     return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.text_key") == F.col(f"{b}.text_key"))
 
 
-def repeat_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, text_key, start, stop, repeat): occurrences of repeats, grouped by ``repeat``, in keyed rows (`_keyed`)."""
+def _occurrences(rows: DataFrame, length: int, gram: int, bucket: int):
+    """(spans of anchors whose whole context occurs again, contexts in buckets, function that stores a table)."""
+    spark = rows.sparkSession
+    scratch = set(scratch_tables(spark))
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        table = materialize_table(df, name)
+        release_shuffles(spark)
+        return table
+
     found = materialize_table(rows.mapInArrow(
         _anchor_batches(length, gram),
         "doc_id long, text_key long, position int, gram long, context long, before short, after short"), "anchors")
+    of_anchors = [t for t in scratch_tables(spark) if t not in scratch]
     again = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi"))
     again = again.where("n > 1").select("gram", (F.col("lo") == F.col("hi")).alias("alike"))
-    repeated = materialize_table(found.join(again, "gram"), "repeated")
+    repeated = stored(found.join(again, "gram"), "repeated")
+    drop_scratch(spark, of_anchors)
     mixed = repeated.where("not alike")
-    classes = materialize_table(mixed.groupBy("gram", "context").agg(
+    classes = stored(mixed.groupBy("gram", "context").agg(
         F.count("*").alias("n"),
         F.min(F.struct("doc_id", "text_key", "position", "before", "after")).alias("at")).select("gram", "context", "n", "at.*"),
         "contexts")
@@ -321,47 +434,123 @@ def repeat_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket
     whole = whole.select("doc_id", "text_key", (F.col("position") - F.col("before")).cast("long").alias("start"),
                          (F.col("position") + F.col("after")).cast("long").alias("stop"), F.col("context").alias("repeat"))
 
-    wide = classes.groupBy("gram").agg((F.count("*") > bucket).alias("wide"))
-    sized = classes.join(wide, "gram")
-    wanted = sized.groupBy("doc_id", "text_key").agg(F.collect_list(
-        F.struct("position", "gram", "n", "wide", "before", "after")).alias("found"))  # a document's own anchors
-    texts = rows.alias("t").join(wanted.alias("w"), _same("t", "w")).select("t.doc_id", "t.text_key", "t.text", "w.found")
-    contexts = texts.mapInArrow(_context_bytes, "doc_id long, text_key long, position long, gram long, n long, "
-                                "wide boolean, left binary, right binary")
-    near = contexts.where("not wide").repartition("gram").sortWithinPartitions("gram", "right").mapInArrow(_resolve(length), _SPAN)
-    grams = contexts.where("wide").mapInArrow(_windows(length), "one long, two long, n long, doc_id long, text_key long, start long")
-    twice = grams.groupBy("one", "two").agg(F.sum("n").alias("all")).where("all > 1").select("one", "two")
-    far = grams.join(twice, ["one", "two"]).select("doc_id", "text_key", "start", (F.col("start") + length).alias("stop"),
-                                                   F.xxhash64("one", "two").alias("repeat"))
-    return whole.unionByName(near).unionByName(far)
-
-
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal runs of covered bytes."""
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+    def with_texts(anchors_: DataFrame, *columns: str) -> DataFrame:
+        wanted = anchors_.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct(*columns)).alias("found"))  # a document's own
+        return rows.alias("t").join(wanted.alias("w"), _same("t", "w")).select("t.doc_id", "t.text_key", "t.text", "w.found")
+
+    sides = stored(with_texts(classes, "position", "n", "before", "after").mapInArrow(
+        _sides(length, gram), "doc_id long, text_key long, position int, n long, before short, after short, side byte, key long"),
+        "sides")
+    shared = sides.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", (F.col("m") > bucket).alias("wide"))
+    contexts = stored(with_texts(sides.join(shared, "key"), "position", "key", "n", "side", "wide", "before", "after").mapInArrow(
+        _context_bytes, "doc_id long, text_key long, position long, key long, n long, side byte, wide boolean, left binary, "
+        "right binary"), "context-bytes")
+    return whole, contexts, stored
+
+
+def repeat_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
+    """(doc_id, text_key, start, stop, repeat): covered bytes around every anchor of keyed rows (`_keyed`)."""
+    whole, contexts, stored = _occurrences(rows, length, gram, bucket)
+    near = contexts.where("not wide").repartition("key").sortWithinPartitions("key", "right").mapInArrow(_resolve(length), _SPAN)
+    return whole.unionByName(near).unionByName(_wide_spans(contexts.where("wide"), length, gram, stored))
+
+
+def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
+                  gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
+    """(repeat, length, doc_id, start): the maximal repeats met around anchors, each with all its occurrences there.
+
+    Rows of one ``repeat`` (64-bit digest of the bytes) are equal strings.  Contexts that occur again as a whole are
+    one repeat; in buckets of up to ``bucket`` contexts come the prefix tree's intervals, one occurrence standing for
+    those with its whole context; larger buckets have only their covered bytes counted (`repeat_spans`).
+    """
+    whole, contexts, _ = _occurrences(_keyed(docs, id_col, text_col), length, gram, bucket)
+    near = contexts.where("not wide").repartition("key").sortWithinPartitions("key", "right").mapInArrow(_resolve(length, True), _SPAN)
+    both = whole.unionByName(near)
+    return both.select("repeat", (F.col("stop") - F.col("start")).alias("length"), "doc_id", "start").distinct()
+
+
+def _wide_spans(contexts: DataFrame, length: int, gram: int, stored) -> DataFrame:
+    """Spans of the occurrences in large buckets, by counting runs of windows and then the windows of unclear runs."""
+    runs = stored(contexts.mapInArrow(_runs(length, gram), "doc_id long, text_key long, position long, key long, side byte, n long, "
+                                      "low short, high short, shared long, one long, two long"), "runs")
+    twice = runs.where("one is not null").groupBy("one", "two").agg(F.sum("n").alias("m")).where("m > 1").select(
+        "one", "two", F.lit(True).alias("whole"))
+    known = runs.join(twice, ["one", "two"], "left").withColumn("open", F.col("whole").isNull() & (F.col("n") == 1))
+    covered = known.where("whole and n = 1").select(
+        "doc_id", "text_key", (F.col("position") - F.col("high")).alias("start"),
+        (F.col("position") + length - F.col("low")).alias("stop"), F.xxhash64("one", "two").alias("repeat"))
+    unclear = known.groupBy("shared").agg(F.sum("n").alias("m"), F.max("open").alias("any")).where("m > 1 and any").select("shared")
+    # to open: the unclear ones, and of those known to be alike one as their partner
+    place = ("doc_id", "text_key", "position", "key", "side", "low", "high")
+    partner = known.where("whole").groupBy("shared", "one", "two").agg(F.min(F.struct(*place)).alias("at"))
+    asked = known.where("whole is null").select("shared", *place, "n").unionByName(
+        partner.select("shared", "at.*", F.lit(2).cast("long").alias("n")))
+    opened = asked.join(unclear, "shared").groupBy("doc_id", "text_key", "position", "key", "side").agg(
+        F.collect_list(F.struct("low", "high", "n")).alias("runs")).alias("o")  # at most a dozen runs a context
+    same = _same("c", "o") & (F.col("c.position") == F.col("o.position")) & (F.col("c.key") == F.col("o.key")) & (
+        F.col("c.side") == F.col("o.side"))
+    grams = contexts.alias("c").join(opened, same).select("c.*", "o.runs").mapInArrow(
+        _windows(length), "doc_id long, text_key long, n long, start long, one long, two long")
+    grams = stored(grams, "windows")
+    again = grams.groupBy("one", "two").agg(F.sum("n").alias("m")).where("m > 1").select("one", "two")
+    single = grams.where("n = 1").join(again, ["one", "two"]).select(
+        "doc_id", "text_key", "start", (F.col("start") + length).alias("stop"), F.xxhash64("one", "two").alias("repeat"))
+    return covered.unionByName(single)
+
+
+_RUNS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+
+
+def _merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text_key, start, stop) sorted -> a row per document: its maximal runs of covered bytes."""
+    rest: pa.RecordBatch | None = None
+
+    def merged(batch: pa.RecordBatch, first: np.ndarray) -> pa.RecordBatch:
+        start, stop = (batch.column(i).to_numpy() for i in (2, 3))
+        group = np.zeros(len(start), np.int64)
+        group[first[1:]] = 1
+        group = np.cumsum(group)
+        # documents one after the other on one line, so that a running maximum serves them all
+        room = int(stop.max()) + 1
+        reached = np.maximum.accumulate(stop + group * room)
+        new = np.r_[True, start[1:] + group[1:] * room > reached[:-1]]
+        new[first] = True
+        at = np.flatnonzero(new)
+        last = np.r_[at[1:], len(start)] - 1
+        offsets = np.searchsorted(at, np.r_[first, len(start)]).astype(np.int32)
+        runs = pa.StructArray.from_arrays([pa.array(start[at]), pa.array(reached[last] - group[last] * room)], fields=list(_RUNS.value_type))
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first)), batch.column(1).take(pa.array(first)),
+                                           pa.ListArray.from_arrays(pa.array(offsets), runs)], names=["doc_id", "text_key", "runs"])
+
+    for batch in batches:
+        if rest is not None:
+            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        if not batch.num_rows:
+            continue
+        ids, keys = batch.column(0), batch.column(1).to_numpy()
+        gone = ids.is_null().to_numpy(zero_copy_only=False)
+        ids = ids.fill_null(0).to_numpy()
+        change = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]) | (gone[1:] != gone[:-1])
+        first = np.r_[0, np.flatnonzero(change) + 1]
+        if len(first) > 1:  # the last document may go on in the next batch
+            yield merged(batch.slice(0, first[-1]), first[:-1])
+        rest = batch.slice(first[-1])
+    if rest is not None and rest.num_rows:
+        yield merged(rest, np.zeros(1, np.int64))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for doc_id, text, spans in zip(*(c.to_pylist() for c in batch.columns)):
-            text = text or b""
-            runs, kept, at = merged([(s["start"], s["stop"]) for s in spans or []]), [], 0
-            for a, b in runs:
-                kept.append(text[at:a])
-                at = b
-            kept.append(text[at:])
-            rows.append((doc_id, len(text), runs, b"".join(kept)))
-        run = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+        kept = []
+        for text, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            text, at, parts = text or b"", 0, []
+            for r in runs or []:
+                parts.append(text[at:r["start"]])
+                at = r["stop"]
+            kept.append(b"".join([*parts, text[at:]]))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-             pa.array([[{"start": a, "stop": b} for a, b in r[2]] for r in rows], run), pa.array([r[3] for r in rows], pa.binary())],
+            [batch.column(0), pa.array([len(t or b"") for t in batch.column(1).to_pylist()], pa.int64()),
+             pa.array([r or [] for r in batch.column(2).to_pylist()], _RUNS), pa.array(kept, pa.binary())],
             names=["doc_id", "n_bytes", "removed", "kept"])
 
 
@@ -372,8 +561,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null texts count as empty; texts shorter than ``length`` lose nothing; whole rows that repeat repeat each other
     and lose all a window covers.  Cuts may fall inside a UTF-8 character.  Other columns are not read.
     """
-    rows = _keyed(docs, id_col, text_col)
-    spans = repeat_spans(rows, length, gram, bucket).groupBy("doc_id", "text_key").agg(
-        F.collect_list(F.struct("start", "stop")).alias("spans"))  # a document's own spans
-    joined = rows.alias("t").join(spans.alias("s"), _same("t", "s"), "left").select("t.doc_id", "t.text", "s.spans")
+    rows, spark = _keyed(docs, id_col, text_col), docs.sparkSession
+    before = set(scratch_tables(spark))
+    spans = repeat_spans(rows, length, gram, bucket).select("doc_id", "text_key", "start", "stop")
+    # a document's own spans: rows dealt and sorted by document, merged as they stream by
+    runs = spans.repartition("doc_id", "text_key").sortWithinPartitions("doc_id", "text_key", "start").mapInArrow(
+        _merge_spans, "doc_id long, text_key long, runs array<struct<start:bigint,stop:bigint>>")
+    done = [t for t in scratch_tables(spark) if t not in before]
+    runs = materialize_table(runs, "covered")
+    drop_scratch(spark, done)  # nothing but the runs is read from here on
+    release_shuffles(spark)
+    joined = rows.alias("t").join(runs.alias("s"), _same("t", "s"), "left").select("t.doc_id", "t.text", "s.runs")
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, removed array<struct<start:bigint,stop:bigint>>, kept binary")

@@ -186,3 +186,15 @@ def test_long_text_is_cut_into_overlapping_pieces(monkeypatch):
     cut = suffix.anchors([text])
     rows = lambda a: sorted(zip(*(x.tolist() for x in a)))
     assert rows(whole) == rows(cut)
+
+
+def test_repeat_groups_are_equal_strings(spark):
+    texts = random_texts(6)
+    df = frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    groups = {}
+    for r in suffix.repeat_groups(df, bucket=64).collect():
+        groups.setdefault(r.repeat, []).append((r.doc_id, r.start, r.length))
+    assert len(groups) > 5
+    for found in groups.values():
+        strings = {texts[i].encode()[a:a + n] for i, a, n in found}
+        assert len(strings) == 1 and len(found) > 1 and len(strings.pop()) >= suffix.LENGTH
