@@ -471,6 +471,7 @@ def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def _wide_spans(contexts: DataFrame, length: int, gram: int, stored) -> DataFrame:
     """Spans of the occurrences in large buckets, by counting runs of windows and then the windows of unclear runs."""
+    before = set(scratch_tables(contexts.sparkSession))
     runs = stored(contexts.mapInArrow(_runs(length, gram), "doc_id long, text_key long, position long, key long, side byte, n long, "
                                       "low short, high short, shared long, one long, two long"), "runs")
     twice = runs.where("one is not null").groupBy("one", "two").agg(F.sum("n").alias("m")).where("m > 1").select(
@@ -495,7 +496,9 @@ def _wide_spans(contexts: DataFrame, length: int, gram: int, stored) -> DataFram
     again = grams.groupBy("one", "two").agg(F.sum("n").alias("m")).where("m > 1").select("one", "two")
     single = grams.where("n = 1").join(again, ["one", "two"]).select(
         "doc_id", "text_key", "start", (F.col("start") + length).alias("stop"), F.xxhash64("one", "two").alias("repeat"))
-    return covered.unionByName(single)
+    out = stored(covered.unionByName(single), "wide-spans")  # releases what the counting shuffled
+    drop_scratch(contexts.sparkSession, [t for t in scratch_tables(contexts.sparkSession) if t not in before and "cxpulse-wide-spans-" not in t])
+    return out
 
 
 _RUNS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
