@@ -11,9 +11,12 @@ aggregation of the documents gives.
 Rates are rounded into copies: everybody gets the whole part, and documents in
 hash order get one copy more until the source's remainder is used up.  The
 cut in that order is found by two histograms of the hash (1024 bins each, so
-no window ever sees more than that, or about a millionth of a source), and
-what is left below the cutting document's size is filled greedily from a
-bounded list of candidates, long documents first.
+no window ever sees more than that, or about a millionth of a source).  What is
+then left of the remainder is below the cutting document's size, which can be
+nearly all of it.  So the cut is repeated over all documents not taken that
+still fit, until what is left is below ``FEW`` words; there at most as many
+different sizes can fit, and one fold over the counts of all documents by size
+takes the rest, long documents first.  No document not taken fits in the end.
 
 Everything is DataFrame operations: no Python runs on the executors.
 """
@@ -28,7 +31,7 @@ from .common import checkpointed, fresh, text_of, word_count
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_RATE = 3
 NEWTON_STEPS = 128  # steps of at most one below the root, quadratic near it: enough for rates down to exp(-100)
-FILL = 64  # candidates of each size class for the last few words
+FEW = 1024  # words below which the sizes that still fit are counted one by one
 SEED = 42
 
 
@@ -76,6 +79,56 @@ def _with_source(rows: DataFrame, table: DataFrame, how: str = "left") -> DataFr
     return rows.join(t, F.col("source").eqNullSafe(F.col("__source")), how).drop("__source")
 
 
+def _hash_prefix(units: DataFrame) -> DataFrame:
+    """``units`` (doc_id, source, priority, size, mass, want: one value a source) with ``taken``: those up to the first one
+    in hash order with which the source's masses pass ``want``."""
+    keyed = units.withColumn("bin1", F.shiftrightunsigned("priority", 54)).withColumn(
+        "bin2", F.shiftrightunsigned("priority", 44).bitwiseAND(F.lit(1023)))
+    cut1 = _cut(keyed.groupBy("source", "bin1").agg(F.sum("mass").alias("mass"), F.first("want").alias("want")),
+                "bin1", "want")
+    cut1 = checkpointed(cut1.select("source", F.col("bin1").alias("cut1"), F.col("rest").alias("rest1")))
+    near = _with_source(keyed, cut1)
+    edge1 = near.where("bin1 = cut1")
+    cut2 = _cut(edge1.groupBy("source", "bin2").agg(F.sum("mass").alias("mass"), F.first("rest1").alias("rest1")),
+                "bin2", "rest1")
+    cut2 = checkpointed(cut2.select("source", F.col("bin2").alias("cut2"), F.col("rest").alias("rest2")))
+    near = _with_source(near, cut2)
+    # inside the two cutting bins: whole units while they fit
+    edge = near.where("bin1 = cut1 and bin2 = cut2")
+    w = Window.partitionBy("source").orderBy("priority", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    edge = edge.withColumn("taken", F.sum("mass").over(w) <= F.col("rest2"))
+    # with no cutting bin the whole source is wanted once more
+    sure = near.withColumn("taken", F.when(F.col("cut1").isNull(), True).otherwise(
+        (F.col("bin1") < F.col("cut1")) | ((F.col("bin1") == F.col("cut1")) & (F.col("bin2") < F.col("cut2")))))
+    outside = F.coalesce((F.col("bin1") != F.col("cut1")) | (F.col("bin2") != F.col("cut2")), F.lit(True))
+    cols = ["doc_id", "source", "priority", "size", "mass", "taken"]
+    return sure.where(outside).select(cols).unionByName(edge.select(cols))
+
+
+def _largest_first(units: DataFrame) -> DataFrame:
+    """Those of ``units`` (as above, masses from 1 to a ``want`` below ``FEW``) that fill ``want`` taken by falling mass.
+
+    The masses of a source are at most ``FEW`` different ones, each with its count; equal masses go by hash order.
+    """
+    counts = units.groupBy("source", "mass").agg(F.count("*").alias("n"), F.first("want").alias("want"))
+    lists = counts.groupBy("source").agg(F.first("want").alias("want"), F.reverse(F.sort_array(F.collect_list(
+        F.struct("mass", "n")))).alias("list"))
+    none = F.array().cast("array<struct<fits:bigint,n:bigint>>")
+    fold = F.aggregate(
+        "list", F.struct(F.col("want").alias("want"), none.alias("picked")),
+        lambda acc, x: F.when(x["mass"] <= acc["want"], F.struct(
+            (acc["want"] - x["mass"] * F.least(x["n"], F.floor(acc["want"] / x["mass"]))).alias("want"),
+            F.concat(acc["picked"], F.array(F.struct(
+                x["mass"].alias("fits"), F.least(x["n"], F.floor(acc["want"] / x["mass"])).alias("n")))).alias("picked"),
+        )).otherwise(acc))
+    quota = lists.select("source", F.inline(fold["picked"]))
+    t = quota.withColumnRenamed("source", "__source")
+    nth = F.row_number().over(Window.partitionBy("source", "mass").orderBy("priority", "doc_id", "size"))
+    short = units.withColumn("nth", nth).where(F.col("nth") < FEW)  # no mass fits as often as that
+    return short.join(t, F.col("source").eqNullSafe(F.col("__source")) & (F.col("mass") == F.col("fits"))
+                      & (F.col("nth") <= F.col("n")))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights=WEIGHTS, max_rate: int = MAX_RATE, seed: int = SEED) -> DataFrame:
     """One row per distinct (id, text, source): doc_id, source, priority, size, repeats, source_size, target, copies.
@@ -98,51 +151,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         "extra", F.greatest(F.floor(F.col("target") - F.col("whole") * F.col("source_size") + 0.5), F.lit(0)).cast("long"))
     plan = checkpointed(plan.select("source", "source_size", "target", "whole", "extra"))
 
-    bin1 = F.shiftrightunsigned("priority", 54)
-    bin2 = F.shiftrightunsigned("priority", 44).bitwiseAND(F.lit(1023))
-    want = plan.where("extra > 0").select("source", "extra")
-    keyed = _with_source(units.select("doc_id", "source", "priority", "size", "repeats", mass.alias("mass"),
-                                      bin1.alias("bin1"), bin2.alias("bin2")), want, "inner")
-    cut1 = _cut(keyed.groupBy("source", "bin1").agg(F.sum("mass").alias("mass"), F.first("extra").alias("extra")),
-                "bin1", "extra")
-    cut1 = checkpointed(cut1.select("source", F.col("bin1").alias("cut1"), F.col("rest").alias("rest1")))
-    near = _with_source(keyed, cut1)
-    edge1 = near.where("bin1 = cut1")
-    cut2 = _cut(edge1.groupBy("source", "bin2").agg(F.sum("mass").alias("mass"), F.first("rest1").alias("rest1")),
-                "bin2", "rest1")
-    cut2 = checkpointed(cut2.select("source", F.col("bin2").alias("cut2"), F.col("rest").alias("rest2")))
-    near = _with_source(near, cut2)
-    # inside the two cutting bins: whole units while they fit
-    edge = near.where("bin1 = cut1 and bin2 = cut2")
-    w = Window.partitionBy("source").orderBy("priority", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    edge = edge.withColumn("taken", F.sum("mass").over(w) <= F.col("rest2"))
-    # with no cutting bin the whole source is wanted once more
-    sure = near.withColumn("taken", F.when(F.col("cut1").isNull(), True).otherwise(
-        (F.col("bin1") < F.col("cut1")) | ((F.col("bin1") == F.col("cut1")) & (F.col("bin2") < F.col("cut2")))))
-    outside = F.coalesce((F.col("bin1") != F.col("cut1")) | (F.col("bin2") != F.col("cut2")), F.lit(True))
-    cols = ["doc_id", "source", "priority", "size", "mass", "taken"]
-    chosen = checkpointed(sure.where(outside).select(cols).unionByName(edge.select(cols)))
-
-    # the last words of each source, from a bounded list of candidates
-    gap = _with_source(want, chosen.groupBy("source").agg(
-        F.sum(F.when(F.col("taken"), F.col("mass")).otherwise(0)).alias("got")))
-    gap = gap.select("source", (F.col("extra") - F.coalesce("got", F.lit(0))).alias("gap")).where("gap > 0")
-    left = _with_source(chosen.where(~F.col("taken") & (F.col("mass") > 0)), gap, "inner").where("mass <= gap")
-    left = left.withColumn("class", F.floor(F.log2(F.col("mass").cast("double"))).cast("int"))
-    nth = F.row_number().over(Window.partitionBy("source", "class").orderBy("priority", "doc_id", "size"))
-    short = left.withColumn("nth", nth).where(F.col("nth") <= FILL)
-    lists = short.groupBy("source").agg(F.first("gap").alias("gap"), F.sort_array(F.collect_list(F.struct(
-        (-F.col("class")).alias("order"), "nth", "mass", "doc_id", "priority", "size"))).alias("list"))
-    empty = F.array().cast("array<struct<doc_id:bigint,priority:bigint,size:bigint>>")
-    filled = F.aggregate(
-        "list", F.struct(F.col("gap").alias("gap"), empty.alias("picked")),
-        lambda acc, x: F.when(x["mass"] <= acc["gap"], F.struct(
-            (acc["gap"] - x["mass"]).alias("gap"),
-            F.concat(acc["picked"], F.array(F.struct(x["doc_id"].alias("doc_id"), x["priority"].alias("priority"),
-                                                     x["size"].alias("size")))).alias("picked"))).otherwise(acc))
-    picked = lists.select("source", F.inline(filled["picked"])).withColumn("picked", F.lit(True))
-    more = chosen.where("taken").select("doc_id", "source", "priority", "size").unionByName(
-        picked.select("doc_id", "source", "priority", "size")).withColumn("more", F.lit(1))
+    cols = ["doc_id", "source", "priority", "size"]
+    want = checkpointed(plan.where("extra > 0").select("source", F.col("extra").alias("want")))
+    left = _with_source(units.select(*cols, mass.alias("mass")), want, "inner")
+    more = units.select(cols).limit(0)
+    few = 0
+    while few is not None:  # each round takes the first document left of every source, or all that are left
+        dealt = checkpointed(_hash_prefix(left))
+        more = more.unionByName(dealt.where("taken").select(cols))
+        want = checkpointed(_with_source(want, dealt.groupBy("source").agg(
+            F.sum(F.when(F.col("taken"), F.col("mass")).otherwise(0)).alias("got"))).select(
+            "source", (F.col("want") - F.coalesce("got", F.lit(0))).alias("want")).where("want > 0"))
+        left = _with_source(dealt.where("not taken and mass > 0").select(*cols, "mass"), want, "inner").where("mass <= want")
+        few = left.agg(F.max("want")).first()[0]
+        if few is not None and few < FEW:
+            more = more.unionByName(_largest_first(left).select(cols))
+            break
+    more = more.withColumn("more", F.lit(1))
     same = [F.col(f"u.{c}").eqNullSafe(F.col(f"m.{c}")) for c in ("doc_id", "source", "priority", "size")]
     out = units.alias("u").join(more.alias("m"), same[0] & same[1] & same[2] & same[3], "left").select(
         "u.*", F.coalesce("more", F.lit(0)).alias("more"))

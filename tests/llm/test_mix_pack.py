@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from helpers import docs, frame, no_docs, rows, rows_of  # noqa: F401
+from helpers import by, docs, frame, no_docs, rows, rows_of  # noqa: F401
 from pyspark.sql import functions as F
 
 from cxpulse.llm import mixing, packing
@@ -95,6 +95,33 @@ def test_mix_on_the_odd_corpus(spark, rows, docs, no_docs):
     assert mixing.mixed_sizes(docs.where("text is null")).count() == 2
 
 
+def whole_mix(spark, rows):
+    """words missed by source, after checking that no document not taken fits into them"""
+    got = mixing.mix(frame(spark, rows)).collect()
+    missed = {}
+    for source, units in by(got, lambda r: r.source).items():
+        size, target = units[0].source_size, units[0].target
+        whole = math.floor(target / size + 1e-9) if size else 0
+        gap = max(0, math.floor(target - whole * size + 0.5)) - sum((r.copies - whole) * r.size * r.repeats for r in units)
+        assert gap >= 0 and not any(0 < r.size * r.repeats <= gap for r in units if r.copies == whole)
+        missed[source] = gap
+    return missed
+
+
+def test_mix_fills_what_a_long_document_leaves(spark):
+    # source b at rate 0.5: wherever the long text's hash lies, it is the one that no longer fits
+    rows = [(i, "a " * 1000, "en", "a", 0) for i in range(60)] + [(100, "b " * 40_000, "en", "b", 0)]
+    rows += [(1000 + i, "b " * 10, "en", "b", 0) for i in range(4000)]
+    assert whole_mix(spark, rows)["b"] < 10
+
+
+def test_mix_repeats_the_cut_over_what_fits(spark):
+    rng = random.Random(3)
+    rows = [(i, "w " * int(1.6 ** rng.uniform(4, 22)), "en", "abc"[i % 3], 0) for i in range(700)]
+    rows += [(1000 + i, "w " * 3, "en", None, 0) for i in range(40)] * 2
+    whole_mix(spark, rows)
+
+
 # ---------------------------------------------------------------- packing
 @pytest.fixture(scope="module")
 def tokenizer():
