@@ -35,11 +35,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import drop_scratch, materialize_table, scratch_tables
@@ -226,25 +226,14 @@ def bucket_repeats(rows: list[tuple[bytes, bytes]], length: int) -> list[tuple[i
 _SPAN = "doc_id long, text_key long, start long, stop long, repeat long"
 
 
-def _resolve(length: int, groups: bool = False):
-    """Rows sorted by bucket and suffix -> spans of the occurrences whose context does not occur again.
-
-    With ``groups``: every maximal repeat with all its members instead, named by the digest of its bytes.
-    """
+def _resolve(length: int):
+    """Rows sorted by bucket and suffix -> spans of the occurrences whose context does not occur again."""
     names = ("key", "left", "right", "doc_id", "text_key", "position", "n")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[tuple] = []  # rows of the bucket that the next batch may go on with
 
         def spans(group: list[tuple]) -> list[tuple]:
-            if groups:
-                found = []
-                for before, after, members in bucket_repeats([r[1:3] for r in group], length):
-                    _, left, right, *_ = group[members[0]]
-                    name = hashlib.blake2b(left[:before][::-1] + right[:after], digest_size=8).digest()
-                    number = int.from_bytes(name, "little", signed=True)
-                    found += [(r[3], r[4], r[5] - before, r[5] + after, number) for r in (group[m] for m in members)]
-                return found
             # all repeats of an occurrence hold its anchor: together they cover from the first to the last byte of any
             reach: dict[int, list[int]] = {}
             for before, after, members in bucket_repeats([r[1:3] for r in group], length):
@@ -455,18 +444,129 @@ def repeat_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket
     return whole.unionByName(near).unionByName(_wide_spans(contexts.where("wide"), length, gram, stored))
 
 
+def maximal_repeats(rows: list[tuple[bytes, bytes]], length: int, gram: int, low: int, reach: int):
+    """Maximal repeats whose first anchor is that of ``rows``, and lists of members that need a longer reach.
+
+    ``rows``: (up to length - gram + 1 bytes before, reversed; up to ``reach`` bytes from the anchor on), sorted by the
+    latter.  Repeats of ``low`` to ``reach`` - 1 bytes after the anchor are given as (bytes before, bytes after,
+    members).  One that starts more than length - gram bytes before has an earlier anchor and is met there.
+    """
+    out, longer, margin = [], [], length - gram + 1
+    for lo, hi, after in intervals([common(a[1], b[1]) for a, b in zip(rows, rows[1:])]):
+        if after < low or after + margin <= length:
+            continue
+        members = sorted(range(lo, hi + 1), key=lambda i: rows[i][0])
+        if common(rows[members[0]][0], rows[members[-1]][0]) >= margin:
+            continue
+        if after >= reach:
+            longer.append(members)
+            continue
+        for first, last, before in intervals([common(rows[a][0], rows[b][0]) for a, b in zip(members, members[1:])]):
+            if before >= margin or before + after < length:
+                continue
+            found = members[first:last + 1]
+            # what goes on alike to the right is met in a deeper interval
+            if common(rows[min(found)][1], rows[max(found)][1]) == after:
+                out.append((before, after, found))
+    return out, longer
+
+
+def _group_bytes(margin: int, reach: int):
+    """(doc_id, text_key, text, anchors) -> a row per anchor with the bytes before (reversed) and after it."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, row, num, cols = _each(batch)
+            at = list(zip(row.tolist(), num["position"].tolist()))
+            for first in range(0, len(at), 500):
+                some = at[first:first + 500]
+                yield pa.RecordBatch.from_arrays(
+                    [*(cols[c].slice(first, 500) for c in ("key", "doc_id", "text_key")),
+                     pa.array([p for _, p in some], pa.int64()),
+                     pa.array([texts[i][max(0, p - margin):p][::-1] for i, p in some], pa.binary()),
+                     pa.array([texts[i][p:p + reach] for i, p in some], pa.binary())],
+                    names=["key", "doc_id", "text_key", "position", "left", "right"])
+
+    return work
+
+
+def _group_rows(length: int, gram: int, low: int, reach: int):
+    """Rows sorted by bucket and suffix -> occurrences (repeat, doc_id, text_key, start, stop) of maximal repeats, and
+    (key, doc_id, text_key, position) of anchors to be looked at again with a longer reach."""
+    names = ("key", "left", "right", "doc_id", "text_key", "position")
+    fields = ("repeat", "key", "doc_id", "text_key", "start", "stop")
+
+    def number(x: bytes) -> int:
+        return int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[tuple] = []  # rows of the bucket that the next batch may go on with
+
+        def resolved(group: list[tuple]) -> Iterator[pa.RecordBatch]:
+            repeats, longer = maximal_repeats([r[1:3] for r in group], length, gram, low, reach)
+            for before, after, members in repeats:
+                _, left, right, *_ = group[members[0]]
+                name = number(left[:before][::-1] + right[:after])
+                yield batch_of([(name, None, r[3], r[4], r[5] - before, r[5] + after) for r in (group[m] for m in members)])
+            for members in longer:
+                key = number(group[members[0]][2])
+                yield batch_of([(None, key, r[3], r[4], r[5], r[5]) for r in (group[m] for m in members)])
+
+        def batch_of(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(6)], names=list(fields))
+
+        for batch in batches:
+            rows = rest + list(zip(*(batch.column(n).to_pylist() for n in names)))
+            keys = np.array([r[0] for r in rows], np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist()]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi - lo > 1:
+                    yield from resolved(rows[lo:hi])
+            rest = rows[cuts[-1]:]
+        if len(rest) > 1:
+            yield from resolved(rest)
+
+    return work
+
+
 def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
                   gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
-    """(repeat, length, doc_id, start): the maximal repeats met around anchors, each with all its occurrences there.
-
-    Rows of one ``repeat`` (64-bit digest of the bytes) are equal strings.  Contexts that occur again as a whole are
-    one repeat; in buckets of up to ``bucket`` contexts come the prefix tree's intervals, one occurrence standing for
-    those with its whole context; larger buckets have only their covered bytes counted (`repeat_spans`).
+    """(repeat, length, doc_id, start): all maximal repeats of ``length`` bytes or more, each with all its occurrences.
+
+    A maximal repeat is a string that starts twice anywhere and that neither a byte more before nor one more after all
+    its occurrences has in common.  Rows of one ``repeat`` (64-bit digest of the bytes) are equal strings; whole rows
+    that repeat repeat each other and are listed as often.  Every repeat is met at its first anchor, at most ``length``
+    - ``gram`` bytes after its start, so only the bytes after the anchor have to be read on, four times as far in every
+    round, and only for anchors whose repeats are longer.  The result does not depend on ``bucket``.  One task resolves
+    all anchors of one gram.
     """
-    whole, contexts, _ = _occurrences(_keyed(docs, id_col, text_col), length, gram, bucket)
-    near = contexts.where("not wide").repartition("key").sortWithinPartitions("key", "right").mapInArrow(_resolve(length, True), _SPAN)
-    both = whole.unionByName(near)
-    return both.select("repeat", (F.col("stop") - F.col("start")).alias("length"), "doc_id", "start").distinct()
+    spark, margin = docs.sparkSession, length - gram + 1
+    keyed = _keyed(docs, id_col, text_col)
+    copy = F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy("doc_id"))
+    rows = keyed.select("doc_id", F.xxhash64("text_key", copy).alias("text_key"), "text")  # copies told apart
+    before = set(scratch_tables(spark))
+    found = materialize_table(rows.mapInArrow(
+        _anchor_batches(length, gram),
+        "doc_id long, text_key long, position int, gram long, context long, before short, after short"), "anchors")
+    again = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    todo = found.join(again, "gram").select("doc_id", "text_key", F.col("position").cast("long").alias("position"),
+                                            F.col("gram").alias("key"))
+    parts, low, reach = [], 0, length
+    while parts == [] or not todo.isEmpty():
+        wanted = todo.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("position", "key")).alias("found"))
+        texts = rows.alias("t").join(wanted.alias("w"), _same("t", "w")).select("t.doc_id", "t.text_key", "t.text", "w.found")
+        near = texts.mapInArrow(_group_bytes(margin, reach), "key long, doc_id long, text_key long, position long, left binary, "
+                                "right binary").repartition("key").sortWithinPartitions("key", "right")
+        part = materialize_table(near.mapInArrow(
+            _group_rows(length, gram, low, reach),
+            "repeat long, key long, doc_id long, text_key long, start long, stop long"), "groups")
+        parts.append(part.where("repeat is not null"))
+        todo = part.where("repeat is null").select("doc_id", "text_key", F.col("start").alias("position"), "key").distinct()
+        low, reach = reach, 4 * reach
+    every = reduce(DataFrame.unionByName, parts).select(
+        "repeat", (F.col("stop") - F.col("start")).alias("length"), "doc_id", "text_key", "start").distinct()
+    out = materialize_table(every.drop("text_key"), "repeat-groups")
+    drop_scratch(spark, [t for t in scratch_tables(spark) if t not in before and "cxpulse-repeat-groups-" not in t])
+    return out
 
 
 def _wide_spans(contexts: DataFrame, length: int, gram: int, stored) -> DataFrame:

@@ -198,3 +198,48 @@ def test_repeat_groups_are_equal_strings(spark):
     for found in groups.values():
         strings = {texts[i].encode()[a:a + n] for i, a, n in found}
         assert len(strings) == 1 and len(found) > 1 and len(strings.pop()) >= suffix.LENGTH
+
+
+def plain_groups(texts, length):
+    """(length, occurrences) of all maximal repeats: every common-prefix interval of all sorted suffixes that differs before"""
+    places = sorted(((i, a) for i, t in enumerate(texts) for a in range(len(t) - length + 1)), key=lambda x: texts[x[0]][x[1]:])
+    prefix = [suffix.common(texts[i][a:], texts[j][b:]) for (i, a), (j, b) in zip(places, places[1:])]
+    out = {}
+    for k, n in enumerate(prefix):
+        if n < length or k and prefix[k - 1] == n:
+            continue
+        lo, hi = k, k + 1
+        while lo and prefix[lo - 1] >= n:
+            lo -= 1
+        while hi < len(prefix) and prefix[hi] >= n:
+            hi += 1
+        before = [texts[i][a - 1] if a else None for i, a in places[lo:hi + 1]]
+        if None in before or len(set(before)) > 1:
+            out[(n, tuple(sorted(places[lo:hi + 1])))] = 1
+    return Counter(out)
+
+
+def found_groups(spark, texts):
+    groups = {}
+    for r in suffix.repeat_groups(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])).collect():
+        groups.setdefault((r.repeat, r.length), []).append((r.doc_id, r.start))
+    return Counter((n, tuple(sorted(places))) for (_, n), places in groups.items())
+
+
+@pytest.mark.parametrize("seed", [1, 3])
+def test_repeat_groups_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    letters = lambda k: "".join(rng.choices("abcdefgh ", k=k))
+    passage, long = letters(250), letters(5000)
+    texts = [letters(80) + passage + letters(80) for _ in range(40)]  # more than a bucket of different surroundings
+    texts += [letters(30) + long + letters(50), long, letters(60) + long[:3000] + passage, long[2000:] + letters(9)]
+    texts += [t for t in random_texts(seed) if len(set(t)) > 3] + ["z" * 260, "xyz" * 90, texts[0], ""]
+    got, want = found_groups(spark, texts), plain_groups([t.encode() for t in texts], suffix.LENGTH)
+    assert got == want and (5000, ((40, 30), (41, 0))) in got and any(n == 250 and len(p) == 42 for n, p in got)
+
+
+def test_repeat_groups_of_repeated_rows(spark):
+    text = "".join(random.Random(2).choices("abcdefgh ", k=700))
+    rows = [(7, text, "en", "s", 0)] * 2 + [(None, "q" + text[:300], "en", "s", 0), (8, None, "en", "s", 0)]
+    got = suffix.repeat_groups(frame(spark, rows)).collect()
+    assert Counter((r.length, r.doc_id, r.start) for r in got) == {(700, 7, 0): 2, (300, 7, 0): 2, (300, None, 1): 1}
