@@ -316,17 +316,28 @@ def q_prepared_json(spark, sf_dir):
     return _list_texts(spark, sf_dir, "json").select("conversation_id", "n_messages", "clean")
 
 
-def q_parse_json_broken(spark, sf_dir):
+def _broken_lists(turns):
     """Turns inside malformed lists, every second one with a second list after the first: nothing may be lost."""
-    text = F.col("text")
-    turns = table(spark, sf_dir, "conversations").where((text != "") & ~text.rlike(r"""[\[\]"'\\\x00-\x1f]"""))
-    one = F.to_json(F.array("text"))
+    text = F.coalesce("text", F.lit(""))
+    one = F.to_json(F.array(text))
     raw = F.when(F.col("turn") % 2 == 0, F.concat(one, F.lit(", "), one)).otherwise(
         F.concat(F.lit("['"), text, F.lit("' x 'b']")))
     msgs = turns.select("conv_id", "turn", parse_list_json(raw).alias("msgs"))
     return msgs.select("conv_id", "turn", F.size("msgs").alias("n_messages"), F.array_join("msgs", " | ").alias("joined"))
 
 
+def q_parse_json_broken(spark, sf_dir):
+    """The malformed lists of the plain turns alone, those whose result SQL can express; `parse_json_broken_all` has all."""
+    text = F.col("text")
+    return _broken_lists(table(spark, sf_dir, "conversations").where(
+        (text != "") & ~text.rlike(r"""[\[\]"'\\\x00-\x1f]""")))
+
+
+def q_parse_json_broken_all(spark, sf_dir):
+    """The malformed lists of all turns: empty ones and those with brackets, quotes, backslashes or control characters too."""
+    return _broken_lists(table(spark, sf_dir, "conversations"))
+
+
 def q_turn_scores(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
     s = with_sentiment(prepare(turns, date_col=None, verbatim_col="text", conversation_id_col="id", parser="text"))
@@ -386,6 +397,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "prepared_split": q_prepared_split,
     "prepared_json": q_prepared_json,
     "parse_json_broken": q_parse_json_broken,
+    "parse_json_broken_all": q_parse_json_broken_all,
     "turn_scores": q_turn_scores,
     "document_vocabulary": q_document_vocabulary,
     "document_term_counts": q_document_term_counts,

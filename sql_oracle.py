@@ -298,6 +298,17 @@ SELECT conv_id, turn, 1::INTEGER AS n_messages,
             ELSE text || chr(39) || ' x ' || chr(39) || 'b' END AS joined
 FROM conversations WHERE text <> '' AND NOT regexp_matches(text, '[\[\]"''\\\x00-\x1f]')"""
 
+# no such text is one list: its brackets go and it is cut at quote-comma-quote
+JSON_BROKEN_ALL = rf"""
+SELECT conv_id, turn, CAST(len(m) AS INTEGER) AS n_messages, array_to_string(m, ' | ') AS joined FROM (
+  SELECT conv_id, turn, list_filter(list_transform(
+           string_split_regex(substr(raw, 2, length(raw) - 2), '[''"],[ \t\n\x0B\f\r]*[''"]'),
+           lambda s: trim({strip_ws('s')}, '''"')), lambda s: length(s) > 0) AS m
+  FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN one || ', ' || one
+                                   ELSE '[''' || t || ''' x ''b'']' END AS raw
+        FROM (SELECT conv_id, turn, coalesce(text, '') AS t, CAST(to_json([coalesce(text, '')]) AS VARCHAR) AS one
+              FROM conversations)))"""
+
 TURN_SCORES = f"""
 SELECT id, {score_sql('clean')} AS neg_score, {score_sql('clean')} > {NEGATIVE_THRESHOLD} AS is_negative
 FROM (SELECT concat_ws('-', conv_id, turn) AS id, {clean_sql('text')} AS clean FROM conversations) WHERE length(clean) > 2"""
@@ -389,6 +400,7 @@ def oracle_sql() -> dict[str, str]:
         "document_term_counts": DOC_TERMS,
         "turn_scores": TURN_SCORES,
         "parse_json_broken": JSON_BROKEN,
+        "parse_json_broken_all": JSON_BROKEN_ALL,
         "prepared_split": with_([("turns", TURN_LISTS), ("parsed", PARSE_SPLIT)],
                                 f"SELECT * FROM (SELECT conversation_id, n_messages, {clean_sql('verbatim')} AS clean FROM parsed) "
                                 "WHERE length(clean) > 2"),

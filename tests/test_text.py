@@ -1,5 +1,8 @@
 """Cleaning, scoring and parsing expressions on hand-checked cases."""
 
+import json
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -213,3 +216,19 @@ def test_long_texts_take_linear_time(spark):
         began = time.time()
         assert plan.first().n == n
         assert time.time() - began < 4
+
+
+def test_broken_lists_of_all_turns(spark, tmp_path):
+    from cxpulse.plans.catalog import QUERIES
+
+    texts = ["plain", "", None, "it's", 'say "x"', "a\nb\tc", "back\\slash", "[x], ['y', 'z']", "', '", '", "', "\x01", "ends\\", "]['"]
+    rows = [(i, t, x) for i, x in enumerate(texts) for t in (0, 1)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want = set()
+    for i, turn, x in rows:  # no such text is one list: its brackets go, it is cut at quote-comma-quote
+        one = json.dumps([x or ""], ensure_ascii=False)
+        raw = f"{one}, {one}" if turn == 0 else f"['{x or ''}' x 'b']"
+        parts = [y for p in re.split(r"""['"],[ \t\n]*['"]""", raw[1:-1]) if (y := p.strip(" \t\n").strip("'\""))]
+        want.add((i, turn, len(parts), " | ".join(parts)))
+    got = {tuple(r) for r in QUERIES["parse_json_broken_all"](spark, str(tmp_path)).collect()}
+    assert got == want and len(got) == 2 * len(texts)
