@@ -15,6 +15,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,14 +39,14 @@ NAME_WORDS = {"password": 5, "passwd": 5, "passphrase": 5, "pwd": 4, "pass": 3,
               "url": -2, "path": -4, "file": -3, "dir": -4, "type": -4, "expiry": -4, "ttl": -4, "field": -3, "label": -4}
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|changeme|todo|none|null|true|false|undefined|your[-_ ].*|<.*>|\$\{.*\}|%.*%|\{\{.*\}\})$")
 THRESHOLD = 5.0
-MIN_LITERAL, MAX_LITERAL = 8, 4096  # a longer literal is data, not a secret
-MAX_PARTS = 16
-
-_PAIR = re.compile(r"""(?<![\w$.-])(["']?)([A-Za-z_$][\w$.-]{0,127})\1[ \t]{0,16}(?::=|=>|[:=])(?![=:])[ \t]{0,16}""")
-_STRING = re.compile(r""""((?:[^"\\\n]|\\.){0,4096}?)"|'((?:[^'\\\n]|\\.){0,4096}?)'|`([^`\n]{0,4096}?)`""")
-_REFERENCE = re.compile(r"[A-Za-z_$][\w$.]{0,127}(?![\w$.=+/-])")
-_BARE = re.compile(r"[^\s\"'`,;(){}\[\]<>]{1,4097}")
-_PLUS = re.compile(r"[ \t]{0,16}\+[ \t]{0,16}")
+MIN_LITERAL = 8
+
+# possessive throughout: every literal, blank and name of any length is read once
+_PAIR = re.compile(r"""(?<![\w$.-])(["']?)([A-Za-z_$][\w$.-]*+)\1[ \t]*+(?::=|=>|[:=])(?![=:])[ \t]*+""")
+_STRING = re.compile(r""""([^"\\\n]*+(?:\\.[^"\\\n]*+)*+)"|'([^'\\\n]*+(?:\\.[^'\\\n]*+)*+)'|`([^`\n]*+)`""")
+_REFERENCE = re.compile(r"[A-Za-z_$][\w$.]*+(?![=+/-])")
+_BARE = re.compile(r"[^\s\"'`,;(){}\[\]<>]++")
+_PLUS = re.compile(r"[ \t]*+\+[ \t]*+")
 _NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
@@ -70,57 +71,121 @@ def name_score(name: str) -> float:
 
 def literal_score(value: str) -> float:
     """How random a literal looks: entropy per character, character classes, length; prose and placeholders score low."""
-    n = len(value)
-    if not MIN_LITERAL <= n <= MAX_LITERAL or PLACEHOLDER.match(value):
+    return -10.0 if PLACEHOLDER.match(value) else randomness(Counter(value))
+
+
+def randomness(chars: Counter) -> float:
+    n = sum(chars.values())
+    if n < MIN_LITERAL:
         return -10.0
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    classes = sum(any(t(c) for c in value) for t in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in value)
-    return entropy - 2.0 + 0.5 * classes + (0.5 if n >= 16 else 0.0) - 2.0 * (value.count(" ") > 1) - 1.5 * value.isalpha()
-
-
-def _expression(text: str, at: int, names: dict) -> tuple[str, list[tuple[int, int]], bool] | None:
-    """The value at ``at``: its text, the spans of its literals, whether a constant was propagated."""
-    value, spans, constant = "", [], False
-    for part in range(MAX_PARTS):
-        if m := _STRING.match(text, at):
-            k = m.lastindex
-            if k:
-                value += m[k]
-                spans.append(m.span(k))
-        elif (m := _REFERENCE.match(text, at)) and m[0] in names:
-            known = names[m[0]]
-            value, spans, constant = value + known[0], spans + known[1], True
-        elif not part and (m := _BARE.match(text, at)):
-            return (m[0], [m.span()], False) if len(m[0]) <= MAX_LITERAL else None
+    entropy = -sum(c / n * math.log2(c / n) for c in chars.values() if c / n)
+    classes = sum(any(t(c) for c in chars) for t in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in chars)
+    return entropy - 2.0 + 0.5 * classes + (0.5 if n >= 16 else 0.0) - 2.0 * (chars[" "] > 1) - 1.5 * all(c.isalpha() for c in chars)
+
+
+class _Values:
+    """The values read in a text: each a list of parts, which are spans of literals or the numbers of earlier values."""
+
+    def __init__(self, text: str):
+        self.text, self.parts, self.sizes = text, [], []
+        self.run = (0, 0)  # the unquoted run read last: pairs inside it end with it
+        self.rest = (0, 0, Counter())  # characters of what is left of such a run
+
+    def read(self, at: int, names: dict[str, int]) -> tuple[int, bool] | None:
+        """The value at ``at``: its number, whether a constant was propagated."""
+        text, parts, constant = self.text, [], False
+        while True:
+            if m := _STRING.match(text, at):
+                parts.append(m.span(m.lastindex))
+            elif (m := _REFERENCE.match(text, at)) and m[0] in names:
+                parts.append(names[m[0]])
+                constant = True
+            elif not parts and self.run[0] <= at < self.run[1]:
+                parts.append((at, self.run[1]))
+                break
+            elif not parts and (m := _BARE.match(text, at)):
+                self.run = m.span()
+                parts.append(self.run)
+                break
+            else:
+                break
+            plus = _PLUS.match(text, m.end())
+            if not plus:
+                break
+            at = plus.end()
+        if not parts:
+            return None
+        self.parts.append(parts)
+        self.sizes.append(sum(p[1] - p[0] if isinstance(p, tuple) else self.sizes[p] for p in parts))
+        return len(self.parts) - 1, constant
+
+    def spans(self, value: int) -> dict[tuple[int, int], int]:
+        """The literals of a value and how often each is in it; a value's parts have lower numbers than itself."""
+        times, out, heap = {value: 1}, {}, [-value]
+        while heap:
+            k = -heappop(heap)
+            n = times.pop(k)
+            for p in self.parts[k]:
+                if isinstance(p, tuple):
+                    out[p] = out.get(p, 0) + n
+                else:
+                    if p not in times:
+                        heappush(heap, -p)
+                        times[p] = 0
+                    times[p] += n
+        return out
+
+    def score(self, value: int, spans: dict[tuple[int, int], int]) -> float:
+        if self.sizes[value] <= len(self.text):
+            if len(spans) == 1 and (only := next(iter(spans)))[1] == self.run[1] and spans[only] == 1:
+                return self._run_score(*only)
+            todo, out = [value], []
+            while todo:
+                p = todo.pop()
+                if isinstance(p, tuple):
+                    out.append(self.text[p[0]:p[1]])
+                elif self.sizes[p]:
+                    todo += reversed(self.parts[p])
+            return literal_score("".join(out))
+        chars = Counter()  # a constant added to itself until it is longer than the text
+        for (a, b), n in spans.items():
+            for c, k in Counter(self.text[a:b]).items():
+                chars[c] += k * n
+        return randomness(chars)
+
+    def _run_score(self, start: int, stop: int) -> float:
+        if PLACEHOLDER.match(self.text[start:stop]):
+            return -10.0
+        first, last, chars = self.rest
+        if last == stop and first <= start:
+            chars.subtract(self.text[first:start])
+            chars = +chars
         else:
-            break
-        at = m.end()
-        plus = _PLUS.match(text, at)
-        if not plus or len(value) > MAX_LITERAL:
-            break
-        at = plus.end()
-    return (value, spans, constant) if spans else None
+            chars = Counter(self.text[start:stop])
+        self.rest = (start, stop, chars)
+        return randomness(chars)
 
 
 def lexed_spans(text: str) -> list[tuple[str, int, int, str, float]]:
     """(kind, start, end, name, score) of literals that end up in sensitive names, directly or through constants."""
     if "=" not in text and ":" not in text:
         return []
-    names: dict[str, tuple[str, list]] = {}
+    values, names = _Values(text), {}
     found: dict[tuple[int, int], tuple[str, str, float]] = {}
     for m in _PAIR.finditer(text):
-        value = _expression(text, m.end(), names)
-        if value is None:
+        read = values.read(m.end(), names)
+        if read is None:
+            names.pop(m[2], None)  # no longer the constant it was
             continue
-        literal, spans, constant = value
-        if len(literal) <= MAX_LITERAL:
-            names[m[2]] = (literal, spans[:MAX_PARTS])
+        value, constant = read
+        names[m[2]] = value
         sensitive = name_score(m[2])
         if sensitive < 3:
             continue
-        score = sensitive + literal_score(literal)
+        spans = values.spans(value)
+        score = sensitive + values.score(value, spans)
         if score >= THRESHOLD:
-            for span in spans[:MAX_PARTS]:
+            for span in spans:
                 if span[1] > span[0] and (span not in found or found[span][2] < score):
                     found[span] = ("constant" if constant else "literal", m[2], score)
     return [(kind, a, b, name, score) for (a, b), (kind, name, score) in found.items()]

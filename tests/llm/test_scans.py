@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -86,6 +87,28 @@ def test_lexer_leaves_the_rest_alone(text):
     assert [x for x in secrets.scan(text) if x[0] in ("literal", "constant")] == []
 
 
+LONG = "".join(random.Random(5).choices("ABCDEFabcdefghXYZ0189+/", k=6000))
+
+
+@pytest.mark.parametrize("text, found", [
+    (f'private_key = "{LONG}"', [LONG]), (f"signing_key: {LONG}", [LONG]),
+    ("auth = " + " + ".join(f'"Zk{i}!kdLq0"' for i in range(40)), [f"Zk{i}!kdLq0" for i in range(40)]),
+    ("private_key" + " " * 40 + "=" + " " * 40 + '"MIIEvQIBADANBgkqhkiG9w0"', ["MIIEvQIBADANBgkqhkiG9w0"]),
+    ("x" * 300 + '_passphrase = "Zk93!kdLq0PpX"', ["Zk93!kdLq0PpX"]),
+    (f'raw = "Zk93!kdLq0PpX"\nraw = "{LONG}"\nuser_pwd = raw', [LONG]),
+    ('raw = "Zk93!kdLq0PpX"\nraw = (1)\nuser_pwd = raw', []),
+    ('raw = "Zk93!kdL"\n' + "raw = raw + raw\n" * 3000 + "user_pwd = raw", ["Zk93!kdL"])])
+def test_lexer_has_no_caps(text, found):
+    assert [text[a:b] for _, a, b, _, _ in secrets.lexed_spans(text)] == found
+
+
+@pytest.mark.parametrize("text", ["a=" * 50_000, "pwd=" * 20_000, 'x = "' * 20_000, "a " * 50_000 + "=" + " " * 90_000, "-$." * 40_000 + "="])
+def test_lexer_is_linear(text):
+    start = time.process_time()
+    secrets.lexed_spans(text)
+    assert time.process_time() - start < 20
+
+
 def test_added_spans_are_whole_literals_and_base_ones_stay(spark, rows, docs, no_docs):
     long = 'x = "' + "a" * 200_000 + "\n" + 'y = "' * 20_000 + " password = 'abcdefghijkl1'"
     own = [(1, "é token = 'abcdefabcdefabcdef'", "en", "s", 0), (2, None, None, None, None), (3, long, "en", "s", 0)]
