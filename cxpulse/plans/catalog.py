@@ -348,11 +348,16 @@ def q_document_vocabulary(spark, sf_dir):
     return topic_vocabulary(_documents_prepared(spark, sf_dir).select("conversation_id", "clean"))
 
 
-def q_document_term_counts(spark, sf_dir):
-    """Document frequency by source of the content terms that two documents or more of it share."""
+def q_document_all_term_counts(spark, sf_dir):
+    """Document frequency by source of all content terms."""
     docs = table(spark, sf_dir, "documents").select("source", "text").withColumn("clean", clean_text("text"))
     rows = docs.select("source", F.explode(F.array_distinct(words("clean"))).alias("term")).where(is_content_term("term"))
-    return rows.groupBy("source", "term").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
+    return rows.groupBy("source", "term").agg(F.count(F.lit(1)).alias("count"))
+
+
+def q_document_term_counts(spark, sf_dir):
+    """Shared terms: of all counts those of content terms that two documents or more of a source have."""
+    return q_document_all_term_counts(spark, sf_dir).where("count > 1")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -401,4 +406,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "turn_scores": q_turn_scores,
     "document_vocabulary": q_document_vocabulary,
     "document_term_counts": q_document_term_counts,
+    "document_all_term_counts": q_document_all_term_counts,
 }

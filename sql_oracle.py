@@ -398,6 +398,7 @@ def oracle_sql() -> dict[str, str]:
         "topic_emergence": TOPIC_EMERGENCE,
         "document_vocabulary": with_([("docs", DOC_CLEAN.replace("SELECT doc_id,", "SELECT doc_id AS conversation_id,", 1))], vocab_sql("docs")),
         "document_term_counts": DOC_TERMS,
+        "document_all_term_counts": DOC_TERMS.replace("HAVING count(*) > 1", ""),
         "turn_scores": TURN_SCORES,
         "parse_json_broken": JSON_BROKEN,
         "parse_json_broken_all": JSON_BROKEN_ALL,

@@ -232,3 +232,12 @@ def test_broken_lists_of_all_turns(spark, tmp_path):
         want.add((i, turn, len(parts), " | ".join(parts)))
     got = {tuple(r) for r in QUERIES["parse_json_broken_all"](spark, str(tmp_path)).collect()}
     assert got == want and len(got) == 2 * len(texts)
+
+
+def test_terms_of_one_document_are_counted(spark, tmp_path):
+    from cxpulse.plans.catalog import QUERIES
+
+    rows = [("a", "shared alone"), ("a", "shared shared"), ("b", "alone")]
+    spark.createDataFrame(rows, "source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in QUERIES["document_all_term_counts"](spark, str(tmp_path)).collect()}
+    assert got == {("a", "shared", 2), ("a", "alone", 1), ("b", "alone", 1)}
