@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .bpe import encode_documents
 from .common import setup, table
 from .cuckoo import exact_dedup
+from .interaction import AUDIT_SQL, interaction_audit
 from .lattice import near_dedup
 from .licences import licence_lines, licence_sql
 from .linechunks import LINE_SQL, line_dedup
 from .mixing import mixed_sizes
 from .packing import pack
+from .search import SEARCH_SQL, search
 from .secrets import is_base, joined, scan_secrets
 from .simhash import hex64, simhash_classes
 from .suffix import remove_repeats
@@ -72,11 +75,32 @@ def op10_pack_sequences(spark, sf_dir):
     return pack(table(setup(spark), sf_dir, "documents"))
 
 
+def op11_filter_interactions(spark, sf_dir):
+    setup(spark)
+    return interaction_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_ranked_search(spark, sf_dir):
+    setup(spark)
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_bpe_codec(spark, sf_dir):
+    coded = encode_documents(table(setup(spark), sf_dir, "documents"))
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_lattice_near_dedup, op2_toxicity_grammar, op3_exact_dedup, op4_licence_scan, op5_secret_scan,
-    op6_suffix_dedup, op7_line_chunk_dedup, op8_simhash_near_dedup, op9_mix_sources, op10_pack_sequences)}
+    op6_suffix_dedup, op7_line_chunk_dedup, op8_simhash_near_dedup, op9_mix_sources, op10_pack_sequences,
+    op11_filter_interactions, op12_ranked_search, op13_bpe_codec)}
 
 ORACLES: dict[str, str] = {
+    "op11_filter_interactions": AUDIT_SQL,
+    "op12_ranked_search": SEARCH_SQL,
     "op4_licence_scan": licence_sql(),
     "op7_line_chunk_dedup": LINE_SQL,
     "op3_exact_dedup": r"""
