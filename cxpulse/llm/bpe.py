@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 TOKENIZER = "word_bpe_49k"
-MEMO = 200_000  # remembered pre-tokens a worker
+MEMO = 250_000  # pre-tokens in each of the two generations a worker remembers
 MEMO_LENGTH = 32  # longer pre-tokens are not remembered
 NO_MERGE = 1 << 62
 
@@ -45,55 +46,59 @@ def byte_symbols() -> list[str]:
 
 
 class PairTree:
-    """Segment tree over the ranks of the pairs of neighbouring symbols of one pre-token."""
+    """Segment tree over the ranks of the pairs of neighbouring symbols of one pre-token.
 
-    def __init__(self, symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]):
-        self.symbols, self.merges = symbols, merges
+    A node is the smallest of ``rank * leaves + position`` below it, so the root is the leftmost pair of lowest rank.
+    """
+
+    def __init__(self, symbols: list[int], ranks: dict[tuple[int, int], int], products: list[int]):
+        self.symbols, self.rank_of, self.products = symbols, ranks.get, products
         n = len(symbols)
         self.following = list(range(1, n + 1))  # position of the next symbol, n after the last
         self.previous = list(range(-1, n - 1))
-        self.leaves = 1
-        while self.leaves < n:
-            self.leaves *= 2
-        self.node = [NO_MERGE] * (2 * self.leaves)
-        for i in range(n - 1):
-            self.node[self.leaves + i] = self._key(i)
-        for k in range(self.leaves - 1, 0, -1):
-            self.node[k] = min(self.node[2 * k], self.node[2 * k + 1])
-
-    def _key(self, i: int) -> int:
-        """Rank, then position, of the pair at ``i``: smaller is merged earlier."""
-        after = self.following[i]
-        if after >= len(self.symbols):
-            return NO_MERGE
-        found = self.merges.get((self.symbols[i], self.symbols[after]))
-        return NO_MERGE if found is None else found[0] * self.leaves + i
+        leaves = self.leaves = 1 << max(n - 1, 0).bit_length()
+        keys = []
+        for i, pair in enumerate(zip(symbols, symbols[1:])):
+            rank = self.rank_of(pair)
+            keys.append(NO_MERGE if rank is None else rank * leaves + i)
+        node = self.node = [NO_MERGE] * leaves + keys + [NO_MERGE] * (leaves - len(keys))
+        for k in range(leaves - 1, 0, -1):
+            x, y = node[2 * k], node[2 * k + 1]
+            node[k] = x if x < y else y
 
     def _put(self, i: int, key: int) -> None:
+        """Set the leaf of position ``i`` and what changes above it."""
         node, k = self.node, self.leaves + i
         node[k] = key
         while k > 1:
+            beside = node[k ^ 1]
+            if beside < key:
+                key = beside
             k >>= 1
-            low = min(node[2 * k], node[2 * k + 1])
-            if node[k] == low:
+            if node[k] == key:
                 return
-            node[k] = low
+            node[k] = key
+
+    def _pair(self, i: int, j: int) -> None:
+        """The pair at position ``i`` is now its symbol and the one at ``j``."""
+        rank = self.rank_of((self.symbols[i], self.symbols[j])) if j < len(self.symbols) else None
+        self._put(i, NO_MERGE if rank is None else rank * self.leaves + i)
 
     def run(self) -> list[int]:
         """Apply the root's merge until it holds none; the symbols that are left."""
-        symbols, following, previous = self.symbols, self.following, self.previous
+        symbols, following, previous, node, leaves = self.symbols, self.following, self.previous, self.node, self.leaves
         n = len(symbols)
-        while (best := self.node[1]) != NO_MERGE:
-            i = best % self.leaves
+        while (best := node[1]) != NO_MERGE:
+            rank, i = divmod(best, leaves)
             gone = following[i]
-            symbols[i] = self.merges[symbols[i], symbols[gone]][1]
             after = following[i] = following[gone]
+            symbols[i] = self.products[rank]
             if after < n:
                 previous[after] = i
-            self._put(gone, NO_MERGE)
-            self._put(i, self._key(i))
+                self._put(gone, NO_MERGE)
+            self._pair(i, after)
             if (before := previous[i]) >= 0:
-                self._put(before, self._key(before))
+                self._pair(before, i)
         out, i = [], 0
         while i < n:
             out.append(symbols[i])
@@ -114,10 +119,9 @@ class Codec:
         if model["type"] != "BPE" or config["decoder"] or config["post_processor"] or model.get("byte_fallback") \
                 or model.get("dropout") or model.get("continuing_subword_prefix"):
             raise ValueError(f"not a plain BPE file: {path}")
-        self.merges = {}
-        for rank, merge in enumerate(model["merges"]):
-            a, b = merge.split(" ") if isinstance(merge, str) else merge
-            self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.ranks = {(vocab[a], vocab[b]): rank for rank, (a, b) in enumerate(pairs)}
+        self.products = [vocab[a + b] for a, b in pairs]
         self.vocab = vocab
         self.special = {t["content"]: t["id"] for t in config["added_tokens"]}
         self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
@@ -127,6 +131,7 @@ class Codec:
         self.split_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))).split
         self.find_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))).findall
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the memo that filled up before this one
         self._plain()
 
     def _plain(self) -> None:
@@ -148,28 +153,24 @@ class Codec:
 
     def encode_word(self, word: str) -> list[int]:
         """Token ids of one pre-token (byte symbols)."""
-        if not word:
-            return []
-        whole = self.vocab
-        symbols = [whole[c] for c in word[:-1]] + [whole[word[-1] + self.mark]]
-        return PairTree(symbols, self.merges).run()
+        symbols = [self.vocab[c] for c in word[:-1]] + [self.vocab[word[-1] + self.mark]]
+        return PairTree(symbols, self.ranks, self.products).run() if len(symbols) > 1 else symbols
 
     def _remembered(self, word: str, shown: bool) -> bytes:
         key = word if shown else " " + word  # no pre-token holds a blank
-        found = self.memo.get(key)
+        found = self.memo.get(key) or self.older.get(key)
         if found is None:
-            found = np.array(self.encode_word(word if shown else self._bytes(word)), np.int32).tobytes()
-            if len(key) <= MEMO_LENGTH:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[key] = found
+            found = array("i", self.encode_word(word if shown else self._bytes(word))).tobytes()
+        if len(key) <= MEMO_LENGTH:
+            if len(self.memo) >= MEMO:
+                self.memo, self.older = {}, self.memo
+            self.memo[key] = found
         return found
 
     def _segment(self, text: str) -> bytes:
         if self.pre_tokens is None or self.odd(text):
             return b"".join([self._remembered(w, True) for w, _ in self._library(text)])
-        get, slow = self.memo.get, self._remembered
-        return b"".join([get(" " + w) or slow(w, False) for w in self.pre_tokens(text.lower())])
+        return b"".join([self.memo.get(" " + w) or self._remembered(w, False) for w in self.pre_tokens(text.lower())])
 
     def encode(self, text: str) -> np.ndarray:
         """Token ids of a text; the strings of special tokens become those tokens."""

@@ -28,28 +28,24 @@ from pyspark.sql import functions as F
 from .common import WORD, text_of
 
 
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
+def too_short(text: Column, words: Column) -> Column:
+    return F.size(words) < 50
 
 
-def too_short(text: Column) -> Column:
-    return F.size(_words(text)) < 50
+def repetitive(text: Column, words: Column) -> Column:
+    return F.size(F.array_distinct(words)) * F.lit(100).cast("long") < F.size(words) * F.lit(65).cast("long")
 
 
-def repetitive(text: Column) -> Column:
-    return F.size(F.array_distinct(_words(text))) * F.lit(100).cast("long") < F.size(_words(text)) * F.lit(65).cast("long")
-
-
-def shouting(text: Column) -> Column:
+def shouting(text: Column, words: Column) -> Column:
     capitals = F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
     return capitals * F.lit(100).cast("long") > F.length(text) * F.lit(5).cast("long")
 
 
-def symbols(text: Column) -> Column:
+def symbols(text: Column, words: Column) -> Column:
     return text.rlike("[#$%&*|]")
 
 
-#: text filters (true: the document fails), by letter; the duplicate filter comes last
+#: filters of a text and its words (true: the document fails), by letter; the duplicate filter comes last
 FILTERS = {"A": too_short, "B": repetitive, "C": shouting, "D": symbols}
 DUPLICATE = "E"
 COUNTS = ("n", "good", "toxic")
@@ -64,13 +60,14 @@ def failure_sets(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     quality and toxic by doc_id; of several rows for one id the larger values hold.
     """
     filters = FILTERS if filters is None else filters
-    text = text_of(text_col)
+    text, words = F.col("text"), F.col("words")
     mask = F.lit(0)
     for i, fails in enumerate(filters.values()):
-        mask = mask + F.when(fails(text), F.lit(1 << i)).otherwise(F.lit(0))
+        mask = mask + F.when(fails(text, words), F.lit(1 << i)).otherwise(F.lit(0))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
-                       F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"),
-                       mask.alias("mask"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
+                       F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), text_of(text_col).alias("text"))
+    rows = rows.withColumn("words", F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))).select(
+        "doc_id", "part", mask.alias("mask"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic").where(
         "doc_id is not null").groupBy("doc_id").agg(
         F.max((F.col("quality") == 1).cast("long")).alias("good"), F.max((F.col("toxic") == 1).cast("long")).alias("toxic"))

@@ -53,19 +53,22 @@ def test_codec_long_words_are_n_log_n():
 
 def test_pair_tree_is_the_leftmost_lowest_merge():
     rng = random.Random(3)
-    merges = {}
-    for rank in range(30):  # symbols 0..5, merged ones 6..35
-        merges.setdefault((rng.randrange(6 + rank), rng.randrange(6 + rank)), (rank, 6 + rank))
+    merges, products = {}, []
+    for _ in range(30):  # symbols 0..5, merged ones 6..35
+        pair = (rng.randrange(6 + len(products)), rng.randrange(6 + len(products)))
+        if pair not in merges:
+            merges[pair] = len(products)
+            products.append(6 + len(products))
     for _ in range(300):
-        word = [rng.randrange(6) for _ in range(rng.randint(1, 40))]
+        word = [rng.randrange(6) for _ in range(rng.randint(2, 40))]
         want = list(word)
         while True:
-            found = [(merges[p][0], i) for i, p in enumerate(zip(want, want[1:])) if p in merges]
+            found = [(merges[p], i) for i, p in enumerate(zip(want, want[1:])) if p in merges]
             if not found:
                 break
-            _, i = min(found)
-            want[i:i + 2] = [merges[want[i], want[i + 1]][1]]
-        assert PairTree(list(word), merges).run() == want
+            rank, i = min(found)
+            want[i:i + 2] = [products[rank]]
+        assert PairTree(list(word), merges, products).run() == want
 
 
 def test_documents_equal_the_library(docs, rows, no_docs):
