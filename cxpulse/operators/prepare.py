@@ -19,9 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import PARSERS, clean_text
+from ..functions.literal import parse_list_literal
+from ..functions.text import PARSERS as NATIVE_PARSERS
+from ..functions.text import clean_text
 from ..sources.inputs import ensure_dataframe, require_columns
 
+#: list texts -> messages; "literal" reads all of Python's literals in Arrow batches, the others are native expressions
+PARSERS = {**NATIVE_PARSERS, "literal": parse_list_literal}
 CANONICAL = ("date", "conversation_id", "verbatim_list", "verbatim", "n_messages", "clean")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import INSULT_WORDS, Lexicon
+from ..functions.literal import parse_list_literal
 from ..functions.text import clean_text, is_content_term, parse_list_json, parse_list_split, words
 from ..operators.anomaly import bounds_from_daily, daily_sentiment, daily_spikes, event_error_share, rolling_zscore
 from ..operators.examples import term_examples
@@ -304,7 +305,7 @@ def q_report_spike_details(spark, sf_dir):
 # --------------------------------------------------------------------------- other texts
 def _list_texts(spark, sf_dir, form):
     """Conversations whose messages arrive as one list text."""
-    raw = python_list_repr("verbatims") if form == "split" else F.to_json("verbatims")
+    raw = F.to_json("verbatims") if form == "json" else python_list_repr("verbatims")
     return prepare(_turn_lists(spark, sf_dir).select("conversation_id", raw.alias("verbatims")), date_col=None, parser=form)
 
 
@@ -326,18 +327,51 @@ def _broken_lists(turns):
     return msgs.select("conv_id", "turn", F.size("msgs").alias("n_messages"), F.array_join("msgs", " | ").alias("joined"))
 
 
-def q_parse_json_broken(spark, sf_dir):
-    """The malformed lists of the plain turns alone, those whose result SQL can express; `parse_json_broken_all` has all."""
-    text = F.col("text")
-    return _broken_lists(table(spark, sf_dir, "conversations").where(
-        (text != "") & ~text.rlike(r"""[\[\]"'\\\x00-\x1f]""")))
-
-
 def q_parse_json_broken_all(spark, sf_dir):
     """The malformed lists of all turns: empty ones and those with brackets, quotes, backslashes or control characters too."""
     return _broken_lists(table(spark, sf_dir, "conversations"))
 
 
+def q_parse_literal(spark, sf_dir):
+    """Conversations rendered the way Python prints a list of strings, and read back."""
+    raw = _turn_lists(spark, sf_dir).select("conversation_id", python_list_repr("verbatims").alias("raw"))
+    parsed = raw.select("conversation_id", parse_list_literal("raw").alias("msgs"))
+    return parsed.select("conversation_id", F.size("msgs").alias("n_messages"), F.array_join("msgs", ". ").alias("verbatim"))
+
+
+def hard_literals(turns: DataFrame) -> DataFrame:
+    """Every turn's text in a list that only a whole literal reader understands, one of five forms by its number.
+
+    0: beside None, a nested list and a signed number; 1: as two neighbouring strings, beside a tuple; 2: every
+    character as an eight-digit escape; 3: as JSON, beside null; 4: on lines of its own, with a comment and a trailing comma.
+    """
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    one = lambda t: F.regexp_replace(python_list_repr(F.array(t)), r"^\[|\]$", "")
+    escaped = F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.concat(
+        F.lit("\\U"), F.lpad(F.hex(F.ascii(c)), 8, "0"))), "")
+    forms = [F.concat(F.lit("[None, "), one(text), F.lit(", ['x', 1.50], -2]")),
+             F.concat(F.lit("["), one(F.substring(text, F.lit(1), half)), F.lit(" "), one(F.substring(text, half + 1, F.length(text))),
+                      F.lit(", ('p',)]")),
+             F.concat(F.lit("['"), escaped, F.lit("']")),
+             F.to_json(F.array(text, F.lit(None).cast("string"))),
+             F.concat(F.lit("[  # messages\n  "), one(text), F.lit(",\n]"))]
+    raw = forms[-1]
+    for k, form in enumerate(forms[:-1]):
+        raw = F.when(F.col("turn") % len(forms) == k, form).otherwise(raw)
+    return turns.select("conv_id", "turn", raw.alias("raw"))
+
+
+def q_parse_literal_hard(spark, sf_dir):
+    """All turns inside lists with None, nested lists, neighbouring strings, escapes, null and comments: see `hard_literals`."""
+    parsed = hard_literals(table(spark, sf_dir, "conversations")).select("conv_id", "turn", parse_list_literal("raw").alias("msgs"))
+    return parsed.select("conv_id", "turn", F.size("msgs").alias("n_messages"), F.array_join("msgs", " | ").alias("joined"))
+
+
+def q_prepared_literal(spark, sf_dir):
+    return _list_texts(spark, sf_dir, "literal").select("conversation_id", "n_messages", "clean")
+
+
 def q_turn_scores(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
     s = with_sentiment(prepare(turns, date_col=None, verbatim_col="text", conversation_id_col="id", parser="text"))
@@ -355,11 +389,6 @@ def q_document_all_term_counts(spark, sf_dir):
     return rows.groupBy("source", "term").agg(F.count(F.lit(1)).alias("count"))
 
 
-def q_document_term_counts(spark, sf_dir):
-    """Shared terms: of all counts those of content terms that two documents or more of a source have."""
-    return q_document_all_term_counts(spark, sf_dir).where("count > 1")
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_documents": q_clean_documents,
     "parse_split": q_parse_split,
@@ -401,10 +430,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "report_spike_details": q_report_spike_details,
     "prepared_split": q_prepared_split,
     "prepared_json": q_prepared_json,
-    "parse_json_broken": q_parse_json_broken,
+    "parse_literal": q_parse_literal,
+    "parse_literal_hard": q_parse_literal_hard,
+    "prepared_literal": q_prepared_literal,
     "parse_json_broken_all": q_parse_json_broken_all,
     "turn_scores": q_turn_scores,
     "document_vocabulary": q_document_vocabulary,
-    "document_term_counts": q_document_term_counts,
     "document_all_term_counts": q_document_all_term_counts,
 }

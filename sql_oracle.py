@@ -292,12 +292,6 @@ FROM (SELECT k, coalesce(avg(w / t) FILTER (recent), 0.0) AS r, coalesce(avg(w /
                        (SELECT unnest(range(5)) AS k)))
       GROUP BY k)"""
 
-JSON_BROKEN = r"""
-SELECT conv_id, turn, 1::INTEGER AS n_messages,
-       CASE WHEN turn % 2 = 0 THEN text || chr(34) || '], [' || chr(34) || text
-            ELSE text || chr(39) || ' x ' || chr(39) || 'b' END AS joined
-FROM conversations WHERE text <> '' AND NOT regexp_matches(text, '[\[\]"''\\\x00-\x1f]')"""
-
 # no such text is one list: its brackets go and it is cut at quote-comma-quote
 JSON_BROKEN_ALL = rf"""
 SELECT conv_id, turn, CAST(len(m) AS INTEGER) AS n_messages, array_to_string(m, ' | ') AS joined FROM (
@@ -309,6 +303,16 @@ SELECT conv_id, turn, CAST(len(m) AS INTEGER) AS n_messages, array_to_string(m,
         FROM (SELECT conv_id, turn, coalesce(text, '') AS t, CAST(to_json([coalesce(text, '')]) AS VARCHAR) AS one
               FROM conversations)))"""
 
+# what was rendered is what must come back
+LITERAL = """
+SELECT conversation_id, CAST(len(msgs) AS INTEGER) AS n_messages, array_to_string(msgs, '. ') AS verbatim FROM turns"""
+
+LITERAL_HARD = r"""
+SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN 4 WHEN 1 THEN 2 WHEN 3 THEN 2 ELSE 1 END::INTEGER AS n_messages,
+       CASE turn % 5 WHEN 0 THEN 'None | ' || t || ' | [''x'', 1.5] | -2' WHEN 1 THEN t || ' | (''p'',)'
+                     WHEN 3 THEN t || ' | None' ELSE t END AS joined
+FROM (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations)"""
+
 TURN_SCORES = f"""
 SELECT id, {score_sql('clean')} AS neg_score, {score_sql('clean')} > {NEGATIVE_THRESHOLD} AS is_negative
 FROM (SELECT concat_ws('-', conv_id, turn) AS id, {clean_sql('text')} AS clean FROM conversations) WHERE length(clean) > 2"""
@@ -317,7 +321,7 @@ DOC_TERMS = f"""
 SELECT source, term, CAST(count(*) AS BIGINT) AS count FROM (
   SELECT source, unnest(list_distinct(list_filter(string_split({clean_sql('text')}, ' '),
          lambda t: length(t) >= 3 AND NOT (t IN {STOP})))) AS term FROM documents)
-GROUP BY source, term HAVING count(*) > 1"""
+GROUP BY source, term"""
 
 NOVEL_EXAMPLES = (TERM_EXAMPLES.replace("trending", "novel").replace("ORDER BY p.date DESC, p.conversation_id ASC", "ORDER BY p.conversation_id ASC")
                   .replace("t.current_avg_daily, t.baseline_avg_daily, t.growth_ratio",
@@ -397,10 +401,12 @@ def oracle_sql() -> dict[str, str]:
         "topic_vocabulary": with_(BASE[:2], vocab_sql("prepared")),
         "topic_emergence": TOPIC_EMERGENCE,
         "document_vocabulary": with_([("docs", DOC_CLEAN.replace("SELECT doc_id,", "SELECT doc_id AS conversation_id,", 1))], vocab_sql("docs")),
-        "document_term_counts": DOC_TERMS,
-        "document_all_term_counts": DOC_TERMS.replace("HAVING count(*) > 1", ""),
+        "document_all_term_counts": DOC_TERMS,
         "turn_scores": TURN_SCORES,
-        "parse_json_broken": JSON_BROKEN,
+        "parse_literal": with_([("turns", TURN_LISTS)], LITERAL),
+        "parse_literal_hard": LITERAL_HARD,
+        "prepared_literal": with_([("turns", TURN_LISTS)], CONV_VERBATIMS.replace("n_messages, verbatim, clean", "n_messages, clean").replace(
+            "SELECT *", "SELECT conversation_id, n_messages, clean", 1)),
         "parse_json_broken_all": JSON_BROKEN_ALL,
         "prepared_split": with_([("turns", TURN_LISTS), ("parsed", PARSE_SPLIT)],
                                 f"SELECT * FROM (SELECT conversation_id, n_messages, {clean_sql('verbatim')} AS clean FROM parsed) "
