@@ -6,8 +6,9 @@
    removed, then unigrams + bigrams of the remaining tokens; a gram is kept when
    it occurs in >= min_df documents and in <= max_df of them; the max_features
    most frequent grams (ties by gram) form the vocabulary, in gram order.
-   One explode and one aggregation.
-3. Spark ML ``CountVectorizerModel.from_vocabulary`` + online ``LDA``.
+   Words are counted first and prune the bigrams.
+3. Spark ML ``CountVectorizerModel.from_vocabulary``, then batch variational
+   inference (``lda``).
 4. ``emergence``: mean topic weight per segment over all conversations, recent
    / history (recent * 100 when history <= 0.001), rounded, sorted; emerging =
    ratio > 1.5.
@@ -17,7 +18,6 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -26,24 +26,35 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicon import DEFAULT_STOPWORDS
 from ..functions.text import letter_runs
-from ..session import materialize
+from ..session import drop_scratch, materialize, materialize_table, scratch_tables
+from .lda import fit_topics
 from .sampling import DEFAULT_SEED, exact_sample, topic_sample_sizes
 
 EMERGING_RATIO = 1.5
+BROADCAST_WORDS = 100_000  # frequent words up to which they are broadcast (a few MB)
 
 
-def with_topic_grams(df: DataFrame, out: str = "grams", clean: str = "clean", stopwords=DEFAULT_STOPWORDS) -> DataFrame:
-    """Adds the unigrams and bigrams of the letter-run tokens (>= 2 letters, stop words removed).
+def with_topic_tokens(df: DataFrame, out: str = "tokens", clean: str = "clean", stopwords=DEFAULT_STOPWORDS) -> DataFrame:
+    """Adds the letter-run tokens (>= 2 letters, stop words removed).
 
-    The tokens become a column of their own behind a one-element generator, which the optimiser cannot inline:
-    the pairing refers to them several times, and its cost stays linear in the text.
+    They become a column of their own behind a one-element generator, which the optimiser cannot inline: what follows
+    refers to them several times, and its cost stays linear in the text.
     """
     stop = list(stopwords)
     toks = F.filter(letter_runs(clean), lambda t: (F.length(t) >= 2) & ~t.isin(stop))
-    held = df.select("*", F.explode(F.array(toks)).alias("_toks"))
-    pairs = F.greatest(F.size("_toks") - 1, F.lit(0))
-    bigrams = F.zip_with(F.slice("_toks", F.lit(1), pairs), F.slice("_toks", F.lit(2), pairs),
-                         lambda a, b: F.concat(a, F.lit(" "), b))
+    return df.select("*", F.explode(F.array(toks)).alias(out))
+
+
+def _neighbours(tokens: str) -> tuple[Column, Column]:
+    """The tokens that have one after them, and those that follow, position by position."""
+    pairs = F.greatest(F.size(tokens) - 1, F.lit(0))
+    return F.slice(tokens, F.lit(1), pairs), F.slice(tokens, F.lit(2), pairs)
+
+
+def with_topic_grams(df: DataFrame, out: str = "grams", clean: str = "clean", stopwords=DEFAULT_STOPWORDS) -> DataFrame:
+    """Adds the unigrams and bigrams of the tokens."""
+    held = with_topic_tokens(df, "_toks", clean, stopwords)
+    bigrams = F.zip_with(*_neighbours("_toks"), lambda a, b: F.concat(a, F.lit(" "), b))
     # the joined list is held too: several expressions use it
     return held.select(*df.columns, F.explode(F.array(F.concat("_toks", bigrams))).alias(out))
 
@@ -89,27 +100,52 @@ def topic_sample(prepared: DataFrame, max_date: dt.date, recent_days: int = 14,
     return exact_sample(src, sizes, ["conversation_id"], segment_col="is_recent", seed=seed)
 
 
+def _tagged(rows: DataFrame, items: str) -> DataFrame:
+    """Every occurrence of an item tagged false, every distinct item of a document tagged true: (item, doc)."""
+    return rows.select(F.inline(F.concat(
+        F.transform(items, lambda x: F.struct(x.alias("item"), F.lit(False).alias("doc"))),
+        F.transform(F.array_distinct(items), lambda x: F.struct(x.alias("item"), F.lit(True).alias("doc"))))))
+
+
+def _frequencies(tagged: DataFrame) -> DataFrame:
+    return tagged.groupBy("item").agg(F.count_if("doc").alias("doc_freq"), F.count_if(~F.col("doc")).alias("term_freq"))
+
+
 def topic_vocabulary(sample: DataFrame, max_features: int = 3000, min_df: int = 10,
                      max_df: float = 0.8, stopwords=DEFAULT_STOPWORDS, n_docs: int | None = None) -> DataFrame:
-    """(term, doc_freq, term_freq) of the kept grams, ordered by term."""
+    """(term, doc_freq, term_freq) of the kept grams, ordered by term.
+
+    A bigram occurs no oftener, and in no more documents, than either of its words.  So words are counted first; the
+    ``max_features``-th kept word's frequency is a floor below which no gram is kept, and only bigrams of two words
+    that reach it (and ``min_df``) are counted at all.
+    """
+    held = with_topic_tokens(sample.select("clean"), stopwords=stopwords)
+    # a document counts once more as a row without an item, so the same pass gives their number
+    tagged = _tagged(held.select(F.concat("tokens", F.array(F.lit(None).cast("string"))).alias("tokens")), "tokens")
+    counted = _frequencies(tagged)
+    if isinstance(min_df, int):
+        counted = counted.where((F.col("doc_freq") >= F.lit(min_df)) | F.col("item").isNull())
+    counted = materialize_table(counted, "words")
     if n_docs is None:
-        n_docs = sample.count()
-    # one explode: every occurrence tagged tf, every distinct gram of a document
-    # tagged df; a single aggregation by gram then combines map-side
-    held = with_topic_grams(sample.select("clean"), stopwords=stopwords)
-    tagged = F.concat(
-        F.transform("grams", lambda x: F.struct(x.alias("term"), F.lit(False).alias("doc"))),
-        F.transform(F.array_distinct("grams"), lambda x: F.struct(x.alias("term"), F.lit(True).alias("doc"))),
-    )
-    grams = held.select(F.inline(tagged))
-    stats = grams.groupBy("term").agg(
-        F.count_if(F.col("doc")).alias("doc_freq"), F.count_if(~F.col("doc")).alias("term_freq")
-    )
+        n_docs = int(counted.where(F.col("item").isNull()).agg(F.coalesce(F.sum("doc_freq"), F.lit(0))).first()[0])
     max_doc = max_df * n_docs if isinstance(max_df, float) else float(max_df)
     min_doc = float(min_df) if isinstance(min_df, int) else min_df * n_docs
-    kept = stats.where((F.col("doc_freq") >= F.lit(min_doc)) & (F.col("doc_freq") <= F.lit(max_doc)))
-    top = kept.orderBy(F.desc("term_freq"), F.asc("term")).limit(max_features)
-    return top.select("term", F.col("doc_freq").cast("bigint").alias("doc_freq"),
+    in_range = (F.col("doc_freq") >= F.lit(min_doc)) & (F.col("doc_freq") <= F.lit(max_doc))
+    words = counted.where(F.col("item").isNotNull() & (F.col("doc_freq") >= F.lit(min_doc)))
+    best = words.where(in_range).orderBy(F.desc("term_freq"), F.asc("item")).limit(max_features)
+    n_best, last = best.agg(F.count(F.lit(1)), F.min("term_freq")).first()
+    floor = int(last) if n_best == max_features else 0
+    frequent = words.where(F.col("term_freq") >= F.lit(floor)).select(F.col("item").alias("word"))
+    if frequent.count() <= BROADCAST_WORDS:  # else a sort-merge join
+        frequent = F.broadcast(frequent)
+    # joined words: equal strings are found by hashing, structures would be compared one by one
+    pairs = _tagged(held.select(F.zip_with(*_neighbours("tokens"), lambda a, b: F.concat(a, F.lit(" "), b)).alias("pairs")).select(
+        F.explode(F.array("pairs")).alias("pairs")), "pairs")
+    for side in (1, -1):
+        pairs = pairs.join(frequent, F.substring_index("item", " ", side) == F.col("word"), "left_semi")
+    grams = words.unionByName(_frequencies(pairs)).where(in_range)
+    top = grams.orderBy(F.desc("term_freq"), F.asc("item")).limit(max_features)
+    return top.select(F.col("item").alias("term"), F.col("doc_freq").cast("bigint").alias("doc_freq"),
                       F.col("term_freq").cast("bigint").alias("term_freq")).orderBy("term")
 
 
@@ -140,7 +176,8 @@ def emerging_topics(prepared: DataFrame, max_date: dt.date, n_topics: int = 10,
 
     Sorted by emergence_ratio (desc, then topic_id).  Vocabulary and model are fitted on every conversation, or on
     a sample where ``sample_size`` asks for one; the weights are means over every conversation either way.  They
-    depend on the optimiser; the vocabulary and the arithmetic are deterministic.
+    are those of `lda.fit_topics` (batch variational inference, deterministic start) and equal on every run but for the
+    order of floating-point sums.  A document without any vocabulary gram has equal weights.
     """
     spark = prepared.sparkSession
     schema = ("topic_id int, top_words array<string>, recent_weight double, history_weight double, "
@@ -156,32 +193,21 @@ def emerging_topics(prepared: DataFrame, max_date: dt.date, n_topics: int = 10,
     vocab = [r["term"] for r in topic_vocabulary(fitted_on, max_features, min_df, max_df, stopwords).collect()]
     if not vocab:
         return spark.createDataFrame([], schema)
-    cv = CountVectorizerModel.from_vocabulary(vocab, inputCol="grams", outputCol="features")
-
-    def vectors(df: DataFrame) -> DataFrame:
-        return cv.transform(with_topic_grams(df, stopwords=stopwords)).select("is_recent", "features")
-
-    features = vectors(fitted_on).cache()
-    try:
-        lda = LDA(k=n_topics, maxIter=max_iter, seed=seed, optimizer="online", subsamplingRate=1.0,
-                  learningOffset=1.0, optimizeDocConcentration=False, featuresCol="features")
-        model = lda.fit(features)
-        dist = model.transform(features if sample_size is None else vectors(everyone)).select(
-            "is_recent", F.col("topicDistribution").alias("p"))
-        # documents without any vocabulary gram get the uniform prior mean
-        uniform = F.array_repeat(F.lit(1.0 / n_topics), n_topics)
-        some = F.aggregate(vector_to_array("p"), F.lit(0.0), lambda a, x: a + x) > 0
-        dist = dist.select("is_recent", array_to_vector(F.when(some, vector_to_array("p")).otherwise(uniform)).alias("p"))
-        # K7: top words per topic, term indices mapped through the vocabulary
-        vocab_arr = F.array(*[F.lit(t) for t in vocab])
-        words = model.describeTopics(10).select(
-            F.col("topic").alias("topic_id"),
-            F.transform("termIndices", lambda i: F.element_at(vocab_arr, i + 1)).alias("top_words"),
-        )
-        topics = emergence(dist).join(F.broadcast(words), "topic_id")  # k rows on each side
-        topics = topics.select("topic_id", "top_words", "recent_weight", "history_weight", "emergence_ratio", "is_emerging")
-        # k rows: materialise before the cached features are released
-        topics = materialize(topics.orderBy(F.desc("emergence_ratio"), F.asc("topic_id")))
-    finally:
-        features.unpersist()
+    def counted(df: DataFrame) -> DataFrame:
+        features = CountVectorizerModel.from_vocabulary(vocab, inputCol="grams", outputCol="features").transform(
+            with_topic_grams(df, stopwords=stopwords))
+        sparse = features.select("is_recent", F.unwrap_udt("features").alias("v"))
+        return sparse.select("is_recent", F.col("v.indices").alias("terms"), F.col("v.values").alias("counts"))
+
+    # every iteration reads the counts once: stored in the shared folder, not on the executors
+    before = scratch_tables(spark)
+    stored = materialize_table(counted(fitted_on), "topic-counts")
+    model = fit_topics(stored, len(vocab), n_topics, max_iter, seed)
+    dist = model.transform(stored if sample_size is None else counted(everyone))
+    words = spark.createDataFrame([(i, [vocab[t] for t in top]) for i, top in enumerate(model.top_terms(10))],
+                                  "topic_id int, top_words array<string>")
+    topics = emergence(dist.select("is_recent", array_to_vector("p").alias("p"))).join(F.broadcast(words), "topic_id")  # k rows a side
+    topics = topics.select("topic_id", "top_words", "recent_weight", "history_weight", "emergence_ratio", "is_emerging")
+    topics = materialize(topics.orderBy(F.desc("emergence_ratio"), F.asc("topic_id")))
+    drop_scratch(spark, [path for path in scratch_tables(spark) if path not in before])
     return topics
