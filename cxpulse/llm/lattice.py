@@ -139,22 +139,30 @@ def cells(unit: np.ndarray, tables: int, blocks: int, probes: int, scale: float,
 
 
 def _vector(v) -> np.ndarray | None:
-    """The vector in double precision; None where it links with nothing."""
+    """The vector in double precision, its largest component scaled by a power of two to between 1/2 and 1; None where it
+    links with nothing.
+
+    The scaling is exact and changes no cosine; squares and products of scaled vectors neither overflow nor vanish
+    (components 2^-500 of the largest and less add nothing to them in double precision).
+    """
     if v is None or not len(v) or any(x is None for x in v):
         return None
     x = np.asarray(v, np.float64) + 0.0  # minus zero is zero
-    return x if np.isfinite(x).all() and x.any() else None
+    if not np.isfinite(x).all() or not x.any():
+        return None
+    exponent = int(np.frexp(np.abs(x).max())[1])
+    half = exponent // 2  # in two steps: the power itself may be out of range
+    return np.ldexp(np.ldexp(x, -half), half - exponent) + 0.0
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(vec_id, embedding) -> (vec_id, class, vector): the class is a digest of the exact vector, null if it cannot link."""
+    """(vec_id, embedding) -> (vec_id, digest, vector): 128 bits of the scaled vector, null if it cannot link."""
     for batch in batches:
         vectors = [_vector(v) for v in batch.column(1).to_pylist()]
-        classes = [None if x is None else int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True)
-                   for x in vectors]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(classes, pa.int64()),
+        digests = [None if x is None else hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in vectors]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()),
                                           pa.array([None if x is None else x.tolist() for x in vectors], pa.list_(pa.float64()))],
-                                         names=["vec_id", "class", "vector"])
+                                         names=["vec_id", "digest", "vector"])
 
 
 def _files(tables: int, blocks: int, probes: int, scale: float, seed: int, look_up: bool):
@@ -167,7 +175,6 @@ def _files(tables: int, blocks: int, probes: int, scale: float, seed: int, look_
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
                 x = np.array([vectors[i] for i in at])
-                x /= np.abs(x).max(1, keepdims=True)  # no overflow in the squares
                 unit = x / np.linalg.norm(x, axis=1, keepdims=True)
                 home, probed, bits = cells(unit, tables, blocks, probes, scale, seed)
                 keys = probed.reshape(len(at), -1) if look_up else home
@@ -207,20 +214,22 @@ def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     are vectors of their own, linked with each other.  Null ids are never a component's id unless all its ids are.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    rows = rows.mapInArrow(_digests, "vec_id long, class long, vector array<double>")
-    classes = checkpointed(rows.where("class is not null").groupBy("class").agg(
-        F.first("vector").alias("vector"), F.count("*").alias("n"), F.min("vec_id").alias("first_id")))
+    rows = rows.mapInArrow(_digests, "vec_id long, digest binary, vector array<double>")
+    # numbers of classes hold from here on: what is checkpointed is read by all that follows
+    classes = checkpointed(rows.where("digest is not null").groupBy("digest").agg(
+        F.first("vector").alias("vector"), F.count("*").alias("n"), F.min("vec_id").alias("first_id")).withColumn(
+        "class", F.monotonically_increasing_id()))
     links = checkpointed(class_links(classes, cosine, **params))
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     sizes = classes.select(F.col("class").alias("v"), "n")
     degree = both.join(sizes, "v").groupBy(F.col("u").alias("class")).agg(F.sum("n").alias("near"))
     roots = components(links).withColumnRenamed("node", "class")
-    named = classes.select("class", "n", "first_id").join(degree, "class", "left").join(roots, "class", "left")
+    named = classes.select("class", "digest", "n", "first_id").join(degree, "class", "left").join(roots, "class", "left")
     named = named.withColumn("root", F.coalesce("root", "class"))
     heads = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = checkpointed(named.join(heads, "root").select(
-        "class", "component_id", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_links")))
-    out = rows.select("vec_id", "class").join(named, "class", "left")
-    component = F.when(F.col("class").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+        "digest", "component_id", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_links")))
+    out = rows.select("vec_id", "digest").join(named, "digest", "left")
+    component = F.when(F.col("digest").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                       component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

@@ -172,3 +172,35 @@ def test_recall_at_the_threshold():
     met = ((py == hx[:, :, None]).any(2) | (px == hy[:, :, None]).any(2)).any(1)
     near = np.unpackbits((sx ^ sy).view(np.uint8).reshape(-1, 8), axis=1).sum(1) <= lattice.SIGNS
     assert (met & near).mean() >= 0.97
+
+
+def test_lattice_links_at_any_magnitude(spark):
+    from cxpulse.llm.lattice import near_dedup
+
+    rng = np.random.default_rng(7)
+    rows, want = [], {}
+    scales = [1.0, 1e-300, 1e-170, 1e170, 1e300, 3.7]
+    base = [rng.normal(size=16) for _ in range(3)]
+    for g, x in enumerate(base):
+        x = x / np.abs(x).max()
+        for i, scale in enumerate(scales):
+            rows.append((100 * g + i, (x * scale).tolist()))
+        noisy = x + 0.05 * rng.normal(size=16)
+        rows.append((100 * g + 50, (noisy / np.abs(noisy).max() * 1e300).tolist()))
+    far = base[0] / np.linalg.norm(base[0])
+    other = rng.normal(size=16)
+    other -= far * (far @ other)
+    other /= np.linalg.norm(other)
+    for i, cosine in enumerate((0.85, 0.80)):
+        v = cosine * far + np.sqrt(1 - cosine ** 2) * other
+        rows.append((900 + i, (v * 1e170).tolist()))
+    rows += [(950, [1e300] + [1e-300] * 15), (951, [5e-324] + [0.0] * 15), (952, [0.0] * 16), (953, [float("inf")] * 16), (None, (far * 1e-300).tolist())]
+    units = []
+    for _, v in rows:
+        x = np.array(v)
+        ok = np.isfinite(x).all() and x.any()
+        x = x / np.abs(x).max() if ok else x * np.nan
+        units.append(x / np.linalg.norm(x) if ok else None)
+    links = {i: sum(1 for j, y in enumerate(units) if j != i and x is not None and y is not None and x @ y >= 0.9) for i, x in enumerate(units)}
+    got = near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), "vec_id", "embedding")
+    assert {r["vec_id"]: r["n_links"] for r in got.collect()} == {rows[i][0]: n for i, n in links.items()}
