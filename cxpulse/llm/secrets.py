@@ -13,9 +13,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,6 +38,9 @@ NAME_WORDS = {"password": 5, "passwd": 5, "passphrase": 5, "pwd": 4, "pass": 3,
               "public": -4, "example": -3, "sample": -3, "test": -1, "length": -4, "count": -4, "name": -3, "id": -2,
               "url": -2, "path": -4, "file": -3, "dir": -4, "type": -4, "expiry": -4, "ttl": -4, "field": -3, "label": -4}
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|changeme|todo|none|null|true|false|undefined|your[-_ ].*|<.*>|\$\{.*\}|%.*%|\{\{.*\}\})$")
+_YOUR = re.compile(r"(?i)your[-_ ]")
+_BRACKETS = (("<", ">"), ("${", "}"), ("%", "%"), ("{{", "}}"))
+EDGE = 16  # characters kept of a value's ends
 THRESHOLD = 5.0
 MIN_LITERAL = 8
 
@@ -71,7 +74,17 @@ def name_score(name: str) -> float:
 
 def literal_score(value: str) -> float:
     """How random a literal looks: entropy per character, character classes, length; prose and placeholders score low."""
-    return -10.0 if PLACEHOLDER.match(value) else randomness(Counter(value))
+    return _score(len(value), value[:EDGE], value[-EDGE:], Counter(value))
+
+
+def _score(size: int, head: str, tail: str, chars: Counter) -> float:
+    """The same from a value's length, its first and last characters and its characters' counts."""
+    if size <= EDGE:
+        placeholder = PLACEHOLDER.match(head)
+    else:  # too long for the words; the other placeholders show in their ends
+        placeholder = not set(chars) - {"x", "X"} or not set(chars) - {"*"} or "\n" not in chars and (
+            _YOUR.match(head) or any(head.startswith(a) and tail.endswith(b) for a, b in _BRACKETS))
+    return -10.0 if placeholder else randomness(chars)
 
 
 def randomness(chars: Counter) -> float:
@@ -84,10 +97,17 @@ def randomness(chars: Counter) -> float:
 
 
 class _Values:
-    """The values read in a text: each a list of parts, which are spans of literals or the numbers of earlier values."""
+    """The values read in a text: each a list of parts, which are spans of literals or the numbers of earlier values.
+
+    Of a concatenation the characters' counts are kept while a name holds it, so that adding to it costs no more than
+    what is added; a literal's own are counted when needed.
+    """
 
     def __init__(self, text: str):
-        self.text, self.parts, self.sizes = text, [], []
+        self.text, self.parts, self.edges = text, [], []
+        self.root: list[int] = []  # the value itself, or the one it is another name for
+        self.chars: dict[int, Counter] = {}
+        self.holders: Counter = Counter()
         self.run = (0, 0)  # the unquoted run read last: pairs inside it end with it
         self.rest = (0, 0, Counter())  # characters of what is left of such a run
 
@@ -115,86 +135,102 @@ class _Values:
             at = plus.end()
         if not parts:
             return None
+        number = len(self.parts)
         self.parts.append(parts)
-        self.sizes.append(sum(p[1] - p[0] if isinstance(p, tuple) else self.sizes[p] for p in parts))
-        return len(self.parts) - 1, constant
-
-    def spans(self, value: int) -> dict[tuple[int, int], int]:
-        """The literals of a value and how often each is in it; a value's parts have lower numbers than itself."""
-        times, out, heap = {value: 1}, {}, [-value]
-        while heap:
-            k = -heappop(heap)
-            n = times.pop(k)
-            for p in self.parts[k]:
-                if isinstance(p, tuple):
-                    out[p] = out.get(p, 0) + n
-                else:
-                    if p not in times:
-                        heappush(heap, -p)
-                        times[p] = 0
-                    times[p] += n
-        return out
-
-    def score(self, value: int, spans: dict[tuple[int, int], int]) -> float:
-        if self.sizes[value] <= len(self.text):
-            if len(spans) == 1 and (only := next(iter(spans)))[1] == self.run[1] and spans[only] == 1:
-                return self._run_score(*only)
-            todo, out = [value], []
-            while todo:
-                p = todo.pop()
-                if isinstance(p, tuple):
-                    out.append(self.text[p[0]:p[1]])
-                elif self.sizes[p]:
-                    todo += reversed(self.parts[p])
-            return literal_score("".join(out))
-        chars = Counter()  # a constant added to itself until it is longer than the text
-        for (a, b), n in spans.items():
-            for c, k in Counter(self.text[a:b]).items():
-                chars[c] += k * n
-        return randomness(chars)
-
-    def _run_score(self, start: int, stop: int) -> float:
-        if PLACEHOLDER.match(self.text[start:stop]):
-            return -10.0
+        self.root.append(number if len(parts) > 1 or isinstance(parts[0], tuple) else self.root[parts[0]])
+        size, head, tail = 0, "", ""
+        for p in parts:
+            n, first, last = (p[1] - p[0], text[p[0]:min(p[1], p[0] + EDGE)], text[max(p[0], p[1] - EDGE):p[1]]) \
+                if isinstance(p, tuple) else self.edges[p]
+            size, head, tail = size + n, (head + first)[:EDGE] if size < EDGE else head, (tail + last)[-EDGE:]
+        self.edges.append((size, head, tail))
+        if len(parts) > 1:
+            total = Counter(self._part(parts[0]))
+            for p in parts[1:]:
+                total.update(self._part(p))
+            self.chars[number] = total
+        return number, constant
+
+    def hold(self, value: int, by: int = 1) -> None:
+        """A name holds the value, or (``by`` -1) no longer does."""
+        value = self.root[value]
+        self.holders[value] += by
+        if not self.holders[value]:
+            del self.holders[value]
+            self.chars.pop(value, None)
+
+    def _part(self, part) -> Counter:
+        return Counter(self.text[part[0]:part[1]]) if isinstance(part, tuple) else self.count(part)
+
+    def count(self, value: int) -> Counter:
+        """The characters of a value that a name holds."""
+        value = self.root[value]
+        if value in self.chars:
+            return self.chars[value]
+        start, stop = self.parts[value][0]
+        if stop != self.run[1]:
+            self.chars[value] = Counter(self.text[start:stop])
+            return self.chars[value]
         first, last, chars = self.rest
-        if last == stop and first <= start:
+        if last == stop and first <= start:  # further into the same run
             chars.subtract(self.text[first:start])
             chars = +chars
         else:
             chars = Counter(self.text[start:stop])
         self.rest = (start, stop, chars)
-        return randomness(chars)
+        return Counter(chars)
+
+    def score(self, value: int) -> float:
+        size, head, tail = self.edges[value]
+        return _score(size, head, tail, self.count(value))
 
 
 def lexed_spans(text: str) -> list[tuple[str, int, int, str, float]]:
-    """(kind, start, end, name, score) of literals that end up in sensitive names, directly or through constants."""
+    """(kind, start, end, name, score) of literals that end up in sensitive names, directly or through constants.
+
+    A literal has the best score of all sensitive values it is part of (the first of equal ones); the scores are passed
+    down from later values to the earlier ones they are made of, each once.
+    """
     if "=" not in text and ":" not in text:
         return []
-    values, names = _Values(text), {}
-    found: dict[tuple[int, int], tuple[str, str, float]] = {}
+    values, names, best = _Values(text), {}, {}
+    sensitive: dict[str, float] = {}
     for m in _PAIR.finditer(text):
+        name = m[2]
         read = values.read(m.end(), names)
-        if read is None:
-            names.pop(m[2], None)  # no longer the constant it was
-            continue
-        value, constant = read
-        names[m[2]] = value
-        sensitive = name_score(m[2])
-        if sensitive < 3:
+        old = names.pop(name, None)  # no longer the constant it was
+        if read is not None:
+            value, constant = read
+            names[name] = value
+            values.hold(value)
+            if name not in sensitive:
+                sensitive[name] = name_score(name)
+            if sensitive[name] >= 3:
+                score = sensitive[name] + values.score(value)
+                if score >= THRESHOLD:
+                    best[value] = (score, -value, constant, name)
+        if old is not None:
+            values.hold(old, -1)
+    found: dict[tuple[int, int], tuple] = {}
+    for value in range(len(values.parts) - 1, -1, -1):
+        if (hit := best.get(value)) is None:
             continue
-        spans = values.spans(value)
-        score = sensitive + values.score(value, spans)
-        if score >= THRESHOLD:
-            for span in spans:
-                if span[1] > span[0] and (span not in found or found[span][2] < score):
-                    found[span] = ("constant" if constant else "literal", m[2], score)
-    return [(kind, a, b, name, score) for (a, b), (kind, name, score) in found.items()]
+        for part in values.parts[value]:
+            held = found if isinstance(part, tuple) else best
+            if part not in held or held[part][:2] < hit[:2]:
+                held[part] = hit
+    return [("constant" if constant else "literal", a, b, name, score)
+            for (a, b), (score, _, constant, name) in found.items() if b > a]
 
 
 def scan(text: str) -> list[tuple[str, int, int, str | None, float | None]]:
     """All spans of a text by start, then kind: the base ones, and lexed ones that no base span covers."""
     base = base_spans(text)
-    more = [x for x in lexed_spans(text) if not any(a <= x[1] and x[2] <= b for _, a, b in base)]
+    starts, reach = [], []  # by start: how far the base spans up to there reach
+    for _, a, b in sorted(base, key=lambda x: x[1]):
+        starts.append(a)
+        reach.append(max(b, reach[-1]) if reach else b)
+    more = [x for x in lexed_spans(text) if not (at := bisect_right(starts, x[1])) or reach[at - 1] < x[2]]
     return sorted([(k, a, b, None, None) for k, a, b in base] + more, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

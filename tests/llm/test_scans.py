@@ -109,6 +109,71 @@ def test_lexer_is_linear(text):
     assert time.process_time() - start < 20
 
 
+def naive_lexed(text):
+    """Literals of sensitive values by writing every value out."""
+    names, found = {}, {}
+    run = (0, 0)
+    for m in secrets._PAIR.finditer(text):
+        at, spans, constant = m.end(), [], False
+        while True:
+            if x := secrets._STRING.match(text, at):
+                spans.append(x.span(x.lastindex))
+            elif (x := secrets._REFERENCE.match(text, at)) and x[0] in names:
+                spans += names[x[0]]
+                constant = True
+            elif not spans and run[0] <= at < run[1]:
+                spans.append((at, run[1]))
+                break
+            elif not spans and (x := secrets._BARE.match(text, at)):
+                run = x.span()
+                spans.append(run)
+                break
+            else:
+                break
+            plus = secrets._PLUS.match(text, x.end())
+            if not plus:
+                break
+            at = plus.end()
+        if not spans:
+            names.pop(m[2], None)
+            continue
+        names[m[2]] = spans
+        if secrets.name_score(m[2]) < 3:
+            continue
+        score = secrets.name_score(m[2]) + secrets.literal_score("".join(text[a:b] for a, b in spans))
+        if score >= secrets.THRESHOLD:
+            for s in spans:
+                if s[1] > s[0] and (s not in found or found[s][2] < score):
+                    found[s] = ("constant" if constant else "literal", m[2], score)
+    return {(k, *s, n, round(v, 6)) for s, (k, n, v) in found.items()}
+
+
+def test_lexed_spans_equal_written_out_values():
+    rng = random.Random(12)
+    names = ["password", "api_key", "a", "b", "secretToken", "path", "x.y"]
+    literals = ["'Zk93!kdL'", '"xxxxxxxxxxxxxxxxxxxx"', "'<hidden value here ok>'", "`multi\nline Q8s`", "q7Wm2xR9tLpk", "changeme", "'your-own-secret-value-9A'",
+                "''", "'aB3$'", "k=v=W93kdkLq28dk", "'${SOME_LONG_VARIABLE_1}'"]
+    for _ in range(1500):
+        lines = []
+        for _ in range(rng.randint(1, 12)):
+            parts = [rng.choice(names if rng.random() < 0.5 else literals) for _ in range(rng.choice([1, 1, 1, 2, 3]))]
+            lines.append(f"{rng.choice(names)}{rng.choice([' = ', ': ', '=', ' := '])}{' + '.join(parts)}")
+        text = rng.choice(["\n", "; "]).join(lines)
+        got = {(k, a, b, n, round(v, 6)) for k, a, b, n, v in secrets.lexed_spans(text)}
+        assert got == naive_lexed(text), text
+        assert all(any(x[0] <= a and b <= x[1] for x in [(x[1], x[2]) for x in secrets.base_spans(text)]) != ((k, a, b) in {
+            y[:3] for y in secrets.scan(text)}) for k, a, b, *_ in secrets.lexed_spans(text))
+
+
+@pytest.mark.parametrize("line", ["password = abcdefghijkl1\n", "password = password + 'Zk93!kdL'\n", "a = a + 'x'; password = a\n",
+                                  "password = a\na = password + 'Zk93!kdL'\n", "b = a\na = b\nsecret = b\n"])
+def test_many_assignments_are_linear(line):
+    text = "a = 'Zk93!kdLq2'\npassword = a\n" + line * (1_000_000 // len(line))
+    start = time.time()
+    secrets.scan(text)
+    assert time.time() - start < 10
+
+
 def test_added_spans_are_whole_literals_and_base_ones_stay(spark, rows, docs, no_docs):
     long = 'x = "' + "a" * 200_000 + "\n" + 'y = "' * 20_000 + " password = 'abcdefghijkl1'"
     own = [(1, "é token = 'abcdefabcdefabcdef'", "en", "s", 0), (2, None, None, None, None), (3, long, "en", "s", 0)]
