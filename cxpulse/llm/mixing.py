@@ -31,7 +31,7 @@ from .common import checkpointed, fresh, text_of, word_count
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_RATE = 3
 NEWTON_STEPS = 128  # steps of at most one below the root, quadratic near it: enough for rates down to exp(-100)
-FEW = 1024  # words below which the sizes that still fit are counted one by one
+FEW = 1000  # words below which the sizes that still fit are counted one by one (ranks below it are cut on the map side)
 SEED = 42
 
 

@@ -212,3 +212,15 @@ def test_plan_places_every_remainder(seed):
 def test_window_must_be_a_power_of_two(docs):
     with pytest.raises(ValueError):
         packing.pack(docs, window=1000)
+
+
+def test_the_cut_by_size_is_limited_on_the_map_side(spark):
+    from cxpulse.llm.mixing import _largest_first
+
+    # Spark's own default threshold: nothing but the plan itself may bring the limit
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "1000")
+    try:
+        units = spark.createDataFrame([(1, "a", 5, 3, 3, 7)], "doc_id long, source string, priority long, size long, mass long, want long")
+        assert "WindowGroupLimit" in _largest_first(units)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
