@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,12 +39,6 @@ def word_count(col: str) -> Column:
     return F.regexp_count(text_of(col), F.lit(WORD)).cast("long")
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove shuffle files no live plan refers to (it learns of them from the driver's collector)."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores before it as it takes to differ from all columns of ``df``."""
     taken, out = {c.lower() for c in df.columns}, []

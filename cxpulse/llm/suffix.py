@@ -10,7 +10,8 @@ and the texts before the anchors agree to its left end.
 
 1. One pass hashes k-grams and keeps the anchors (a little over one in a hundred
    bytes) with a hash of all that any window through them can see, their context.
-2. Anchors whose k-gram occurs once are dropped by an aggregation and a join.
+2. Anchors whose k-gram occurs once are dropped: most by a filter of fixed size
+   made from the counts of the grams, the rest by an exact count and a join.
    Occurrences whose whole context occurs again are repeats at once.
 3. What is left, one occurrence of each context, goes to buckets by what a window
    must share on its longer side of the anchor: half of the rest of its bytes
@@ -27,8 +28,8 @@ and the texts before the anchors agree to its left end.
    run whose intersection does not has none, and only runs between the two count
    their windows one by one.  Counts spread over all tasks.
 
-Spans go back to their documents through a shuffle of the texts.  Shuffles that
-are done with are released between the steps.
+Spans go back to their documents through a shuffle of the texts.  Every step's
+result is stored, and what it shuffled is removed with it.
 """
 
 from __future__ import annotations
@@ -43,13 +44,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import drop_scratch, materialize_table, scratch_tables
-from .common import release_shuffles, text_of
+from .common import text_of
 
 LENGTH = 200
 GRAM = 32
 BUCKET = 32
 RUN = 12
 PIECE = 1 << 20  # bytes hashed at a time
+LOW = 1 << 16  # what packs two offsets into one number
+FILTER_BITS = 1 << 25  # bits of the filter of repeated grams (at most 2^19 rows are broadcast, whatever the input)
 
 _U = np.uint64
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1)
@@ -292,7 +295,10 @@ def _small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
 
 
 def _runs(length: int, gram: int):
-    """Contexts of large buckets -> their runs of windows: hash of the intersection, two hashes of the union (null: cut off)."""
+    """Contexts of large buckets -> their runs of windows: hash of the intersection, two hashes of the union (null: cut off).
+
+    ``at``: the run's first and last offset before the anchor, in one number; ``n``: 2 where the context occurs again.
+    """
     half = (length - gram) // 2
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,31 +316,28 @@ def _runs(length: int, gram: int):
             full = (texts.before[row] >= b) & (texts.after[row] >= length - a)
             start, stop = np.where(full, -b, -a), np.where(full, length - a, length - b)
             one, two = texts.of(row, start, stop)
-            at = pa.array(row)
+            often = np.minimum(col["n"].to_numpy(), 2).astype(np.int8)[row]
             yield pa.RecordBatch.from_arrays(
-                [*(col[c].take(at) for c in ("doc_id", "text_key", "position", "key", "side", "n")), pa.array(a.astype(np.int16)),
-                 pa.array(b.astype(np.int16)), pa.array(shared), pa.array(one, mask=~full), pa.array(two, mask=~full)],
-                names=["doc_id", "text_key", "position", "key", "side", "n", "low", "high", "shared", "one", "two"])
+                [col["cid"].take(pa.array(row)), pa.array(often), pa.array((a * LOW + b).astype(np.int32)), pa.array(shared),
+                 pa.array(one, mask=~full), pa.array(two, mask=~full)], names=["cid", "n", "at", "shared", "one", "two"])
 
     return work
 
 
 def _windows(length: int):
-    """Contexts with runs to open -> their windows: (two hashes, occurrences, document, start)."""
+    """Contexts with runs to open -> their windows: context, offset before the anchor, occurrences, two hashes."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches):
             col = {n: batch.column(n) for n in batch.schema.names}
             texts = Contexts(col["left"].to_pylist(), col["right"].to_pylist(), col["key"].to_pylist())
             triples = [(i, o, r["n"]) for i, runs in enumerate(col["runs"].to_pylist()) for r in runs
-                       for o in range(r["low"], r["high"] + 1)]
+                       for o in range(r["at"] // LOW, r["at"] % LOW + 1)]
             row, o, n = (np.array([x[k] for x in triples], np.int64) for k in (0, 1, 2))
             some = (texts.before[row] >= o) & (texts.after[row] >= length - o)
             row, o, n = row[some], o[some], n[some]
             one, two = texts.of(row, -o, length - o)
-            at = pa.array(row)
-            start = np.array(col["position"].to_pylist(), np.int64)[row] - o
-            yield pa.RecordBatch.from_arrays([*(col[c].take(at) for c in ("doc_id", "text_key")), pa.array(n), pa.array(start),
-                                              pa.array(one), pa.array(two)], names=["doc_id", "text_key", "n", "start", "one", "two"])
+            yield pa.RecordBatch.from_arrays([col["cid"].take(pa.array(row)), pa.array(o.astype(np.int32)), pa.array(n.astype(np.int8)),
+                                              pa.array(one), pa.array(two)], names=["cid", "offset", "n", "one", "two"])
 
     return work
 
@@ -394,34 +397,54 @@ def _same(a: str, b: str):
     return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.text_key") == F.col(f"{b}.text_key"))
 
 
-def _occurrences(rows: DataFrame, length: int, gram: int, bucket: int):
-    """(spans of anchors whose whole context occurs again, contexts in buckets, function that stores a table)."""
-    spark = rows.sparkSession
-    scratch = set(scratch_tables(spark))
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table; what the writing shuffled is removed when it is done (nothing else reads it)."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return materialize_table(df, name)
+    finally:
+        conf.set(key, before)
 
-    def stored(df: DataFrame, name: str) -> DataFrame:
-        table = materialize_table(df, name)
-        release_shuffles(spark)
-        return table
 
+def _maybe_repeated(found: DataFrame) -> DataFrame:
+    """``found`` without most anchors whose gram occurs once: before anything but the grams' counts is shuffled.
+
+    The repeated grams set bits of a filter of fixed size, whose words are broadcast.  All anchors of a gram stay or all
+    go; those that stay by chance are dropped by the exact count that follows.
+    """
+    slot = F.col("gram").bitwiseAND(F.lit(FILTER_BITS - 1))
+    word = F.shiftright(slot, 6)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    again = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    words = _stored(again.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")), "gram-filter")
+    return found.join(F.broadcast(words), (word == F.col("word")) & (F.col("bits").bitwiseAND(bit) != 0), "left_semi")
+
+
+def _occurrences(rows: DataFrame, length: int, gram: int, bucket: int):
+    """(spans of anchors whose whole context occurs again, numbered contexts in buckets)."""
+    spark, stored = rows.sparkSession, _stored
+    scratch = set(scratch_tables(spark))
     found = materialize_table(rows.mapInArrow(
         _anchor_batches(length, gram),
         "doc_id long, text_key long, position int, gram long, context long, before short, after short"), "anchors")
+    maybe = _maybe_repeated(found)
     of_anchors = [t for t in scratch_tables(spark) if t not in scratch]
-    again = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi"))
+    again = maybe.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi"))
     again = again.where("n > 1").select("gram", (F.col("lo") == F.col("hi")).alias("alike"))
-    repeated = stored(found.join(again, "gram"), "repeated")
+    repeated = stored(maybe.join(again, "gram"), "repeated")
     drop_scratch(spark, of_anchors)
     mixed = repeated.where("not alike")
     classes = stored(mixed.groupBy("gram", "context").agg(
         F.count("*").alias("n"),
         F.min(F.struct("doc_id", "text_key", "position", "before", "after")).alias("at")).select("gram", "context", "n", "at.*"),
         "contexts")
-    whole = repeated.where("alike").select("doc_id", "text_key", "position", "before", "after", "context").unionByName(
-        mixed.join(classes.where("n > 1").select("gram", "context"), ["gram", "context"]).select(
-            "doc_id", "text_key", "position", "before", "after", "context"))
+    place = ["doc_id", "text_key", "position", "before", "after"]
+    whole = repeated.where("alike").select(place).unionByName(
+        mixed.join(classes.where("n > 1").select("gram", "context"), ["gram", "context"]).select(place))
     whole = whole.select("doc_id", "text_key", (F.col("position") - F.col("before")).cast("long").alias("start"),
-                         (F.col("position") + F.col("after")).cast("long").alias("stop"), F.col("context").alias("repeat"))
+                         (F.col("position") + F.col("after")).cast("long").alias("stop"))
 
     def with_texts(anchors_: DataFrame, *columns: str) -> DataFrame:
         wanted = anchors_.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct(*columns)).alias("found"))  # a document's own
@@ -433,15 +456,15 @@ def _occurrences(rows: DataFrame, length: int, gram: int, bucket: int):
     shared = sides.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", (F.col("m") > bucket).alias("wide"))
     contexts = stored(with_texts(sides.join(shared, "key"), "position", "key", "n", "side", "wide", "before", "after").mapInArrow(
         _context_bytes, "doc_id long, text_key long, position long, key long, n long, side byte, wide boolean, left binary, "
-        "right binary"), "context-bytes")
-    return whole, contexts, stored
+        "right binary").withColumn("cid", F.monotonically_increasing_id()), "context-bytes")
+    return whole, contexts
 
 
 def repeat_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, text_key, start, stop, repeat): covered bytes around every anchor of keyed rows (`_keyed`)."""
-    whole, contexts, stored = _occurrences(rows, length, gram, bucket)
-    near = contexts.where("not wide").repartition("key").sortWithinPartitions("key", "right").mapInArrow(_resolve(length), _SPAN)
-    return whole.unionByName(near).unionByName(_wide_spans(contexts.where("wide"), length, gram, stored))
+    """(doc_id, text_key, start, stop): covered bytes around every anchor of keyed rows (`_keyed`)."""
+    whole, contexts = _occurrences(rows, length, gram, bucket)
+    near = contexts.where("not wide").drop("cid").repartition("key").sortWithinPartitions("key", "right").mapInArrow(_resolve(length), _SPAN)
+    return whole.unionByName(near.drop("repeat")).unionByName(_wide_spans(contexts.where("wide"), length, gram))
 
 
 def maximal_repeats(rows: list[tuple[bytes, bytes]], length: int, gram: int, low: int, reach: int):
@@ -569,35 +592,36 @@ def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out
 
 
-def _wide_spans(contexts: DataFrame, length: int, gram: int, stored) -> DataFrame:
-    """Spans of the occurrences in large buckets, by counting runs of windows and then the windows of unclear runs."""
-    before = set(scratch_tables(contexts.sparkSession))
-    runs = stored(contexts.mapInArrow(_runs(length, gram), "doc_id long, text_key long, position long, key long, side byte, n long, "
-                                      "low short, high short, shared long, one long, two long"), "runs")
+def _wide_spans(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+    """Spans of the occurrences in large buckets, by counting runs of windows and then the windows of unclear runs.
+
+    All windows of a context hold its anchor, so what they cover is one span from the first to the last of them.
+    """
+    spark = contexts.sparkSession
+    before = set(scratch_tables(spark))
+    low, high = F.floor(F.col("at") / LOW).cast("int"), (F.col("at") % LOW).cast("int")
+    runs = _stored(contexts.mapInArrow(_runs(length, gram), "cid long, n byte, at int, shared long, one long, two long"), "runs")
     twice = runs.where("one is not null").groupBy("one", "two").agg(F.sum("n").alias("m")).where("m > 1").select(
         "one", "two", F.lit(True).alias("whole"))
-    known = runs.join(twice, ["one", "two"], "left").withColumn("open", F.col("whole").isNull() & (F.col("n") == 1))
-    covered = known.where("whole and n = 1").select(
-        "doc_id", "text_key", (F.col("position") - F.col("high")).alias("start"),
-        (F.col("position") + length - F.col("low")).alias("stop"), F.xxhash64("one", "two").alias("repeat"))
-    unclear = known.groupBy("shared").agg(F.sum("n").alias("m"), F.max("open").alias("any")).where("m > 1 and any").select("shared")
+    known = _stored(runs.join(twice, ["one", "two"], "left"), "known-runs")
+    covered = known.where("whole and n = 1").select("cid", low.alias("low"), high.alias("high"))
+    is_open = F.col("whole").isNull() & (F.col("n") == 1)
+    unclear = known.groupBy("shared").agg(F.sum("n").alias("m"), F.max(is_open).alias("any")).where("m > 1 and any").select("shared")
     # to open: the unclear ones, and of those known to be alike one as their partner
-    place = ("doc_id", "text_key", "position", "key", "side", "low", "high")
-    partner = known.where("whole").groupBy("shared", "one", "two").agg(F.min(F.struct(*place)).alias("at"))
-    asked = known.where("whole is null").select("shared", *place, "n").unionByName(
-        partner.select("shared", "at.*", F.lit(2).cast("long").alias("n")))
-    opened = asked.join(unclear, "shared").groupBy("doc_id", "text_key", "position", "key", "side").agg(
-        F.collect_list(F.struct("low", "high", "n")).alias("runs")).alias("o")  # at most a dozen runs a context
-    same = _same("c", "o") & (F.col("c.position") == F.col("o.position")) & (F.col("c.key") == F.col("o.key")) & (
-        F.col("c.side") == F.col("o.side"))
-    grams = contexts.alias("c").join(opened, same).select("c.*", "o.runs").mapInArrow(
-        _windows(length), "doc_id long, text_key long, n long, start long, one long, two long")
-    grams = stored(grams, "windows")
+    partner = known.where("whole").groupBy("shared", "one", "two").agg(F.min(F.struct("cid", "at")).alias("first"))
+    asked = known.where("whole is null").select("shared", "cid", "at", "n").unionByName(
+        partner.select("shared", "first.*", F.lit(2).cast("byte").alias("n")))
+    opened = _stored(asked.join(unclear, "shared").groupBy("cid").agg(
+        F.collect_list(F.struct("at", "n")).alias("runs")), "open-runs")  # at most a dozen runs a context
+    grams = _stored(contexts.join(opened, "cid").select("cid", "key", "left", "right", "runs").mapInArrow(
+        _windows(length), "cid long, offset int, n byte, one long, two long"), "windows")
     again = grams.groupBy("one", "two").agg(F.sum("n").alias("m")).where("m > 1").select("one", "two")
-    single = grams.where("n = 1").join(again, ["one", "two"]).select(
-        "doc_id", "text_key", "start", (F.col("start") + length).alias("stop"), F.xxhash64("one", "two").alias("repeat"))
-    out = stored(covered.unionByName(single), "wide-spans")  # releases what the counting shuffled
-    drop_scratch(contexts.sparkSession, [t for t in scratch_tables(contexts.sparkSession) if t not in before and "cxpulse-wide-spans-" not in t])
+    single = grams.where("n = 1").join(again, ["one", "two"]).select("cid", F.col("offset").alias("low"), F.col("offset").alias("high"))
+    ends = covered.unionByName(single).groupBy("cid").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    spans = contexts.select("cid", "doc_id", "text_key", "position").join(ends, "cid").select(
+        "doc_id", "text_key", (F.col("position") - F.col("high")).alias("start"), (F.col("position") + length - F.col("low")).alias("stop"))
+    out = _stored(spans, "wide-spans")
+    drop_scratch(spark, [t for t in scratch_tables(spark) if t not in before and "cxpulse-wide-spans-" not in t])
     return out
 
 
@@ -671,8 +695,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs = spans.repartition("doc_id", "text_key").sortWithinPartitions("doc_id", "text_key", "start").mapInArrow(
         _merge_spans, "doc_id long, text_key long, runs array<struct<start:bigint,stop:bigint>>")
     done = [t for t in scratch_tables(spark) if t not in before]
-    runs = materialize_table(runs, "covered")
+    runs = _stored(runs, "covered")
     drop_scratch(spark, done)  # nothing but the runs is read from here on
-    release_shuffles(spark)
     joined = rows.alias("t").join(runs.alias("s"), _same("t", "s"), "left").select("t.doc_id", "t.text", "s.runs")
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, removed array<struct<start:bigint,stop:bigint>>, kept binary")
