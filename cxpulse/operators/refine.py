@@ -25,10 +25,11 @@ from ..functions.scoring import stars_to_score
 from ..functions.text import truncate
 from ..session import ship_package
 from .anomaly import rolling_zscore
+from .classifier import Confusion, TextModel
 from .sampling import DEFAULT_SEED, exact_sample
 from .sentiment import ambiguous
 
-ScorerFactory = Callable[[], Callable[[list[str]], list[str]]]
+ScorerFactory = Callable[[], Callable[[list[str]], list[str]]] | TextModel
 MODEL_NEGATIVE = 0.6
 
 
@@ -70,10 +71,14 @@ def label_sample(sample: DataFrame, scorer_factory: ScorerFactory = length_stars
                  batch_size: int = 32, max_chars: int | None = None) -> DataFrame:
     """Adds model_label, model_score and model_negative (score > 0.6).
 
-    The model sees whole texts; ``max_chars`` is for models that cannot take them.
+    The model sees whole texts; ``max_chars`` is for models that cannot take them.  A `classifier.TextModel` in place of
+    the factory labels on the JVM side.
     """
-    ship_package(sample.sparkSession)
-    lab = sample.withColumn("model_label", label_udf(scorer_factory, batch_size)(truncate("clean", max_chars)))
+    if isinstance(scorer_factory, TextModel):
+        lab = scorer_factory.label(sample.withColumn("_seen", truncate("clean", max_chars)), "_seen").drop("_seen")
+    else:
+        ship_package(sample.sparkSession)
+        lab = sample.withColumn("model_label", label_udf(scorer_factory, batch_size)(truncate("clean", max_chars)))
     lab = lab.withColumn("model_score", stars_to_score("model_label"))
     return lab.withColumn("model_negative", F.col("model_score") > F.lit(MODEL_NEGATIVE))
 
@@ -109,14 +114,15 @@ def refine_daily(scored: DataFrame, daily: DataFrame, scorer_factory: ScorerFact
                  ambiguous_threshold: float = 0.30, sample_size: int | None = None, batch_size: int = 32,
                  z_threshold: float = 2.0, low: float = 0.01, exclude_already_negative: bool = False,
                  seed: int = DEFAULT_SEED, window: int = 30, min_periods: int = 7,
-                 max_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
+                 max_chars: int | None = None, confusion: Confusion | None = None) -> tuple[DataFrame, DataFrame]:
     """(daily with corrected columns, one-row recovery stats with negatives and spikes before and after).
 
     By default the ambiguous band includes scores already counted negative
     (0.15, 0.30], as the reproduced behaviour does; ``exclude_already_negative``
     restricts it to non-negative conversations.  When ``daily`` already carries
     ``ambiguous_count`` (``daily_spikes(..., ambiguous_band=...)`` with the same
-    band) no extra pass over the conversations is needed for the counts.
+    band) no extra pass over the conversations is needed for the counts.  With
+    the model's ``confusion`` matrix the recovery rate is corrected by it.
     """
     base = scored.where(~F.col("is_negative")) if exclude_already_negative else scored
     if "ambiguous_count" in daily.columns:
@@ -132,6 +138,8 @@ def refine_daily(scored: DataFrame, daily: DataFrame, scorer_factory: ScorerFact
     agg = labelled.agg(F.count(F.lit(1)).alias("n_sampled"), F.count_if("model_negative").alias("n_recovered")).first()
     n_sampled, n_recovered = int(agg["n_sampled"]), int(agg["n_recovered"])
     rate = n_recovered / n_sampled if n_sampled else 0.0
+    if confusion is not None:
+        rate = confusion.corrected(n_recovered, n_sampled)[0]
     out = out.withColumn(
         "negative_count_corrected",
         (F.col("negative_count") + F.round(F.col("ambiguous_count") * F.lit(rate), 0).cast("bigint")).cast("bigint"),

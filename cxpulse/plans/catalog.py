@@ -19,9 +19,10 @@ from ..functions.lexicon import INSULT_WORDS, Lexicon
 from ..functions.literal import parse_list_literal
 from ..functions.text import clean_text, is_content_term, parse_list_json, parse_list_split, words
 from ..operators.anomaly import bounds_from_daily, daily_sentiment, daily_spikes, event_error_share, rolling_zscore
+from ..operators.classifier import confusion, fit_text_model, held_out, labelled_texts
 from ..operators.examples import term_examples
 from ..operators.prepare import date_bounds, date_bounds_df, prepare
-from ..operators.refine import ambiguous_sample, length_stars_scorer, recovery_stats, refine_daily
+from ..operators.refine import ambiguous_sample, label_sample, length_stars_scorer, recovery_stats, refine_daily
 from ..operators.sentiment import ambiguous, with_sentiment
 from ..operators.spikes import collect_spike_dates, spike_details, spike_samples, spike_top_terms
 from ..operators.terms import daily_part, novel_terms, term_daily_counts, term_part, trending_terms
@@ -389,6 +390,37 @@ def q_document_all_term_counts(spark, sf_dir):
     return rows.groupBy("source", "term").agg(F.count(F.lit(1)).alias("count"))
 
 
+# --------------------------------------------------------------------------- fitted model
+def _text_model(spark, sf_dir):
+    rows = labelled_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return fit_text_model(rows), rows
+
+
+def q_document_model_labels(spark, sf_dir):
+    """Every document's stars by the model fitted on ``labels`` (no row without both labels to fit on)."""
+    model, _ = _text_model(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select("doc_id", clean_text(F.coalesce("text", F.lit(""))).alias("clean"))
+    if model is None:
+        return docs.limit(0).select("doc_id", held_out("doc_id").alias("held_out"), F.lit("").alias("model_label"))
+    return model.label(docs).select("doc_id", held_out("doc_id").alias("held_out"), "model_label")
+
+
+def q_document_recovery(spark, sf_dir):
+    """Of the documents the insult lexicon is unsure about: the share the model calls negative, corrected by its errors on
+    those of them that are labelled and held out."""
+    unsure = ambiguous(with_sentiment(_documents_prepared(spark, sf_dir), INSULT_LEXICON))
+    model, rows = _text_model(spark, sf_dir)
+    schema = ("n_ambiguous long, n_recovered long, recovery_rate double, sensitivity double, specificity double, "
+              "corrected_rate double, error_bound double")
+    if model is None:
+        return spark.createDataFrame([], schema)
+    same = rows.where("held_out").join(unsure.select(F.col("conversation_id").cast("long").alias("id")), "id", "left_semi")
+    errors = confusion(model, same)
+    n, positives = label_sample(unsure.select("clean"), model).agg(F.count(F.lit(1)), F.count_if("model_negative")).first()
+    rate, bound = errors.corrected(positives, n)
+    return spark.createDataFrame([(n, positives, positives / n if n else 0.0, errors.sensitivity, errors.specificity, rate, bound)], schema)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_documents": q_clean_documents,
     "parse_split": q_parse_split,
@@ -437,4 +469,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "turn_scores": q_turn_scores,
     "document_vocabulary": q_document_vocabulary,
     "document_all_term_counts": q_document_all_term_counts,
+    "document_model_labels": q_document_model_labels,
+    "document_recovery": q_document_recovery,
 }
