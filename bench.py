@@ -43,6 +43,8 @@ HEADLINE = [
     "clean_documents",
     "document_insult_scores",
     "conversation_verbatims",
+    "parse_literal_hard",
+    "document_recovery",
     "full_report",
 ]
 
