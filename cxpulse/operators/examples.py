@@ -1,13 +1,9 @@
 """Example conversations per reported term.
 
 A conversation is an example of a term when its cleaned text contains the term
-with word boundaries (``\\bterm\\b``).  Terms are joined, not listed: every
-conversation gives its distinct letter runs, every term its first letter run,
-and the equality join on the run is the only meeting place of the two (a term
-list of any length works; a short one is broadcast by the planner from its
-measured size).  A term that is one run matches by that equality; a term with
-``'`` or ``-`` is checked by a regular expression on the rows its first run
-reaches.
+with word boundaries (``\\bterm\\b``).  All terms are found in one scan of the
+texts by an automaton (`matching.term_hits`; a list of any length works), and
+only the hits leave it.
 
 Ranking moves narrow rows only — term, date, id and a hash of the text — and
 ``row_number() <= n`` is cut on the map side (``WindowGroupLimit``).  The texts
@@ -17,18 +13,11 @@ with null example columns.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import letter_runs
 from ..session import materialize
-
-_SEPARATORS = r"[ '\-]"
-
-
-def first_run(term) -> Column:
-    """The first non-empty letter run of a term (null if it has none)."""
-    return F.get(F.array_remove(F.split(F.col(term) if isinstance(term, str) else term, _SEPARATORS), ""), F.lit(0))
+from .matching import term_hits
 
 
 def _ordering(order: str):
@@ -41,14 +30,10 @@ def _ordering(order: str):
 
 def _examples(prepared: DataFrame, terms: DataFrame, n: int, order: str) -> DataFrame:
     """(_term, rn, date, conversation_id, verbatim): up to n matches of each distinct term (column ``_term``)."""
-    wanted = terms.where(F.col("_term").isNotNull()).select("_term").distinct().withColumn("_run", first_run("_term"))
-    wanted = wanted.where(F.col("_run").isNotNull()).withColumn("_single", F.col("_term") == F.col("_run"))
-    rows = prepared.select("date", "conversation_id", F.xxhash64("verbatim").alias("_key"), "clean",
-                           F.explode(F.array_distinct(letter_runs("clean"))).alias("_run"))
-    pattern = F.concat(F.lit("(?U)\\b\\Q"), F.col("_term"), F.lit("\\E\\b"))
-    met = rows.join(wanted, "_run").where(F.col("_single") | F.rlike("clean", pattern))
+    rows = prepared.select("date", "conversation_id", F.xxhash64("verbatim").alias("_key"), "clean")
+    met = term_hits(rows, terms, "clean", "_term", name="_term")
     w = Window.partitionBy("_term").orderBy(*_ordering(order))
-    best = met.select("_term", "date", "conversation_id", "_key").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
+    best = met.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
     best = materialize(best)  # at most n narrow rows a term, read twice
     texts = prepared.select("date", "conversation_id", F.xxhash64("verbatim").alias("_key"), "verbatim").alias("p")
     keys = best.select("date", "conversation_id", "_key").distinct().alias("k")

@@ -21,6 +21,7 @@ from ..functions.text import clean_text, is_content_term, parse_list_json, parse
 from ..operators.anomaly import bounds_from_daily, daily_sentiment, daily_spikes, event_error_share, rolling_zscore
 from ..operators.classifier import confusion, fit_text_model, held_out, labelled_texts
 from ..operators.examples import term_examples
+from ..operators.matching import phrases, term_document_counts
 from ..operators.prepare import date_bounds, date_bounds_df, prepare
 from ..operators.refine import ambiguous_sample, label_sample, length_stars_scorer, recovery_stats, refine_daily
 from ..operators.sentiment import ambiguous, with_sentiment
@@ -390,6 +391,13 @@ def q_document_all_term_counts(spark, sf_dir):
     return rows.groupBy("source", "term").agg(F.count(F.lit(1)).alias("count"))
 
 
+def q_document_phrase_counts(spark, sf_dir):
+    """Documents that hold each word and each pair of neighbouring words of the benchmark's texts, between word edges."""
+    terms = phrases(table(spark, sf_dir, "benchmark").select(clean_text("text").alias("clean")), "clean")
+    docs = table(spark, sf_dir, "documents").select("doc_id", clean_text("text").alias("clean"))
+    return term_document_counts(docs, terms, "doc_id", "clean")
+
+
 # --------------------------------------------------------------------------- fitted model
 def _text_model(spark, sf_dir):
     rows = labelled_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -469,6 +477,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "turn_scores": q_turn_scores,
     "document_vocabulary": q_document_vocabulary,
     "document_all_term_counts": q_document_all_term_counts,
+    "document_phrase_counts": q_document_phrase_counts,
     "document_model_labels": q_document_model_labels,
     "document_recovery": q_document_recovery,
 }

@@ -17,8 +17,7 @@ _SHIPPED: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable on the executors' Python workers.
 
-    Only the model UDF runs Python on executors; its closure refers to this
-    package, so the package is zipped once per application and added with
+    Python code on the executors refers to this package, so it is zipped once per application and added with
     ``addPyFile`` (Spark distributes it to every executor).
     """
     sc = spark.sparkContext

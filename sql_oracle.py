@@ -323,6 +323,20 @@ SELECT source, term, CAST(count(*) AS BIGINT) AS count FROM (
          lambda t: length(t) >= 3 AND NOT (t IN {STOP})))) AS term FROM documents)
 GROUP BY source, term"""
 
+# documents are cut into letter runs and single separators; a term that starts and ends with a letter is a row of these
+PHRASE_PARTS = "'[^ ''-]+|[ ''-]'"
+DOC_PHRASES = f"""
+WITH words AS (SELECT string_split({clean_sql('text')}, ' ') AS w FROM benchmark WHERE text IS NOT NULL),
+terms AS (
+  SELECT term, len(regexp_extract_all(term, {PHRASE_PARTS})) AS k FROM (
+    SELECT DISTINCT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM words)
+  WHERE regexp_full_match(term, '[^ ''-](.*[^ ''-])?')),
+docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({clean_sql('text')}, {PHRASE_PARTS}) AS x FROM documents),
+windows AS (
+  SELECT DISTINCT r, doc_id, k, unnest(list_transform(range(1, len(x) - k + 2), lambda i: array_to_string(x[i:i + k - 1], ''))) AS term
+  FROM docs, (SELECT DISTINCT k FROM terms))
+SELECT term, CAST(count(*) AS BIGINT) AS n_docs, min(doc_id) AS first_id FROM windows JOIN terms USING (term, k) GROUP BY term"""
+
 NOVEL_EXAMPLES = (TERM_EXAMPLES.replace("trending", "novel").replace("ORDER BY p.date DESC, p.conversation_id ASC", "ORDER BY p.conversation_id ASC")
                   .replace("t.current_avg_daily, t.baseline_avg_daily, t.growth_ratio",
                            "t.recent_count, t.recent_daily_avg, t.history_total, t.history_daily_avg, t.novelty"))
@@ -402,6 +416,7 @@ def oracle_sql() -> dict[str, str]:
         "topic_emergence": TOPIC_EMERGENCE,
         "document_vocabulary": with_([("docs", DOC_CLEAN.replace("SELECT doc_id,", "SELECT doc_id AS conversation_id,", 1))], vocab_sql("docs")),
         "document_all_term_counts": DOC_TERMS,
+        "document_phrase_counts": DOC_PHRASES,
         "turn_scores": TURN_SCORES,
         "parse_literal": with_([("turns", TURN_LISTS)], LITERAL),
         "parse_literal_hard": LITERAL_HARD,

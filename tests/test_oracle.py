@@ -13,7 +13,7 @@ import sql_oracle
 from conftest import SF0001
 from cxpulse.plans.catalog import QUERIES as CORE
 
-TABLES = ["events", "documents", "labels", "conversations"]
+TABLES = ["events", "benchmark", "documents", "labels", "conversations"]
 QUERIES = {k: v for k, v in E.queries().items() if k in CORE}
 SQL = sql_oracle.oracle_sql()
 
