@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,11 +61,13 @@ def to_date(df: DataFrame, col: str) -> Column:
 
 
 def prepare(df: DataFrame, date_col: str | None = "date", verbatim_col: str = "verbatims",
-            conversation_id_col: str = "conversation_id", parser: str = "split") -> DataFrame:
+            conversation_id_col: str = "conversation_id", parser: str = "split",
+            observation: Observation | None = None) -> DataFrame:
     """Parse the message list, join it with ". ", clean it and filter short texts.
 
     ``date_col=None`` is accepted for undated tables (no ``date`` column is produced).
     Input columns that would collide with a produced one are refused: rename them first.
+    With an ``observation``, the first action on the result also counts the rows read and those dropped (`row_counts`).
     """
     df = ensure_dataframe(df)
     require_columns(df, date_col, verbatim_col, conversation_id_col)
@@ -77,6 +79,8 @@ def prepare(df: DataFrame, date_col: str | None = "date", verbatim_col: str = "v
     cols = list(keep)
     if date_col:
         cols.append(to_date(df, date_col).alias("date"))
+        if observation is not None:
+            cols.append(quoted(date_col).isNull().alias(_NO_DATE))
     cols.append(quoted(conversation_id_col).cast("string").alias("conversation_id"))
     cols.append(message_list(df, verbatim_col, parser).alias("verbatim_list"))
     out = df.select(*cols).withColumns({
@@ -91,9 +95,39 @@ def prepare(df: DataFrame, date_col: str | None = "date", verbatim_col: str = "v
     cond = F.length("clean") > 2
     if date_col:
         cond = cond & F.col("date").isNotNull()
+    if observation is not None:
+        out = out.observe(observation, *_observed(cond, date_col)).drop(_NO_DATE)
     return out.where(cond)
 
 
+def _observed(kept: Column, date_col: str | None) -> list[Column]:
+    """One metric a column of `ROW_COUNTS`; a row is counted under the first reason that drops it."""
+    dated = F.col("date").isNotNull() if date_col else F.lit(True)
+    missing = F.col(_NO_DATE) if date_col else F.lit(False)
+    day = F.col("date") if date_col else F.lit(None).cast("date")
+    return [F.count(F.lit(1)).alias("n_rows"), F.count_if(missing).alias("null_date"),
+            F.count_if(~dated & ~missing).alias("bad_date"),
+            F.count_if(dated & ~F.coalesce(F.length("clean") > 2, F.lit(False))).alias("short_text"),
+            F.count_if(F.coalesce(kept, F.lit(False))).alias("n_kept"),
+            F.min(F.when(kept, day)).alias("min_date"), F.max(F.when(kept, day)).alias("max_date")]
+
+
+ROW_COUNTS = "n_rows long, null_date long, bad_date long, short_text long, n_kept long, min_date date, max_date date"
+_NO_DATE = "_cxpulse_no_date"
+
+
+def row_counts(spark, observation: Observation) -> DataFrame:
+    """One row: rows read, dropped for a missing date, an unreadable date or a short text, kept, and the kept dates' bounds.
+
+    Call it after an action on the observed table (it waits for one).  The counts are taken while that action's tasks
+    read the rows, without a job of their own.
+    """
+    got = observation.get
+    names = [c.split()[0] for c in ROW_COUNTS.split(", ")]
+    return spark.createDataFrame([tuple(got.get(n, None if n.endswith("_date") and n[:3] in ("min", "max") else 0) for n in names)],
+                                 ROW_COUNTS)
+
+
 @dataclass(frozen=True)
 class DateBounds:
     min_date: object

@@ -12,17 +12,18 @@ import datetime as dt
 from collections.abc import Callable
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import INSULT_WORDS, Lexicon
 from ..functions.literal import parse_list_literal
+from ..functions.sql import register_functions
 from ..functions.text import clean_text, is_content_term, parse_list_json, parse_list_split, words
 from ..operators.anomaly import bounds_from_daily, daily_sentiment, daily_spikes, event_error_share, rolling_zscore
 from ..operators.classifier import confusion, fit_text_model, held_out, labelled_texts
 from ..operators.examples import term_examples
 from ..operators.matching import phrases, term_document_counts
-from ..operators.prepare import date_bounds, date_bounds_df, prepare
+from ..operators.prepare import date_bounds, date_bounds_df, prepare, row_counts
 from ..operators.refine import ambiguous_sample, label_sample, length_stars_scorer, recovery_stats, refine_daily
 from ..operators.sentiment import ambiguous, with_sentiment
 from ..operators.spikes import collect_spike_dates, spike_details, spike_samples, spike_top_terms
@@ -391,6 +392,35 @@ def q_document_all_term_counts(spark, sf_dir):
     return rows.groupBy("source", "term").agg(F.count(F.lit(1)).alias("count"))
 
 
+def q_prepared_row_counts(spark, sf_dir):
+    """What `prepare` reads and drops of all turns, observed while the prepared table is written.
+
+    The turns' dates are days for users, missing for every third turn and texts that are no date for the others.
+    """
+    day = F.when(F.col("role") == "user", F.date_add(F.lit(dt.date(2024, 1, 1)), F.pmod("conv_id", F.lit(30)).cast("int")).cast("string"))
+    turns = table(spark, sf_dir, "conversations").select(
+        F.concat_ws("-", "conv_id", "turn").alias("id"), "text", F.when(F.col("turn") % 3 != 2, F.coalesce(day, F.lit("no day"))).alias("day"))
+    seen = Observation()
+    materialize_table(prepare(turns, "day", "text", "id", "text", seen), "observed")
+    return row_counts(spark, seen)
+
+
+def q_sql_turn_scores(spark, sf_dir):
+    """`turn_scores` written in SQL with the registered functions."""
+    register_functions(spark)
+    return spark.sql("""
+        SELECT id, neg_score(clean) AS neg_score, is_negative(clean) AS is_negative
+        FROM (SELECT concat_ws('-', conv_id, turn) AS id, clean_text(text) AS clean FROM {turns}) WHERE length(clean) > 2""",
+                     turns=table(spark, sf_dir, "conversations"))
+
+
+def q_sql_message_rows(spark, sf_dir):
+    """Every message of every list text, by the table function."""
+    register_functions(spark)
+    raw = _turn_lists(spark, sf_dir).select("conversation_id", python_list_repr("verbatims").alias("raw"))
+    return spark.sql("SELECT l.conversation_id, m.pos, m.message FROM {lists} AS l, LATERAL message_rows(l.raw) AS m", lists=raw)
+
+
 def q_document_phrase_counts(spark, sf_dir):
     """Documents that hold each word and each pair of neighbouring words of the benchmark's texts, between word edges."""
     terms = phrases(table(spark, sf_dir, "benchmark").select(clean_text("text").alias("clean")), "clean")
@@ -478,6 +508,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "document_vocabulary": q_document_vocabulary,
     "document_all_term_counts": q_document_all_term_counts,
     "document_phrase_counts": q_document_phrase_counts,
+    "prepared_row_counts": q_prepared_row_counts,
+    "sql_turn_scores": q_sql_turn_scores,
+    "sql_message_rows": q_sql_message_rows,
     "document_model_labels": q_document_model_labels,
     "document_recovery": q_document_recovery,
 }

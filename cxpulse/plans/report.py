@@ -14,13 +14,13 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import DEFAULT_LEXICON, DEFAULT_STOPWORDS, Lexicon
 from ..operators.anomaly import bounds_from_daily, rolling_zscore
 from ..operators.examples import term_examples_many
-from ..operators.prepare import prepare
+from ..operators.prepare import prepare, row_counts
 from ..operators.refine import ScorerFactory, refine_daily
 from ..operators.sentiment import with_sentiment
 from ..operators.spikes import spike_details
@@ -159,13 +159,15 @@ def full_report(df: DataFrame, date_col: str = "date", verbatim_col: str = "verb
     the daily statistics and the (date, term) counts together (the daily
     table also yields the date bounds, the row count, the topic segment sizes
     and, with a model, the ambiguous counts) and one for all term examples.
+    ``row_counts`` says what was read and dropped (observed while the copy is written).
     Spike details read only the spike days and the two samples only their
     hash candidates.
     """
     p = params or Params()
     spark = df.sparkSession
     before = set(scratch_tables(spark))
-    scored = with_sentiment(prepare(df, date_col, verbatim_col, conversation_id_col, parser), p.lexicon).select(
+    counted = Observation("cxpulse-rows") if p.materialize_prepared else None  # read once only if it is stored
+    scored = with_sentiment(prepare(df, date_col, verbatim_col, conversation_id_col, parser, counted), p.lexicon).select(
         "date", "conversation_id", "verbatim", "n_messages", "clean", "neg_score", "is_negative")
     if p.materialize_prepared:
         # parsing, cleaning and scoring are the costliest row work: do them once
@@ -225,6 +227,8 @@ def full_report(df: DataFrame, date_col: str = "date", verbatim_col: str = "verb
             out.update(f())
     trending, novel, daily = out["trending_terms"], out["novel_terms"], out["daily_stats"]
 
+    if counted is not None:
+        out["row_counts"] = row_counts(spark, counted)
     out["summary"] = summary(daily, trending, novel)
     out["dashboard_daily"] = dashboard_daily(daily)
     out["dashboard_spikes"] = dashboard_spikes(daily)

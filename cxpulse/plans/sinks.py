@@ -43,3 +43,20 @@ def write_report(report: dict[str, DataFrame], path: str, fmt: str = "parquet",
         write_frame(df, f"{path.rstrip('/')}/{name}", fmt, mode, **options)
         written.append(name)
     return written
+
+
+def write_partitions(df: DataFrame, path: str, partition_by: list[str], fmt: str = "parquet") -> None:
+    """Replace the partitions that ``df`` has rows for and leave the others (a rerun of one day replaces that day).
+
+    Rows are first brought together by partition, so that each gets few files.  Rebalancing splits a partition that
+    is much larger than the others.  An empty ``df`` changes nothing.
+    """
+    df = df.hint("rebalance", *partition_by)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").format(fmt).partitionBy(*partition_by).save(path)
+
+
+def write_bucketed(df: DataFrame, name: str, by: list[str], buckets: int, sort_by: list[str] | None = None) -> None:
+    """A table in the session's warehouse, bucketed and sorted by ``by``: joins, windows and counts over these columns need
+    no shuffle of it."""
+    df = df.repartition(buckets, *by)
+    df.write.mode("overwrite").format("parquet").bucketBy(buckets, *by).sortBy(*(sort_by or by)).saveAsTable(name)

@@ -360,6 +360,18 @@ SELECT conversation_id, CAST(len(m) AS INTEGER) AS n_messages, array_to_string(m
   FROM (SELECT conversation_id, '[' || array_to_string(list_transform(msgs, lambda x: {py_repr_item('x')}), ', ') || ']' AS raw
         FROM turns))"""
 
+MESSAGE_ROWS = ("SELECT conversation_id, unnest(range(0, len(m)))::INTEGER AS pos, unnest(m) AS message FROM ("
+                + PARSE_SPLIT.split("FROM (", 1)[1])
+
+ROW_COUNTS = f"""
+SELECT count(*) AS n_rows, count_if(day IS NULL) AS null_date, count_if(day IS NOT NULL AND d IS NULL) AS bad_date,
+       count_if(d IS NOT NULL AND NOT long) AS short_text, count_if(d IS NOT NULL AND long) AS n_kept,
+       min(d) FILTER (WHERE long) AS min_date, max(d) FILTER (WHERE long) AS max_date
+FROM (SELECT *, try_cast(day AS DATE) AS d FROM (
+  SELECT coalesce(length({clean_sql('text')}) > 2, false) AS long,
+         CASE WHEN turn % 3 = 2 THEN NULL WHEN role = 'user' THEN strftime(DATE '2024-01-01' + CAST(conv_id % 30 AS INTEGER), '%Y-%m-%d')
+              ELSE 'no day' END AS day FROM conversations))"""
+
 PARSE_JSON = """
 SELECT conversation_id, CAST(len(m) AS INTEGER) AS n_messages, array_to_string(m, '. ') AS verbatim FROM (
   SELECT conversation_id, from_json(to_json(msgs), '["VARCHAR"]') AS m FROM turns)"""
@@ -418,6 +430,9 @@ def oracle_sql() -> dict[str, str]:
         "document_all_term_counts": DOC_TERMS,
         "document_phrase_counts": DOC_PHRASES,
         "turn_scores": TURN_SCORES,
+        "sql_turn_scores": TURN_SCORES,
+        "sql_message_rows": with_([("turns", TURN_LISTS)], MESSAGE_ROWS),
+        "prepared_row_counts": ROW_COUNTS,
         "parse_literal": with_([("turns", TURN_LISTS)], LITERAL),
         "parse_literal_hard": LITERAL_HARD,
         "prepared_literal": with_([("turns", TURN_LISTS)], CONV_VERBATIMS.replace("n_messages, verbatim, clean", "n_messages, clean").replace(
