@@ -63,7 +63,12 @@ class Params:
 
 
 class Report(dict):
-    """Name -> DataFrame; ``cleanup`` (or leaving the ``with`` block) removes the tables the frames were made from."""
+    """Name -> DataFrame; ``cleanup`` (or leaving the ``with`` block) removes the tables the frames were made from.
+
+    ``row_counts``: one row of rows read, dropped and kept (None where the prepared table was not stored).
+    """
+
+    row_counts: DataFrame | None = None
 
     def __init__(self, spark: SparkSession, tables: list[str]):
         super().__init__()
@@ -159,7 +164,7 @@ def full_report(df: DataFrame, date_col: str = "date", verbatim_col: str = "verb
     the daily statistics and the (date, term) counts together (the daily
     table also yields the date bounds, the row count, the topic segment sizes
     and, with a model, the ambiguous counts) and one for all term examples.
-    ``row_counts`` says what was read and dropped (observed while the copy is written).
+    The result's ``row_counts`` says what was read and dropped (observed while the copy is written).
     Spike details read only the spike days and the two samples only their
     hash candidates.
     """
@@ -227,8 +232,6 @@ def full_report(df: DataFrame, date_col: str = "date", verbatim_col: str = "verb
             out.update(f())
     trending, novel, daily = out["trending_terms"], out["novel_terms"], out["daily_stats"]
 
-    if counted is not None:
-        out["row_counts"] = row_counts(spark, counted)
     out["summary"] = summary(daily, trending, novel)
     out["dashboard_daily"] = dashboard_daily(daily)
     out["dashboard_spikes"] = dashboard_spikes(daily)
@@ -236,4 +239,5 @@ def full_report(df: DataFrame, date_col: str = "date", verbatim_col: str = "verb
     out["dashboard_novel"] = dashboard_novel(novel)
     report = Report(spark, [t for t in scratch_tables(spark) if t not in before])
     report.update(out)
+    report.row_counts = row_counts(spark, counted) if counted is not None else None
     return report

@@ -76,7 +76,7 @@ def test_row_counts_of_an_empty_table(spark, tmp_path):
 def test_report_counts_its_rows(spark):
     conv = C.fixture(spark, SF0001)
     with full_report(conv, with_topics=False, with_examples=False) as rep:
-        got = rep["row_counts"].first()
+        got = rep.row_counts.first()
         bounds = rep["daily_stats"].agg(F.min("date"), F.max("date"), F.sum("total_conversations")).first()
         assert got.n_rows == conv.count() and (got.min_date, got.max_date, got.n_kept) == tuple(bounds)
 
