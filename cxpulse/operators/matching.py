@@ -36,7 +36,7 @@ def _automaton(key: str, terms: list[str]):
     if key not in _AUTOMATA:
         found = ahocorasick.Automaton()
         for t in terms:
-            found.add_word(t, t)
+            found.add_word(t, (t, len(t), t[0] in SEPARATORS, t[-1] in SEPARATORS))
         found.make_automaton()
         _AUTOMATA.clear()
         _AUTOMATA[key] = found
@@ -48,13 +48,10 @@ def matcher(terms: list[str]) -> Callable[[str], list[str]]:
     key = uuid.uuid4().hex
 
     def find(text: str) -> list[str]:
-        def word(i: int) -> bool:
-            return 0 <= i < len(text) and text[i] not in SEPARATORS
-
-        out = set()
-        for end, term in _automaton(key, terms).iter(text):
-            start = end - len(term) + 1
-            if term not in out and word(start - 1) != word(start) and word(end) != word(end + 1):
+        out, padded = set(), f" {text} "
+        for end, (term, n, first, last) in _automaton(key, terms).iter(padded):
+            # an edge lies between a separator and a character that is none
+            if (padded[end - n] in SEPARATORS) != first and (padded[(end + 1) % len(padded)] in SEPARATORS) != last:
                 out.add(term)
         return sorted(out)
 
