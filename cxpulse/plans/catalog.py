@@ -29,9 +29,10 @@ from ..operators.sentiment import ambiguous, with_sentiment
 from ..operators.spikes import collect_spike_dates, spike_details, spike_samples, spike_top_terms
 from ..operators.terms import daily_part, novel_terms, term_daily_counts, term_part, trending_terms
 from ..operators.topics import emergence, emerging_topics, topic_sample, topic_sample_plan, topic_vocabulary
-from ..session import materialize_table
+from ..session import materialize_table, scratch_path
 from ..sources.fixtures import conversations_from_events, conversations_from_turns, python_list_repr
 from ..sources.inputs import table
+from ..sources.records import read_csv_records
 from .report import (Params, combined_counts, dashboard_daily, dashboard_novel, dashboard_spikes, dashboard_trending,
                      full_report, summary)
 
@@ -405,6 +406,22 @@ def q_prepared_row_counts(spark, sf_dir):
     return row_counts(spark, seen)
 
 
+def q_csv_turns(spark, sf_dir):
+    """All turns as multi-line CSV, read back by splits aligned to records; ``bad``: the record did not fit the schema.
+
+    The files are the stand-in input: each turn's role, a line break, its text and a second line with quotes and commas.
+    """
+    turns = table(spark, sf_dir, "conversations").select(
+        "conv_id", F.concat_ws("\n", "role", "text", F.lit('"x", y')).alias("text"), "turn")
+    path = scratch_path(spark, "csv")
+    # every seventh turn's number cannot be read
+    turn = F.when(F.col("conv_id") % 7 == 3, F.concat(F.lit("turn "), F.col("turn"))).otherwise(F.col("turn").cast("string"))
+    turns.withColumn("turn", turn).write.option("header", True).option("escape", '"').option("quoteAll", True).option(
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    rows = read_csv_records(spark, path, "conv_id long, text string, turn long")
+    return rows.select("conv_id", "turn", "text", F.col("_corrupt_record").isNotNull().alias("bad"))
+
+
 def q_sql_turn_scores(spark, sf_dir):
     """`turn_scores` written in SQL with the registered functions."""
     register_functions(spark)
@@ -509,6 +526,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "document_all_term_counts": q_document_all_term_counts,
     "document_phrase_counts": q_document_phrase_counts,
     "prepared_row_counts": q_prepared_row_counts,
+    "csv_turns": q_csv_turns,
     "sql_turn_scores": q_sql_turn_scores,
     "sql_message_rows": q_sql_message_rows,
     "document_model_labels": q_document_model_labels,

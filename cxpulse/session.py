@@ -91,6 +91,13 @@ def materialize(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
 _SCRATCH: dict[str, list[str]] = {}
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path under the shared checkpoint folder, listed by `scratch_tables`."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/cxpulse-{name}-{uuid.uuid4().hex}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def materialize_table(df: DataFrame, name: str = "table", partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
@@ -100,8 +107,7 @@ def materialize_table(df: DataFrame, name: str = "table", partition_by: str | No
     `drop_scratch` removes it.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/cxpulse-{name}-{uuid.uuid4().hex}"
-    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    path = scratch_path(spark, name)
     writer = df.write.mode("error").option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)  # an empty partitioned table has no file to read it from

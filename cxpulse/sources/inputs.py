@@ -4,7 +4,9 @@ The engine works on any Spark ``DataFrame`` (a table, a view, a query result
 or a scan).  Parquet is the recommended source: date filters and column
 pruning reach the scan.  CSV needs an explicit schema (no inference pass over
 the data); a list column stored in CSV arrives as text and is parsed by
-``prepare`` (``parser="split"`` or ``"json"``).
+``prepare`` (``parser="split"`` or ``"json"``).  Files whose fields hold line
+breaks are better read by `records.read_csv_records`: ``multi_line`` gives each
+file to one task.
 """
 
 from __future__ import annotations

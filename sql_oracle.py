@@ -398,6 +398,13 @@ FROM events GROUP BY CAST(ts AS DATE)"""
 EVENT_COLS = ["date", "total_events", "error_events", "error_ratio", "rolling_mean", "rolling_std", "z_score", "is_spike"]
 
 
+CSV_TURNS = """
+SELECT conv_id, CASE WHEN conv_id % 7 = 3 THEN NULL ELSE turn END AS turn,
+       concat_ws(chr(10), role, text, '"x", y') AS text, conv_id % 7 = 3 AS bad
+FROM conversations
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     ts = topic_sample_ctes(TOPIC_QUERY_SAMPLE)
     return {
@@ -430,6 +437,7 @@ def oracle_sql() -> dict[str, str]:
         "document_all_term_counts": DOC_TERMS,
         "document_phrase_counts": DOC_PHRASES,
         "turn_scores": TURN_SCORES,
+        "csv_turns": CSV_TURNS,
         "sql_turn_scores": TURN_SCORES,
         "sql_message_rows": with_([("turns", TURN_LISTS)], MESSAGE_ROWS),
         "prepared_row_counts": ROW_COUNTS,
