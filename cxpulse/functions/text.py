@@ -7,8 +7,10 @@ character classes are Unicode aware (NBSP is whitespace, ``\\w`` covers é...).
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import unicodedata
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,6 +52,35 @@ def clean_text(c) -> Column:
     return F.btrim(x, F.lit(" "))
 
 
+def normalised(form: str):
+    """A function of Arrow batches of texts to their Unicode normal form, for `pandas_udf`."""
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: unicodedata.normalize(form, t), na_action="ignore")
+    return run
+
+
+def compose_accents(c) -> Column:
+    """Letters followed by combining marks as one letter where Unicode has one (form NFC); null stays null.
+
+    The cleaner keeps accented letters but no marks, so a text in decomposed form loses its accents and is cut at
+    them unless it is composed first.  Only texts that hold a mark go to Python, in Arrow batches.
+    """
+    text = _col(c)
+    compose = F.pandas_udf(normalised("NFC"), "string")
+    return F.coalesce(compose(F.when(text.rlike(r"\p{M}"), text)), text)
+
+
+#: the cleaner's letters that are a plain letter with an accent, and those plain letters
+_ACCENTED = "".join(ch for ch in CLEAN_LETTERS if len(unicodedata.normalize("NFD", ch)) == 2)
+_PLAIN = "".join(unicodedata.normalize("NFD", ch)[0] for ch in _ACCENTED)
+
+
+def fold_accents(clean) -> Column:
+    """A cleaned text without its accents (ligatures stay)."""
+    return F.translate(_col(clean), _ACCENTED, _PLAIN)
+
+
 def words(clean) -> Column:
     """Whitespace tokens of a cleaned text (``clean`` has single ASCII spaces)."""
     return F.split(_col(clean), " ")

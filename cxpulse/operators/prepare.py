@@ -21,7 +21,8 @@ from pyspark.sql import types as T
 
 from ..functions.literal import parse_list_literal
 from ..functions.text import PARSERS as NATIVE_PARSERS
-from ..functions.text import clean_text
+from ..functions.text import clean_text, compose_accents
+from ..session import ship_package
 from ..sources.inputs import ensure_dataframe, require_columns
 
 #: list texts -> messages; "literal" reads all of Python's literals in Arrow batches, the others are native expressions
@@ -62,11 +63,12 @@ def to_date(df: DataFrame, col: str) -> Column:
 
 def prepare(df: DataFrame, date_col: str | None = "date", verbatim_col: str = "verbatims",
             conversation_id_col: str = "conversation_id", parser: str = "split",
-            observation: Observation | None = None) -> DataFrame:
+            observation: Observation | None = None, compose: bool = False) -> DataFrame:
     """Parse the message list, join it with ". ", clean it and filter short texts.
 
     ``date_col=None`` is accepted for undated tables (no ``date`` column is produced).
     Input columns that would collide with a produced one are refused: rename them first.
+    With ``compose``, letters and the combining marks after them are composed before cleaning (`text.compose_accents`).
     With an ``observation``, the first action on the result also counts the rows read and those dropped (`row_counts`).
     """
     df = ensure_dataframe(df)
@@ -87,6 +89,9 @@ def prepare(df: DataFrame, date_col: str | None = "date", verbatim_col: str = "v
         "verbatim": F.array_join("verbatim_list", ". "),
         "n_messages": F.size("verbatim_list"),
     })
+    if compose:
+        ship_package(df.sparkSession)
+        out = out.withColumn("verbatim", compose_accents("verbatim"))
     # The length filter below refers to `clean`; a plain projection would let
     # the optimizer inline the three-regex chain into the pushed-down filter
     # and evaluate it twice per row.  A one-element generator is a barrier the

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import DEFAULT_STOPWORDS
-from ..functions.text import is_content_term, words
+from ..functions.text import fold_accents, is_content_term, words
 
 BASELINE_DAYS = 30
 MIN_BASELINE = 0.5
@@ -24,12 +24,17 @@ NO_BASELINE_FACTOR = 10.0
 MIN_CURRENT = 2.0
 
 
-def term_daily_counts(prepared: DataFrame, stopwords=DEFAULT_STOPWORDS) -> DataFrame:
+def term_daily_counts(prepared: DataFrame, stopwords=DEFAULT_STOPWORDS, fold: bool = False) -> DataFrame:
     """(date, term, count): number of conversations of that day containing the term.
 
     A term is a whitespace token of ``clean`` that is not a stop word and has
-    more than 2 characters; it counts once per conversation.
+    more than 2 characters; it counts once per conversation.  With ``fold`` terms that differ in accents alone
+    are one, named by the form without them (stop words are told by their own form).
     """
+    if fold:
+        kept = F.filter(words("clean"), lambda t: is_content_term(t, stopwords))
+        folded = prepared.select("date", F.explode(F.array_distinct(F.transform(kept, fold_accents))).alias("term"))
+        return folded.groupBy("date", "term").agg(F.count(F.lit(1)).alias("count"))
     # explode the distinct tokens, then keep content terms with a row filter
     # (generated code) rather than a per-element lambda before the explode
     exploded = prepared.select("date", F.explode(F.array_distinct(words("clean"))).alias("term"))

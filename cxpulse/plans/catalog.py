@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.lexicon import INSULT_WORDS, Lexicon
 from ..functions.literal import parse_list_literal
 from ..functions.sql import register_functions
-from ..functions.text import clean_text, is_content_term, parse_list_json, parse_list_split, words
+from ..functions.text import normalised, clean_text, is_content_term, parse_list_json, parse_list_split, words
 from ..operators.anomaly import bounds_from_daily, daily_sentiment, daily_spikes, event_error_share, rolling_zscore
 from ..operators.classifier import confusion, fit_text_model, held_out, labelled_texts
 from ..operators.examples import term_examples
@@ -26,6 +26,7 @@ from ..operators.matching import phrases, term_document_counts
 from ..operators.prepare import date_bounds, date_bounds_df, prepare, row_counts
 from ..operators.refine import ambiguous_sample, label_sample, length_stars_scorer, recovery_stats, refine_daily
 from ..operators.sentiment import ambiguous, with_sentiment
+from ..operators.sketches import heavy_hitters, window_heavy_hitters
 from ..operators.spikes import collect_spike_dates, spike_details, spike_samples, spike_top_terms
 from ..operators.terms import daily_part, novel_terms, term_daily_counts, term_part, trending_terms
 from ..operators.topics import emergence, emerging_topics, topic_sample, topic_sample_plan, topic_vocabulary
@@ -41,6 +42,8 @@ TOPIC_QUERY_SAMPLE = 12_000
 TOPIC_MIN_RECENT = 1_000
 AMBIGUOUS_QUERY_SAMPLE = 1_000
 EXAMPLES_PER_TERM = 5
+# counters of the heavy-hitter summaries: terms of over 1 / (k + 1) of all occurrences are found
+WINDOW_COUNTERS, SOURCE_COUNTERS, WINDOW_DAYS = 32, 256, 7
 INSULT_LEXICON = Lexicon(words=INSULT_WORDS, bigrams=(), threshold=0.15)
 
 
@@ -406,6 +409,30 @@ def q_prepared_row_counts(spark, sf_dir):
     return row_counts(spark, seen)
 
 
+def _content(clean: str):
+    return F.filter(words(clean), is_content_term)
+
+
+def q_window_heavy_terms(spark, sf_dir):
+    """Terms of over 1/33 of the term occurrences (once a conversation) of any seven days, from merged daily summaries."""
+    rows = prepared(spark, sf_dir).select("date", F.array_distinct(_content("clean")).alias("terms"))
+    return window_heavy_hitters(rows, "date", "terms", WINDOW_DAYS, WINDOW_COUNTERS).withColumnRenamed("value", "term")
+
+
+def q_source_heavy_terms(spark, sf_dir):
+    """Terms of over 1/257 of all term occurrences of a source's documents."""
+    docs = table(spark, sf_dir, "documents").select("source", clean_text("text").alias("clean"))
+    found = heavy_hitters(docs.select("source", _content("clean").alias("terms")), "source", "terms", SOURCE_COUNTERS)
+    return found.withColumnsRenamed({"grp": "source", "value": "term"})
+
+
+def q_composed_documents(spark, sf_dir):
+    """`clean_documents` of texts in decomposed form (the stand-in input), composed before cleaning."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.pandas_udf(normalised("NFD"), "string")("text").alias("text"))
+    docs = prepare(docs, date_col=None, verbatim_col="text", conversation_id_col="doc_id", parser="text", compose=True)
+    return docs.select(F.col("conversation_id").cast("bigint").alias("doc_id"), "clean")
+
+
 def q_csv_turns(spark, sf_dir):
     """All turns as multi-line CSV, read back by splits aligned to records; ``bad``: the record did not fit the schema.
 
@@ -527,6 +554,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "document_phrase_counts": q_document_phrase_counts,
     "prepared_row_counts": q_prepared_row_counts,
     "csv_turns": q_csv_turns,
+    "composed_documents": q_composed_documents,
+    "window_heavy_terms": q_window_heavy_terms,
+    "source_heavy_terms": q_source_heavy_terms,
     "sql_turn_scores": q_sql_turn_scores,
     "sql_message_rows": q_sql_message_rows,
     "document_model_labels": q_document_model_labels,

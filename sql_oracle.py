@@ -9,7 +9,8 @@ fixed-value modules so both sides use the same word lists.
 from __future__ import annotations
 
 from cxpulse.functions.lexicon import CLEAN_LETTERS, DEFAULT_LEXICON, DEFAULT_STOPWORDS, NEGATIVE_THRESHOLD
-from cxpulse.plans.catalog import AMBIGUOUS_QUERY_SAMPLE, EXAMPLES_PER_TERM, INSULT_LEXICON, TOPIC_MIN_RECENT, TOPIC_QUERY_SAMPLE
+from cxpulse.plans.catalog import (AMBIGUOUS_QUERY_SAMPLE, EXAMPLES_PER_TERM, INSULT_LEXICON, SOURCE_COUNTERS, TOPIC_MIN_RECENT,
+                                   TOPIC_QUERY_SAMPLE, WINDOW_COUNTERS, WINDOW_DAYS)
 from cxpulse.sources.fixtures import (EMERGING_CONVERSATIONS, EMERGING_FROM, NEGATIVE_CONVERSATIONS,
                                       NORMAL_CONVERSATIONS, SPIKE_DAY)
 
@@ -398,6 +399,25 @@ FROM events GROUP BY CAST(ts AS DATE)"""
 EVENT_COLS = ["date", "total_events", "error_events", "error_ratio", "rolling_mean", "rolling_std", "z_score", "is_spike"]
 
 
+WINDOW_HEAVY = f"""
+SELECT date, term, count, total FROM (
+  SELECT CAST(e.date AS DATE) AS date, t.term, CAST(sum(t.count) AS BIGINT) AS count,
+         CAST(sum(sum(t.count)) OVER (PARTITION BY e.date) AS BIGINT) AS total
+  FROM (SELECT unnest(generate_series(min(date)::TIMESTAMP, max(date)::TIMESTAMP, INTERVAL 1 DAY)) AS date FROM term_counts) e
+  JOIN term_counts t ON t.date BETWEEN CAST(e.date AS DATE) - {WINDOW_DAYS - 1} AND CAST(e.date AS DATE)
+  GROUP BY e.date, t.term)
+WHERE count * {WINDOW_COUNTERS + 1} > total
+"""
+
+SOURCE_HEAVY = f"""
+SELECT source, term, count, total FROM (
+  SELECT source, term, CAST(count(*) AS BIGINT) AS count, CAST(sum(count(*)) OVER (PARTITION BY source) AS BIGINT) AS total
+  FROM (SELECT source, unnest(list_filter(string_split({clean_sql('text')}, ' '),
+               lambda t: length(t) >= 3 AND NOT (t IN {STOP}))) AS term FROM documents)
+  GROUP BY source, term)
+WHERE count * {SOURCE_COUNTERS + 1} > total
+"""
+
 CSV_TURNS = """
 SELECT conv_id, CASE WHEN conv_id % 7 = 3 THEN NULL ELSE turn END AS turn,
        concat_ws(chr(10), role, text, '"x", y') AS text, conv_id % 7 = 3 AS bad
@@ -438,6 +458,9 @@ def oracle_sql() -> dict[str, str]:
         "document_phrase_counts": DOC_PHRASES,
         "turn_scores": TURN_SCORES,
         "csv_turns": CSV_TURNS,
+        "composed_documents": DOC_CLEAN,
+        "window_heavy_terms": with_(TERM_BASE, WINDOW_HEAVY),
+        "source_heavy_terms": SOURCE_HEAVY,
         "sql_turn_scores": TURN_SCORES,
         "sql_message_rows": with_([("turns", TURN_LISTS)], MESSAGE_ROWS),
         "prepared_row_counts": ROW_COUNTS,
