@@ -34,6 +34,7 @@ from ..session import materialize_table, scratch_path
 from ..sources.fixtures import conversations_from_events, conversations_from_turns, python_list_repr
 from ..sources.inputs import table
 from ..sources.records import read_csv_records
+from ..streaming.incremental import conversation_stream, counts_stream, current_counts, keep_counts
 from .report import (Params, combined_counts, dashboard_daily, dashboard_novel, dashboard_spikes, dashboard_trending,
                      full_report, summary)
 
@@ -410,7 +411,7 @@ def q_prepared_row_counts(spark, sf_dir):
 
 
 def _content(clean: str):
-    return F.filter(words(clean), is_content_term)
+    return F.filter(words(clean), lambda t: is_content_term(t))
 
 
 def q_window_heavy_terms(spark, sf_dir):
@@ -433,6 +434,21 @@ def q_composed_documents(spark, sf_dir):
     return docs.select(F.col("conversation_id").cast("bigint").alias("doc_id"), "clean")
 
 
+def q_incremental_counts(spark, sf_dir):
+    """Daily and term counts of conversations that arrive in files, some twice, kept by a streaming query.
+
+    The files are the stand-in input: the fixture, a third of it once more.  Day rows have a null term.
+    """
+    conv = fixture(spark, sf_dir)
+    again = conv.where(F.abs(F.xxhash64("conversation_id")) % 3 == 0)
+    source = materialize_table(conv.unionByName(again).repartition(6), "arriving")
+    stream = conversation_stream(spark, source.inputFiles()[0].rsplit("/", 1)[0], source.schema, max_files_per_trigger=3)
+    out = scratch_path(spark, "counts")
+    keep_counts(counts_stream(stream), out, scratch_path(spark, "stream"), trigger_once=True).awaitTermination()
+    counts = current_counts(spark, out)
+    return counts.select("date", "term", "count", F.when(F.col("term").isNull(), F.col("negative_count")).alias("negative_count"))
+
+
 def q_csv_turns(spark, sf_dir):
     """All turns as multi-line CSV, read back by splits aligned to records; ``bad``: the record did not fit the schema.
 
@@ -553,6 +569,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "document_all_term_counts": q_document_all_term_counts,
     "document_phrase_counts": q_document_phrase_counts,
     "prepared_row_counts": q_prepared_row_counts,
+    "incremental_counts": q_incremental_counts,
     "csv_turns": q_csv_turns,
     "composed_documents": q_composed_documents,
     "window_heavy_terms": q_window_heavy_terms,

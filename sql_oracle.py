@@ -418,6 +418,12 @@ SELECT source, term, count, total FROM (
 WHERE count * {SOURCE_COUNTERS + 1} > total
 """
 
+INCREMENTAL = """
+SELECT date, CAST(NULL AS VARCHAR) AS term, CAST(count(*) AS BIGINT) AS count,
+       CAST(count(*) FILTER (WHERE is_negative) AS BIGINT) AS negative_count FROM scored GROUP BY date
+UNION ALL SELECT date, term, count, NULL FROM term_counts
+"""
+
 CSV_TURNS = """
 SELECT conv_id, CASE WHEN conv_id % 7 = 3 THEN NULL ELSE turn END AS turn,
        concat_ws(chr(10), role, text, '"x", y') AS text, conv_id % 7 = 3 AS bad
@@ -458,6 +464,7 @@ def oracle_sql() -> dict[str, str]:
         "document_phrase_counts": DOC_PHRASES,
         "turn_scores": TURN_SCORES,
         "csv_turns": CSV_TURNS,
+        "incremental_counts": with_(TERM_BASE, INCREMENTAL),
         "composed_documents": DOC_CLEAN,
         "window_heavy_terms": with_(TERM_BASE, WINDOW_HEAVY),
         "source_heavy_terms": SOURCE_HEAVY,
