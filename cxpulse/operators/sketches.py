@@ -85,23 +85,21 @@ def merge(summaries: DataFrame, k: int = COUNTERS) -> DataFrame:
     To merge over windows, give each day's rows the names of the windows they belong to as ``grp`` first.
     """
     added = summaries.groupBy("grp", "value").agg(*[F.sum(c).alias(c) for c in ("count", "error", "total")])
-    # the k + 1 largest counters of a group are picked before the shuffle; the least of them is taken off
-    largest = Window.partitionBy("grp").orderBy(F.desc("count"), F.asc("value"))
-    top = added.where("value is not null").withColumn("place", F.row_number().over(largest)).where(F.col("place") <= k + 1)
-    least = F.max(F.when(F.col("place") == k + 1, F.col("count"))).over(Window.partitionBy("grp"))
-    top = top.withColumn("least", F.coalesce(least, F.lit(0)))
-    off = top.where(F.col("place") == k + 1).select(F.col("grp").alias("of"), F.col("least").alias("off"))
-    kept = top.where((F.col("place") <= k) & (F.col("count") > F.col("least")))
-    kept = kept.select("grp", "value", (F.col("count") - F.col("least")).alias("count"), "error", "total")
-    own = added.where("value is null").join(off, F.col("grp").eqNullSafe(F.col("of")), "left")
-    own = own.select("grp", "value", "count", (F.col("error") + F.coalesce("off", F.lit(0))).alias("error"), "total")
-    return kept.unionByName(own)
+    # the group's own row, then the k + 1 largest counters, picked before the shuffle; the least of them is taken off
+    group = Window.partitionBy("grp")
+    places = group.orderBy(F.col("value").isNotNull(), F.desc("count"), F.asc("value"))
+    top = added.withColumn("place", F.row_number().over(places)).where(F.col("place") <= k + 2)
+    top = top.withColumn("least", F.coalesce(F.max(F.when(F.col("place") == k + 2, F.col("count"))).over(group), F.lit(0)))
+    own = F.col("value").isNull()
+    return top.where(own | (F.col("count") > F.col("least"))).select(
+        "grp", "value", F.when(own, F.lit(0)).otherwise(F.col("count") - F.col("least")).alias("count"),
+        F.when(own, F.col("error") + F.col("least")).otherwise(F.lit(0)).alias("error"), "total")
 
 
 def bounds(summaries: DataFrame) -> DataFrame:
     """(grp, value, low, high, total): between which counts each value with a counter lies."""
-    own = summaries.where("value is null").select(F.col("grp").alias("of"), F.col("error").alias("e"), F.col("total").alias("t"))
-    rows = summaries.where("value is not null").join(own, F.col("grp").eqNullSafe(F.col("of")))
+    group = Window.partitionBy("grp")  # at most k + 1 rows each
+    rows = summaries.withColumns({"e": F.max("error").over(group), "t": F.max("total").over(group)}).where("value is not null")
     return rows.select("grp", "value", F.col("count").alias("low"), (F.col("count") + F.col("e")).alias("high"), F.col("t").alias("total"))
 
 
