@@ -18,10 +18,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, letter_runs
+from ..session import drop_scratch, scratch_path
 from .sampling import DEFAULT_SEED, exact_sample
 
 BITS = 16
@@ -75,6 +76,19 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     return rows.join(known, "id").select("id", "clean", "label", held_out("id").alias("held_out"))
 
 
+def _without_summary(fitted: PipelineModel, spark: SparkSession) -> PipelineModel:
+    """The same model without its training summary, which saving leaves out.
+
+    The summary refers to the session, and every scoring task carries the model: once anything in the session has
+    used an ``Observation``, the session and so the model cannot be serialised.
+    """
+    path = scratch_path(spark, "text-model")
+    fitted.write().save(path)
+    loaded = PipelineModel.load(path)
+    drop_scratch(spark, [path])
+    return loaded
+
+
 def fit_text_model(rows: DataFrame, fit_rows: int = FIT_ROWS, regularisation: float = 1e-4, seed: int = DEFAULT_SEED) -> TextModel | None:
     """Fit on rows (id, clean, label, held_out) that are not held out; None unless both labels occur among them."""
     train = exact_sample(rows.where(~F.col("held_out")).select("id", "clean", "label"), {0: fit_rows, 1: fit_rows}, ["id"],
@@ -84,7 +98,7 @@ def fit_text_model(rows: DataFrame, fit_rows: int = FIT_ROWS, regularisation: fl
     hashing = HashingTF(inputCol="_grams", outputCol="_features", numFeatures=1 << BITS, binary=True)
     regression = LogisticRegression(featuresCol="_features", labelCol="label", probabilityCol="_probability", rawPredictionCol="_raw",
                                     predictionCol="_label", regParam=regularisation, maxIter=60, standardization=False)
-    return TextModel(Pipeline(stages=[hashing, regression]).fit(with_ngrams(train, "clean", "_grams")))
+    return TextModel(_without_summary(Pipeline(stages=[hashing, regression]).fit(with_ngrams(train, "clean", "_grams")), rows.sparkSession))
 
 
 @dataclass(frozen=True)

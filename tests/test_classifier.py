@@ -5,6 +5,7 @@ import zlib
 
 import pytest
 from conftest import SF001
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from cxpulse.operators.classifier import Confusion, confusion, fit_text_model, held_out, labelled_texts
@@ -32,6 +33,16 @@ def fitted(spark):
     return fit_text_model(rows), rows
 
 
+def test_model_scores_in_a_session_that_has_observed(spark):
+    rows = spark.createDataFrame(made(300, 2), "id long, clean string, label int, held_out boolean")
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 300}
+    model = fit_text_model(rows)
+    held = rows.where("held_out")
+    assert sum(vars(confusion(model, held)).values()) == held.count() == len(model.label(held).collect())
+
+
 def test_held_out_by_id(spark):
     ids = [0, 1, 7, 123456789, -5, None]
     got = spark.createDataFrame([(i,) for i in ids], "i long").select("i", held_out("i").alias("h")).collect()
