@@ -4,7 +4,7 @@ import random
 import zlib
 
 import pytest
-from conftest import SF001
+from conftest import SF0001, SF001
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
@@ -43,6 +43,11 @@ def test_model_scores_in_a_session_that_has_observed(spark):
     assert sum(vars(confusion(model, held)).values()) == held.count() == len(model.label(held).collect())
 
 
+def test_document_queries_after_one_that_observes(spark):
+    assert QUERIES["prepared_row_counts"](spark, SF0001).count() == 1
+    assert QUERIES["document_recovery"](spark, SF001).count() == 1
+
+
 def test_held_out_by_id(spark):
     ids = [0, 1, 7, 123456789, -5, None]
     got = spark.createDataFrame([(i,) for i in ids], "i long").select("i", held_out("i").alias("h")).collect()
