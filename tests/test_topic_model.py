@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cxpulse.functions.lexicon import DEFAULT_STOPWORDS
 from cxpulse.operators import topics as T
-from cxpulse.operators.lda import digamma, first_components, fit_topics
+from cxpulse.operators.lda import digamma, document_weights, exp_digamma, expected_log, first_components, fit_topics
 from cxpulse.operators.prepare import date_bounds, prepare
 from cxpulse.plans.catalog import prepared
 from cxpulse.sources.inputs import table
@@ -72,6 +73,38 @@ def plain_lda(docs, n_terms, k, iterations, seed):
 def test_digamma():
     x = np.array([1e-3, 0.1, 0.5, 1.0, 2.5, 5.999, 6.0, 40.0, 1e6])
     assert np.allclose(digamma(x), [plain_digamma(v) for v in x], rtol=1e-9, atol=1e-10)
+    assert np.allclose(exp_digamma(x), np.exp(digamma(x)), rtol=1e-12, atol=0)
+
+
+def test_weights_of_any_length_equal_the_plain_version():
+    rng = random.Random(7)
+    lengths = [0, 1, 2, 7, 8, 9, 15, 16, 17, 31, 33, 90, 91, 299, 300] * 3 + [0]
+    docs = [{t: float(rng.randint(1, 4)) for t in sorted(rng.sample(range(300), n))} for n in lengths]
+    topics = expected_log(first_components(4, 300, 1))
+    columns = (np.cumsum([0] + lengths), np.array([t for d in docs for t in d]), np.array([c for d in docs for c in d.values()]))
+    expected = np.zeros(topics.shape)
+    got = document_weights(*columns, topics, 0.25, 100, 1e-3, expected)
+    want, total = [], np.zeros(topics.shape)
+    for d in docs:
+        weights, theta = plain_weights(d, topics.tolist(), 4, 0.25)
+        want.append(weights)
+        for w, c in d.items():
+            share = np.array(theta) * topics[:, w]
+            total[:, w] += share * c / share.sum()
+    assert np.allclose(got, want, rtol=1e-9)
+    assert np.allclose(expected * topics, total, rtol=1e-9)
+    assert document_weights(np.array([0]), columns[1][:0], columns[2][:0], topics, 0.25, 100, 1e-3).shape == (0, 4)
+
+
+def test_weights_are_found_in_small_blocks():
+    rng = np.random.default_rng(5)
+    lengths = rng.integers(0, 80, 10_000)
+    columns = (np.concatenate([[0], np.cumsum(lengths)]), rng.integers(0, 500, lengths.sum()), np.ones(lengths.sum()))
+    tracemalloc.start()
+    document_weights(*columns, expected_log(first_components(10, 500, 1)), 0.1, 3, 1e-3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6  # not terms x topics of the whole batch: 32 MB an array
 
 
 @pytest.mark.parametrize("batch", ["7", "10000"])
