@@ -48,6 +48,37 @@ def test_document_queries_after_one_that_observes(spark):
     assert QUERIES["document_recovery"](spark, SF001).count() == 1
 
 
+def test_document_recovery_of_made_rows_after_an_observation(spark, tmp_path):
+    rng = random.Random(5)
+    docs, unsure, toxic = [], set(), {}
+    for i in range(900):
+        words = [rng.choice(WORDS) for _ in range(rng.randint(5, 40))]
+        toxic[i] = int(rng.random() < 0.4)
+        if toxic[i]:
+            words.insert(rng.randrange(len(words)), "honteux")
+        if rng.random() < 0.5:  # one insult of 6 to 42 words: in the grey band
+            words.insert(rng.randrange(len(words)), "stupid")
+            unsure.add(i)
+        docs.append((i, " ".join(words)))
+    docs += [(900, None), (901, ""), (902, "idiot idiot")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, t) for i, t in toxic.items() if i % 3], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 3}
+    out = QUERIES["document_recovery"](spark, str(tmp_path)).collect()
+    stars = {r["doc_id"]: r["model_label"] for r in QUERIES["document_model_labels"](spark, str(tmp_path)).collect()}
+    negative = {i for i in unsure if stars[i][0] in "12"}
+    held = [i for i in unsure if i % 3 and zlib.crc32(str(i).encode()) % 5 == 0]
+    caught, known = sum(toxic[i] for i in held if i in negative), sum(toxic[i] for i in held)
+    passed, clean = sum(1 for i in held if not toxic[i] and i not in negative), len(held) - known
+    assert len(stars) == len(docs) and known and clean and len(out) == 1
+    assert (out[0]["n_ambiguous"], out[0]["n_recovered"], out[0]["recovery_rate"]) == (len(unsure), len(negative), len(negative) / len(unsure))
+    assert (out[0]["sensitivity"], out[0]["specificity"]) == (caught / known, passed / clean)
+    assert caught / known > 0.9 and passed / clean > 0.9
+    assert abs(out[0]["corrected_rate"] - sum(toxic[i] for i in unsure) / len(unsure)) <= out[0]["error_bound"] < 0.25
+
+
 def test_held_out_by_id(spark):
     ids = [0, 1, 7, 123456789, -5, None]
     got = spark.createDataFrame([(i,) for i in ids], "i long").select("i", held_out("i").alias("h")).collect()
